@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes decoded at a time, which bounds a Python worker's memory whatever Spark's batch size is.
 SLICE_BYTES = 4 << 20
@@ -156,7 +157,7 @@ def flatten_list_column(df: DataFrame, keys: list[str], column: str, child: str
     elements stay children with a null value.
     """
     value_type = df.schema[column].dataType.elementType
-    schema = df.select(*keys).schema.add("position", "int").add(child, value_type)
+    schema = df.select(*keys).schema.add("position", T.IntegerType()).add(child, value_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,8 +1,8 @@
 """All queries of the core and their SQL."""
 
-from . import problem_queries
+from . import analysis_queries, problem_queries
 
-_MODULES = [problem_queries]
+_MODULES = [problem_queries, analysis_queries]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
