@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+
 _TYPES = {"string": T.StringType(), "integer": T.LongType(), "float": T.DoubleType(), "boolean": T.BooleanType(), "array": T.StringType()}
 _ARROW = {"string": pa.string(), "integer": pa.int64(), "float": pa.float64(), "boolean": pa.bool_(), "array": pa.string()}
 
@@ -166,29 +168,50 @@ def _canonical(value: Column) -> Column:
     return F.coalesce(F.when(~F.isnan(number), number.cast("string")), value)
 
 
-def drift_report(ingested: DataFrame, target: dict[str, str] = TARGET, min_match: float = 0.8) -> DataFrame:
+def file_order(rows: DataFrame) -> DataFrame:
+    """log_name, file_name, seq: each named file with its place in its log by time (the name breaks ties)."""
+    order = Window.partitionBy("log_name").orderBy("file_time", "file_name")
+    named = rows.where("log_name is not null and file_name is not null")
+    return named.groupBy("log_name", "file_name").agg(F.min("file_time").alias("file_time")).select("log_name", "file_name", F.row_number().over(order).alias("seq"))
+
+
+def _short(value: Column) -> Column:
+    """Long values by their digest, which keeps shuffles narrow."""
+    return F.when(F.length(value) > 40, F.md5(value)).otherwise(value)
+
+
+def drift_report(ingested: DataFrame, target: dict[str, str] = TARGET, min_match: float = 0.8, raw: DataFrame | None = None) -> DataFrame:
     """log_name, file_name, change_kind, old_path, new_path: the changes of each file against the one before it.
 
     A removed and an added path are one rename when at least `min_match` of the tools that have both carry on with the
     same value (compared across kinds) and the evidence is more than one constant; each path is in one rename at most,
     the one with most matching tools. Joins are on log, file, path and value, so no pair of unlike values is formed.
+
+    The distinct facts, the changes and the renames are checkpointed, so the lines are parsed once and plans stay short.
+    `raw` may name the rows the file order is read from without parsing.
     """
-    order = Window.partitionBy("log_name").orderBy("file_time", "file_name")
-    named = ingested.where("log_name is not null and file_name is not null")
-    files = named.groupBy("log_name", "file_name").agg(F.min("file_time").alias("file_time")).select("log_name", "file_name", F.row_number().over(order).alias("seq"))
-    facts = path_facts(ingested, target)
-    paths = facts.groupBy("log_name", "file_name", "path").agg(F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("kinds")).join(files, ["log_name", "file_name"])
-    now = paths.select("log_name", "seq", "path", F.col("kinds").alias("new_kinds"))
-    before = paths.select("log_name", (F.col("seq") + 1).alias("seq"), "path", F.col("kinds").alias("old_kinds"))
-    both = now.join(before, ["log_name", "seq", "path"], "full").join(files, ["log_name", "seq"]).where("seq > 1")
-    changes = both.select(
-        "log_name", "seq", "file_name", "path",
-        F.when(F.col("old_kinds").isNull(), "added")
-        .when(F.col("new_kinds").isNull(), "removed")
-        .when((F.size("old_kinds") > 0) & (F.size("new_kinds") > 0) & (F.col("old_kinds") != F.col("new_kinds")), "retyped").alias("change_kind"),
-    ).where("change_kind is not null")
-
-    values = facts.where("kind <> 'null' and tool is not null").select("log_name", "file_name", "tool", "path", "kind", _canonical(F.col("value")).alias("value")).distinct().join(files, ["log_name", "file_name"])
+    ensure_checkpoint_dir(ingested.sparkSession)
+    files = file_order(ingested if raw is None else raw).checkpoint()
+    kind = F.col("kind")
+    facts = path_facts(ingested, target).select("log_name", "file_name", "tool", "path", "kind", F.when(kind != "null", _short(_canonical(F.col("value")))).alias("value"))
+    facts = facts.distinct().join(files, ["log_name", "file_name"]).checkpoint()
+    paths = facts.groupBy("log_name", "seq", "path").agg(F.array_sort(F.collect_set(F.when(kind != "null", kind))).alias("kinds"))
+    # Each file's paths meet the next file's in one grouping: a fact of file s counts as new in s and as old in s + 1.
+    sides = paths.select("log_name", "path", F.explode(F.array(F.struct("seq", F.col("kinds").alias("new_kinds"), F.lit(None).cast("array<string>").alias("old_kinds")), F.struct((F.col("seq") + 1).alias("seq"), F.lit(None).cast("array<string>").alias("new_kinds"), F.col("kinds").alias("old_kinds")))).alias("s"))
+    both = sides.select("log_name", "path", "s.*").groupBy("log_name", "seq", "path").agg(F.max("new_kinds").alias("new_kinds"), F.max("old_kinds").alias("old_kinds")).where("seq > 1")
+    changes = (
+        both.withColumn(
+            "change_kind",
+            F.when(F.col("old_kinds").isNull(), "added")
+            .when(F.col("new_kinds").isNull(), "removed")
+            .when((F.size("old_kinds") > 0) & (F.size("new_kinds") > 0) & (F.col("old_kinds") != F.col("new_kinds")), "retyped"),
+        )
+        .where("change_kind is not null")
+        .join(files, ["log_name", "seq"])
+        .select("log_name", "seq", "file_name", "path", "change_kind")
+        .checkpoint()
+    )
+    values = facts.where("kind <> 'null' and tool is not null")
     gone = changes.where("change_kind = 'removed'").select("log_name", "seq", F.col("path").alias("old_path"))
     come = changes.where("change_kind = 'added'").select("log_name", "seq", F.col("path").alias("new_path"))
     old = values.select("log_name", (F.col("seq") + 1).alias("seq"), F.col("path").alias("old_path"), "tool", "kind", "value").join(gone, ["log_name", "seq", "old_path"], "left_semi")
@@ -196,7 +219,8 @@ def drift_report(ingested: DataFrame, target: dict[str, str] = TARGET, min_match
     same = (
         old.join(new, ["log_name", "seq", "tool", "value"])
         .groupBy("log_name", "seq", "old_path", "new_path")
-        .agg(F.countDistinct("tool").alias("same"), F.countDistinct("value").alias("n_values"), F.bool_or(F.col("kind") == "boolean").alias("boolean"))
+        .agg(F.countDistinct("tool").alias("same"), F.countDistinct("value").alias("n_values"), F.bool_or(kind == "boolean").alias("boolean"))
+        .checkpoint()
     )
     common = (
         same.select("log_name", "seq", "old_path", "new_path")
@@ -214,11 +238,11 @@ def drift_report(ingested: DataFrame, target: dict[str, str] = TARGET, min_match
         .where("a = 1 and b = 1")
         .join(files, ["log_name", "seq"])
         .select("log_name", "seq", "file_name", "old_path", "new_path")
+        .checkpoint()
     )
-    plain = (
-        changes.join(renames.select("log_name", "seq", F.col("old_path").alias("path"), F.lit("removed").alias("change_kind")), ["log_name", "seq", "path", "change_kind"], "left_anti")
-        .join(renames.select("log_name", "seq", F.col("new_path").alias("path"), F.lit("added").alias("change_kind")), ["log_name", "seq", "path", "change_kind"], "left_anti")
-        .select("log_name", "file_name", "change_kind", F.when(F.col("change_kind") == "added", "").otherwise(F.col("path")).alias("old_path"), F.when(F.col("change_kind") == "removed", "").otherwise(F.col("path")).alias("new_path"))
+    used = renames.select("log_name", "seq", F.explode(F.array(F.struct(F.col("old_path").alias("path"), F.lit("removed").alias("change_kind")), F.struct(F.col("new_path").alias("path"), F.lit("added").alias("change_kind")))).alias("u")).select("log_name", "seq", "u.*")
+    plain = changes.join(used, ["log_name", "seq", "path", "change_kind"], "left_anti").select(
+        "log_name", "file_name", "change_kind", F.when(F.col("change_kind") == "added", "").otherwise(F.col("path")).alias("old_path"), F.when(F.col("change_kind") == "removed", "").otherwise(F.col("path")).alias("new_path")
     )
     return plain.unionByName(renames.select("log_name", "file_name", F.lit("renamed").alias("change_kind"), "old_path", "new_path"))
 

@@ -16,13 +16,15 @@ def p2_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.drift_report(schema_drift.ingest(read_table(spark, d, "raw_records")))
+    raw = read_table(spark, d, "raw_records")
+    return schema_drift.drift_report(schema_drift.ingest(raw), raw=raw)
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
     """All records in one consistent table."""
-    rows = schema_drift.ingest(read_table(spark, d, "raw_records"))
-    return schema_drift.promote(rows, schema_drift.approved_paths(schema_drift.drift_report(rows)))
+    raw = read_table(spark, d, "raw_records")
+    rows = schema_drift.ingest(raw)
+    return schema_drift.promote(rows, schema_drift.approved_paths(schema_drift.drift_report(rows, raw=raw)))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
