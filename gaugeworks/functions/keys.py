@@ -70,8 +70,8 @@ def escape_latex(c: Column) -> Column:
 
 
 def decimal_comma(c: Column, digits: int) -> Column:
-    """A number with a decimal comma."""
-    return F.replace(F.format_string(f"%.{digits}f", c), F.lit("."), F.lit(","))
+    """A number with a decimal comma; null stays null."""
+    return F.when(c.isNotNull(), F.replace(F.format_string(f"%.{digits}f", c), F.lit("."), F.lit(",")))
 
 
 def in_peak_window(ts: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 def sample_stddev(x: Column) -> Column:
     """Standard deviation with n - 1, from sums; null for fewer than two values."""
     n, s, q = F.count(x), F.sum(x.cast("double")), F.sum((x * x).cast("double"))
-    return F.sqrt(F.greatest(F.try_divide(n * q - s * s, n * (n - 1)), F.lit(0.0)))
+    return F.when(n > 1, F.sqrt(F.greatest(F.try_divide(n * q - s * s, n * (n - 1)), F.lit(0.0))))
 
 
 def pearson(x: Column, y: Column) -> Column:

@@ -38,7 +38,7 @@ div AS (SELECT tool_uid, componente, count(*) AS n_juizes, bool_and(diff <> 0) A
 cons AS (SELECT tool_uid, componente, juiz, diff AS diff_nota, diff > 0 AS subiu, n_juizes, mesma AS mesma_direcao FROM dif JOIN div USING (tool_uid, componente) WHERE todos AND n_juizes >= 2),
 jp AS (SELECT a.tool_uid, a.componente, a.juiz AS juiz_a, b.juiz AS juiz_b, a.sem AS sem_a, b.sem AS sem_b, a.com AS com_a, b.com AS com_b, a.diff AS diff_a, b.diff AS diff_b FROM dif a JOIN dif b USING (tool_uid, componente) WHERE a.juiz < b.juiz)
 """
-_STD = "sqrt(greatest((count(nota) * sum((nota * nota)::DOUBLE) - sum(nota::DOUBLE) * sum(nota::DOUBLE)) / nullif(count(nota) * (count(nota) - 1), 0), 0.0))"
+_STD = "CASE WHEN count(nota) > 1 THEN sqrt(greatest((count(nota) * sum((nota * nota)::DOUBLE) - sum(nota::DOUBLE) * sum(nota::DOUBLE)) / nullif(count(nota) * (count(nota) - 1), 0), 0.0)) END"
 
 
 def _pearson(x: str, y: str) -> str:
