@@ -2,7 +2,7 @@
 
 A case is the whole passage or a stretch of at least 18 of its words with at most one word in eight replaced. Among n
 words of which n/8 may be replaced, n >= 18, some run of six words is untouched (18 words, 2 replaced: 16 words in three
-runs). So the windows that get a fingerprint are six words long: every case has a pair of windows with equal
+runs); shorter passages have shorter such runs (`window_size`). So the windows that get a fingerprint are six words long: every case has a pair of windows with equal
 fingerprints, and near ones (radius 3) are found too, since of the four 16-bit blocks of fingerprints within distance 3
 at least one is equal. (Fingerprints of whole 18-word windows with two words replaced differ by about 10 of 64 bits; no
 block index is selective at that radius.) Every candidate alignment is then verified exactly: aligned one-word shingles
@@ -134,13 +134,22 @@ def search(doc: np.ndarray, passages: list[tuple[int, np.ndarray]], indexes: lis
     return sorted(found)
 
 
+def window_size(n: int) -> int:
+    """The length of a run that every case of a passage of n words leaves untouched, WINDOW at most."""
+    if n >= STRETCH:
+        return WINDOW
+    replaced = n // ONE_IN
+    return min(WINDOW, -(-(n - replaced) // (replaced + 1)))
+
+
 def build(rows: list[tuple[int, str]]) -> tuple[list[tuple[int, np.ndarray]], list[Index]]:
-    """Passages as word hashes and their indexes: windows of six words, and of the whole passage for shorter ones."""
+    """Passages as word hashes and their indexes: windows of six words, shorter ones for passages under 18 words."""
     table = _Hashes()
     passages = [(i, word_hashes(words(t), table)) for i, t in rows]
     passages = [(i, h) for i, h in passages if len(h)]
     none = np.zeros(0, np.uint64)
-    indexes = [Index([(i, h if min(WINDOW, len(h)) == size else none) for i, h in passages], size) for size in sorted({min(WINDOW, len(h)) for _, h in passages})]
+    sizes = [window_size(len(h)) for _, h in passages]
+    indexes = [Index([(i, h if own == size else none) for (i, h), own in zip(passages, sizes)], size) for size in sorted(set(sizes))]
     return passages, indexes
 
 

@@ -46,6 +46,11 @@ _CLOSED = re.compile(r"(?:[.!?][\"'”’)\]`]*|[。！？][”」』]?)$")
 _MARK = re.compile(r"\s*(?:\.\.\.|…|\[[^\]\w]*(?:\.\.\.|…|cut|truncated|snip)?[^\]\w]*\]|<(?:cut|snip|truncated|eos|end)>|\((?:cut|truncated|continued)\)|[-–—]+|/{2,}|\[(?:cut|truncated|snip)\])$", re.I)
 
 
+def is_closed(text: str) -> bool:
+    """Whether a text ends with a full stop (or its like) that is no mark of an omission."""
+    return bool(_CLOSED.search(text)) and not _MARK.search(text)
+
+
 def words(text: str) -> list[str]:
     """Words in lower case; numbers and code become one mark each, words with an apostrophe stay whole."""
     return ["0" if w.isdigit() else w for w in _WORD.findall(_CODE.sub(" ` ", text).lower())]
@@ -60,7 +65,8 @@ def sentences(text: str) -> list[str]:
 
 
 def _opening(ws: list[str]) -> str:
-    return " ".join(ws[:3])
+    """The first three words of a sentence, fewer where it has no word beyond them."""
+    return " ".join(ws[: min(3, len(ws) - 1)])
 
 
 @dataclass(frozen=True)
@@ -96,12 +102,11 @@ def _count(texts: list[str | None], tables: list[np.ndarray]) -> None:
             for c in at:
                 uses[c] += 1
             last = k == len(parts) - 1
-            if not last or _CLOSED.search(t):
-                ends[at[-1]] += 1
-            elif not _MARK.search(t):
+            if not last or not _MARK.search(t):
                 ends[at[-1]] += 1
             if last:
-                (closed if _CLOSED.search(t) else bare)[_cell("o" + _opening(ws))] += 1
+                for n in range(min(4, len(ws))):
+                    (closed if is_closed(t) else bare)[_cell("o" + " ".join(ws[:n]))] += 1
 
 
 def count_endings(responses: DataFrame) -> Endings:
@@ -148,7 +153,7 @@ def _dense(text: str, ws: list[str], description: list[str], endings: Endings) -
     parts = sentences(text)
     last = words(parts[-1]) if parts else []
     stripped = text.rstrip()
-    closed = bool(_CLOSED.search(stripped)) and not stripped.endswith("...")
+    closed = is_closed(stripped)
     pair = " ".join(ws[-2:]) if len(last) > 1 else " " + last[0] if last else ""
     contained, covered = _share(ws, description, 3), _share(description, ws, 3)
     end = endings.end_rate(pair) if pair else 0.0
@@ -169,7 +174,7 @@ def features(pairs: list[tuple[str, str]], endings: Endings) -> hashing.Rows:
     for t, w in zip(texts, ws):
         parts = sentences(t)
         last = words(parts[-1]) if parts else []
-        open_end = "" if _CLOSED.search(t) and not t.endswith("...") else "|open"
+        open_end = "" if is_closed(t) else "|open"
         head = _opening(last)
         tail.append([f"{' '.join(w[-k:])}{open_end}$" for k in (1, 2, 3)])
         shape.append([f"{head}#{min(len(last), 30)}{open_end}", f"{head}#{last[-1] if last else ''}{open_end}", f"{' '.join(last[:2])}#{' '.join(last[-2:])}{open_end}"])
@@ -257,15 +262,18 @@ def _training_rows(sample: list[tuple[str, str]], endings: Endings, rng: random.
     for r, d in sound:
         add(r, d, None)
     for r, d in sound:
-        if _CLOSED.search(r):
+        if is_closed(r):
             add(_cut(r, rng), d, "truncated")
             if rng.random() < 0.05:
                 add(r.rstrip().rstrip(".!?"), d, None)  # complete without a full stop
         if rng.random() < 0.2 and len(sound) > 1:
             add(r, rng.choice(sound)[1], None)  # swapped prompt
-            add(" ".join(rng.choice(sound)[1].split()) or None, d, None) if rng.random() < 0.1 else None
         if rng.random() < 0.35:
-            add(_copy(d, rng), d, "copy")
+            copied = _copy(d, rng)
+            add(copied, d, "copy")
+            other = rng.choice(sound)[1]
+            if copied and other != d:  # the same text under another prompt is no copy of it
+                add(copied if is_closed(copied) else d, other, None)
     some = sound or [("", "")]
     for s in REFUSALS * 8:
         t = _fill(s, rng, things)
