@@ -34,7 +34,7 @@ from .text import plain
 
 DEFECTS = ["empty", "copy", "refusal", "foreign", "truncated"]
 #: Pairs that training rows are made of, those with the smallest hashes of their ids.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 3000
 #: Cells of each table of corpus statistics.
 CELLS = 1 << 16
 
@@ -180,7 +180,7 @@ def features(pairs: list[tuple[str, str]], endings: Endings) -> hashing.Rows:
         shape.append([f"{head}#{min(len(last), 30)}{open_end}", f"{head}#{last[-1] if last else ''}{open_end}", f"{' '.join(last[:2])}#{' '.join(last[-2:])}{open_end}"])
     lowered = [t.lower() for t in texts]
     return hashing.assemble(len(pairs), [
-        hashing.char_grams([t[:400] for t in lowered], (3, 4)), hashing.word_grams(ws, (1,), 5), hashing.word_grams(ws, (2, 3), 6),
+        hashing.char_grams([t[:240] for t in lowered], (4,)), hashing.word_grams(ws, (1,), 5), hashing.word_grams(ws, (2, 3), 6),
         hashing.char_grams([t[-12:] for t in lowered], (2, 3), 7), hashing.word_grams(tail, (1,), 8), hashing.word_grams(shape, (1,), 9),
     ], dense)
 
@@ -302,7 +302,7 @@ def train(sample: list[tuple[str, str]], endings: Endings) -> Detector:
         y = kinds == d
         if y.any():
             w = np.where(y, 3.0, 1.0)
-            p = hashing.fit(x, y, w, steps=40).probability(x)
+            p = hashing.fit(x, y, w, steps=30).probability(x)
             keep &= ~((kinds == "") & (p > 0.5))
     models, thresholds = [], []
     for d in DEFECTS:
@@ -312,9 +312,9 @@ def train(sample: list[tuple[str, str]], endings: Endings) -> Detector:
             models.append(hashing.Linear(np.zeros(hashing.DIMENSIONS, np.float32), np.zeros(_EXTRA, np.float32), -9.0))
             thresholds.append(0.5)
             continue
-        tuned = hashing.fit(x.take(keep & ~held), y[keep & ~held], w[keep & ~held], steps=60)
+        tuned = hashing.fit(x.take(keep & ~held), y[keep & ~held], w[keep & ~held], steps=40)
         thresholds.append(hashing.best_threshold(tuned.probability(x.take(keep & held)), y[keep & held], np.where(y[keep & held], 0.4, 1.0), 0.2, 0.7))
-        models.append(hashing.fit(x.take(keep), y[keep], w[keep], steps=100))
+        models.append(hashing.fit(x.take(keep), y[keep], w[keep], steps=80))
     return Detector(models, thresholds, endings)
 
 
