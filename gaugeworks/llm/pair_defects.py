@@ -10,7 +10,7 @@ defect on held-out rows.
 
 Whether a statement without a full stop is complete depends on the texts at hand, so two statistics are counted over all
 rows (never a sample): how often each sentence opening ends without a full stop, and how often each pair of last words
-ends a sentence among all its uses. They are hashed into tables of fixed size.
+ends a sentence with a full stop among all its uses. They are hashed into tables of fixed size.
 
 Defined results: only rows with status ok are judged; a null reasoning, or one without any letter or digit, is empty; a
 row gets the likeliest of its defects, of equal ones the first in order; a null description is empty text, so nothing
@@ -71,7 +71,7 @@ def _opening(ws: list[str]) -> str:
 
 @dataclass(frozen=True)
 class Endings:
-    """For each cell: sentence openings seen last without and with a stop; pairs of words seen at an end and anywhere."""
+    """For each cell: sentence openings seen last without and with a stop; pairs of words seen before a stop and anywhere."""
 
     bare: np.ndarray
     closed: np.ndarray
@@ -102,7 +102,7 @@ def _count(texts: list[str | None], tables: list[np.ndarray]) -> None:
             for c in at:
                 uses[c] += 1
             last = k == len(parts) - 1
-            if not last or not _MARK.search(t):
+            if not last or is_closed(t):
                 ends[at[-1]] += 1
             if last:
                 for n in range(min(4, len(ws))):
@@ -138,6 +138,8 @@ def _share(a: list[str], b: list[str], n: int) -> float:
 
 
 _EXTRA = 18
+#: Dense features are scaled up against the many hashed ones, so that they are learnt first.
+_SCALE = 4.0
 
 
 def _dense(text: str, ws: list[str], description: list[str], endings: Endings) -> list[float]:
@@ -169,7 +171,7 @@ def features(pairs: list[tuple[str, str]], endings: Endings) -> hashing.Rows:
     """Rows of (response, description) pairs."""
     texts = [plain(r or "").strip() for r, _ in pairs]
     ws = [words(t) for t in texts]
-    dense = np.array([_dense(t, w, words(plain(d or "")), endings) for t, w, (_, d) in zip(texts, ws, pairs)], np.float32).reshape(-1, _EXTRA)
+    dense = np.array([_dense(t, w, words(plain(d or "")), endings) for t, w, (_, d) in zip(texts, ws, pairs)], np.float32).reshape(-1, _EXTRA) * np.float32(_SCALE)
     tail, shape = [], []
     for t, w in zip(texts, ws):
         parts = sentences(t)
