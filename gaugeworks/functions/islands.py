@@ -1,4 +1,4 @@
-"""Island grammars: comments, strings, signatures and balanced bodies of eight languages, everything else skipped.
+"""Island grammars: comments, strings, signatures and balanced bodies of ten languages, everything else skipped.
 
 Only the islands are parsed: comments and string literals (one token pattern per language), class-like and function
 signatures, annotations, and balanced bodies. Everything else is water, so files that don't parse as a whole still give
@@ -10,8 +10,8 @@ import re
 from collections.abc import Iterator
 
 #: File extensions and language names.
-EXTENSIONS = {"py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "java": "java", "rs": "rust", "cs": "csharp", "go": "go", "rb": "ruby"}
-NAMES = {"python": "python", "typescript": "typescript", "javascript": "javascript", "java": "java", "rust": "rust", "c#": "csharp", "csharp": "csharp", "go": "go", "golang": "go", "ruby": "ruby"}
+EXTENSIONS = {"py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "java": "java", "rs": "rust", "cs": "csharp", "go": "go", "rb": "ruby", "dart": "dart", "kt": "kotlin", "kts": "kotlin"}
+NAMES = {"python": "python", "typescript": "typescript", "javascript": "javascript", "java": "java", "rust": "rust", "c#": "csharp", "csharp": "csharp", "go": "go", "golang": "go", "ruby": "ruby", "dart": "dart", "kotlin": "kotlin"}
 
 _DQ, _SQ = r'"(?:\\.|[^"\\\n])*"?', r"'(?:\\.|[^'\\\n])*'?"
 _BLOCK = r"/\*.*?(?:\*/|\Z)"
@@ -25,6 +25,8 @@ _TOKENS = {
     "go": _CLASSIC + rf"|(?P<str>{_DQ}|`[^`]*(?:`|\Z)|'(?:\\.[^'\n]{{0,9}}|[^'\\\n])')",
     "ruby": rf"(?P<block>^=begin\b.*?(?:^=end\b[^\n]*|\Z))|(?P<line>#[^\n]*)|(?P<str><<[~-]?(?P<q>[\"'`]?)(?P<tag>[A-Z_]\w*)(?P=q)[^\n]*\n.*?(?:^[ \t]*(?P=tag)\b|\Z)|\"(?:\\.|[^\"\\])*(?:\"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z)|`(?:\\.|[^`\\])*(?:`|\Z)|%[qQwWiI]?\([^)]*(?:\)|\Z))",
 }
+_TOKENS["kotlin"] = _TOKENS["java"]
+_TOKENS["dart"] = _CLASSIC + r"|(?P<str>r?(?:\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|" + _DQ + "|" + _SQ + "))"
 _TOKENS["javascript"] = _TOKENS["typescript"]
 _TOKEN = {k: re.compile(v, re.S | re.M) for k, v in _TOKENS.items()}
 _MARKER = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?: [^\n]*)?$", re.M)
@@ -75,6 +77,11 @@ def _close(code: str, at: int, pair: str) -> int:
     return len(code)
 
 
+def close_bracket(code: str, at: int) -> int:
+    """The place behind the round bracket that closes the one at `at`."""
+    return _close(code, at, "()")
+
+
 # ---- Python and Ruby: scopes by indentation ----
 
 _PY = re.compile(r"^([ \t]*)(?:(class)|(?:async[ \t]+)?def)[ \t]+(\w+)", re.M)
@@ -163,6 +170,8 @@ _TYPE_WORD = {
     "csharp": r"\b(?:class|interface|struct|enum|record(?:\s+(?:class|struct))?)\s+(\w+)",
     "rust": r"\bimpl\b\s*(?:<(?:[^<>]|<[^<>]*>)*>)?\s*(?:[^{;]*?\bfor\s+)?(?:[&\w:\s]*::)?\s*(?:&|dyn\s+|mut\s+)*(\w+)|\btrait\s+(\w+)",
     "go": r"(?!)",
+    "kotlin": r"\b(?:class|interface|object)\s+(\w+)",
+    "dart": r"\b(?:class|mixin|extension|enum)\s+(\w+)",
 }
 _TYPE_WORD["javascript"] = _TYPE_WORD["typescript"]
 _TYPES = {k: re.compile(v) for k, v in _TYPE_WORD.items()}
@@ -173,9 +182,10 @@ _JS_MEMBER = re.compile(r"(?:^|[\s*}])(#?[\w$]+)\s*(?:<[^{}()]*>)?\s*(?=\()")
 _JS_FIELD = re.compile(r"(?:^|\s)(#?[\w$]+)\s*(?::[^=]*?)?=\s*(?:async\b\s*)?(?:function\b|\(|[\w$]+\s*=>)")
 _C_MEMBER = re.compile(r"(?<![\w.@])(\w+)\s*(?:<[^{}()]*>)?\s*(?=\()")
 _RUST_FUNCTION = re.compile(r"\bfn\s+(?:r#)?(\w+)")
+_KOTLIN_FUNCTION = re.compile(r"\bfun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)\s*(?=\()")
 _GO_FUNCTION = re.compile(r"\bfunc\s*(?:\(\s*(?:\w+\s+)?\*?\s*(\w+)\s*(?:\[[^\]]*\])?\s*\)\s*)?(\w+)\s*(?=[(\[])")
 _ANNOTATION = {"java": re.compile(r"\s*@(?!interface\b)[\w.]+\s*"), "csharp": re.compile(r"\s*(?=\[)"), "typescript": re.compile(r"\s*@[\w.$]+\s*"), "rust": re.compile(r"\s*#!?\s*(?=\[)")}
-_ANNOTATION["javascript"] = _ANNOTATION["typescript"]
+_ANNOTATION["javascript"] = _ANNOTATION["kotlin"] = _ANNOTATION["dart"] = _ANNOTATION["typescript"]
 
 
 def _skip_annotations(code: str, at: int, end: int, language: str) -> int:
@@ -226,6 +236,9 @@ def _signature(code: str, start: int, end: int, in_type: bool, language: str) ->
     if language == "rust":
         m = _RUST_FUNCTION.search(head)
         return (m.group(1), start + m.start(1), None) if m else None
+    if language == "kotlin":
+        m = _KOTLIN_FUNCTION.search(head)
+        return (m.group(1), start + m.start(1), None) if m else None
     if language == "go":
         m = _GO_FUNCTION.search(head)
         return (m.group(2), start + m.start(2), m.group(1)) if m else None
@@ -325,7 +338,7 @@ def _above(s: Source, begin: int, language: str, low: int = 0) -> str:
             if kind == "block":
                 break
         return "\n".join(_strip_comment(t, k, language) for t, k in reversed(lines))
-    if language in ("rust", "csharp"):
+    if language in ("rust", "csharp", "dart"):
         lines, line = [], None
         for a, b, kind in reversed(notes):
             t = s.text[a:b]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.islands import Source, functions, language_of
+from ..functions.islands import Source, close_bracket, functions, language_of
 from ..session import ensure_checkpoint_dir
 
 #: Words that open a decision, by language; else, default and boolean operators never count.
@@ -30,6 +30,8 @@ DECISIONS = {
     "ruby": r"\b(?:if|elsif|unless|while|until|for|when|rescue)\b",
 }
 DECISIONS["javascript"] = DECISIONS["typescript"]
+DECISIONS["kotlin"] = r"\b(?:if|for|while|catch)\b|->"
+DECISIONS["dart"] = DECISIONS["java"]
 _DECIDE = {k: re.compile(v) for k, v in DECISIONS.items()}
 _CALL = re.compile(r"(?:([A-Za-z_$][\w$]*)\s*(?:\.|::|->|&\.)\s*)?([A-Za-z_$][\w$]*[!?]?)\s*\(")
 _KEYWORDS = {"if", "for", "while", "switch", "match", "catch", "return", "def", "func", "fn", "function", "elif", "with", "and", "or", "not", "in", "is", "lambda", "yield", "await", "new", "super", "typeof", "sizeof", "foreach", "using", "lock", "except", "print", "assert", "del", "raise", "unless", "until", "when", "while", "loop", "async", "class", "import", "else", "do", "try", "throw", "case"}
@@ -118,6 +120,11 @@ _TRIGGER = {
 _NAMED = re.compile(r"\bname\s*[=:]\s*" + _STR, re.I)
 _DESCRIBED = re.compile(r"\bdescription\s*[=:]\s*(?:" + _STR + r"|([^,)\]]+))", re.I)
 _REGISTER = re.compile(r"\b\w+\.(?:tool|registerTool|AddTool)\s*\(\s*(?:\w+\s*,\s*&\w+(?:\.\w+)?\s*\{[^}]*?Name\s*:\s*)?" + _STR)
+#: Tools listed by a low-level handler: the handler, and each entry with its literal name.
+_LIST_HANDLER = {"python": re.compile(r"@\s*\w+\.list_tools\s*\("), "typescript": re.compile(r"\bsetRequestHandler\s*\((?=\s*(?:ListToolsRequestSchema|[\"']tools/list[\"']))")}
+_LISTED = {"python": re.compile(r"\bTool\s*\(\s*name\s*=\s*" + _STR), "typescript": re.compile(r"\{\s*name\s*:\s*" + _STR)}
+#: Registration with named arguments: Dart's registerTool(Tool(name: ...)) and Kotlin's addTool(name = ...).
+_NAMED_REGISTER = {"dart": re.compile(r"\bregisterTool\s*\(\s*(?:const\s+)?Tool\s*\("), "kotlin": re.compile(r"\baddTool\s*\(")}
 _RUBY_TOOL = re.compile(r"^[ \t]*class\s+(\w+)\s*<\s*(?:\w+::)*\w*Tool\b", re.M)
 
 
@@ -154,7 +161,26 @@ def _tools(text: str, language: str) -> Iterator[tuple]:
             d = _DESCRIBED.search(args)
             description, literal = (d.group(1), True) if d and d.group(1) is not None else (d.group(2).strip(), False) if d else (doc.strip() if language in ("python", "rust") else "", True)
             yield n.group(1) if n else own, description, literal, {"python": "python.decorator", "java": "java.tool_annotation", "rust": "rust.tool_attribute"}[language], qualified, a, z
-    elif language in ("typescript", "javascript", "go"):
+    listing = "typescript" if language == "javascript" else language
+    for m in _LIST_HANDLER[listing].finditer(plain) if listing in _LIST_HANDLER else ():
+        line = s.line(m.start())
+        handler = min((f for f in found if f[2] > line), key=lambda f: f[2], default=None)
+        if listing == "python" and (handler is None or handler[2] - line > 6):
+            continue
+        a, z = (handler[2], handler[3]) if listing == "python" else (line, s.line(close_bracket(s.code, m.end() - 1)))
+        region = "\n".join(plain.split("\n")[a - 1 : z])
+        for e in _LISTED[listing].finditer(region):
+            d = _DESCRIBED.search(region[e.end() : e.end() + 400].split("name", 1)[0])
+            described = ("", True) if not d else (d.group(1), True) if d.group(1) is not None else (d.group(2).strip(), False)
+            yield e.group(1), *described, f"{language}.list_tools_lowlevel", handler[0] if listing == "python" else f"<call:{line}>", a, z
+    for m in _NAMED_REGISTER[language].finditer(plain) if language in _NAMED_REGISTER else ():
+        args = plain[m.end() : close_bracket(s.code, m.end() - 1)]
+        n, d = _NAMED.search(args), _DESCRIBED.search(args)
+        if n:
+            line = s.line(m.start())
+            described = ("", True) if not d else (d.group(1), True) if d.group(1) is not None else (d.group(2).strip(), False)
+            yield n.group(1), *described, f"{language}.{'register_tool' if language == 'dart' else 'add_tool'}", f"<call:{line}>", line, s.line(close_bracket(s.code, m.end() - 1))
+    if language in ("typescript", "javascript", "go"):
         for m in _REGISTER.finditer(plain):
             line = s.line(m.start())
             rest = plain[m.end() : m.end() + 400]

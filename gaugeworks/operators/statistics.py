@@ -4,6 +4,7 @@ Moments come from sums, so that every aggregate combines on the map side; scores
 in doubles. Degenerate cases (no rows, no variance) give null.
 """
 
+import functools
 import math
 
 import pandas as pd
@@ -59,10 +60,39 @@ def wilcoxon_z(n: Column, w: Column, ties: Column) -> Column:
     return F.try_divide(w - n * (n + 1) / 4, F.sqrt(F.greatest(n * (n + 1) * (2 * n + 1) / 24 - ties / 48, F.lit(0.0))))
 
 
+#: Up to so many untied differences the distribution of W is enumerated exactly.
+EXACT_N = 50
+
+
+@functools.cache
+def _signed_rank_counts(n: int) -> tuple[int, ...]:
+    """How many sign patterns of ranks 1..n give each value of R+."""
+    counts = [1]
+    for r in range(1, n + 1):
+        new = counts + [0] * r
+        for k, c in enumerate(counts):
+            new[k + r] += c
+        counts = new
+    return tuple(counts)
+
+
+def exact_p(n: int, w: float) -> float:
+    """Two-sided P(W <= w) of the signed-rank statistic without ties."""
+    return min(1.0, 2 * sum(_signed_rank_counts(n)[: int(w) + 1]) / 2**n)
+
+
 @F.pandas_udf(T.DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """P(|Z| >= |z|) of the standard normal distribution."""
-    return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))
+def wilcoxon_p(n: pd.Series, w: pd.Series, ties: pd.Series, zeros: pd.Series, z: pd.Series) -> pd.Series:
+    """Exact for few differences without ties and zeros, else by the normal score."""
+
+    def one(n, w, t, zero, z):
+        if w is None or w != w or n != n:
+            return None
+        if n <= EXACT_N and t == 0 and zero == 0:
+            return exact_p(int(n), w)
+        return None if z is None or z != z else math.erfc(abs(z) / math.sqrt(2))
+
+    return pd.Series([one(*r) for r in zip(n, w, ties, zeros, z)], dtype=float)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, family: list[str], out: str) -> DataFrame:
@@ -82,7 +112,7 @@ def wilcoxon_by_component(diffs: DataFrame) -> DataFrame:
     group = ["juiz", "componente"]
     base = diffs.groupBy(*group).agg(F.count(F.lit(1)).alias("n_pareado"), F.count_if(F.col("diff") == 0).alias("n_empates"), F.median("diff").alias("mediana_diferenca"))
     sums = signed_rank_sums(diffs, group)
-    rows = base.join(sums, group, "left").withColumn("z", wilcoxon_z(F.col("n_efetivo"), F.col("w"), F.col("empate_termo"))).withColumn("p_valor", two_sided_p("z"))
+    rows = base.join(sums, group, "left").withColumn("z", wilcoxon_z(F.col("n_efetivo"), F.col("w"), F.col("empate_termo"))).withColumn("p_valor", wilcoxon_p("n_efetivo", "w", "empate_termo", "n_empates", "z"))
     rows = benjamini_hochberg(rows, "p_valor", ["juiz"], "p_valor_bh")
     return rows.select(
         *group, "n_pareado", "n_empates", (F.col("n_empates") * 100.0 / F.col("n_pareado")).alias("proporcao_empates_percentual"), F.coalesce("n_efetivo", F.lit(0)).alias("n_efetivo_teste"),

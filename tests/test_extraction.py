@@ -92,3 +92,28 @@ def test_other_languages():
     assert ("C.Add", 5) in [(q, a) for q, n, a, *_ in functions(cs, "csharp")]
     rb = "module M\n  class C\n    # Adds.\n    def self.add(a)\n      a if a\n    end\n  end\nend\ndef free; end\n"
     assert [q for q, *_ in functions(rb, "ruby")] == ["C.add", "free"]
+
+
+def tools(spark, path, body):
+    return [(t.name, t.description, t.description_is_literal, t.sdk_pattern) for t in x.detected_tools(files(spark, ("r", path, body))).orderBy("seq").collect()]
+
+
+def test_tools_of_every_language(spark):
+    py = '@s.list_tools()\nasync def listing():\n    return [Tool(name="a", description="First."), Tool(name=dyn, description="no"), Tool(name="b")]\n'
+    assert tools(spark, "a.py", py) == [("a", "First.", True, "python.list_tools_lowlevel"), ("b", "", True, "python.list_tools_lowlevel")]
+    ts = "server.setRequestHandler(ListToolsRequestSchema, async () => ({ tools: [{ name: 'a', description: 'First.' }, { name: 'b' }] }));\nserver.tool('c', 'Third.', async () => {});\n// server.tool('no', 'x')\n"
+    assert tools(spark, "a.ts", ts) == [("a", "First.", True, "typescript.list_tools_lowlevel"), ("b", "", True, "typescript.list_tools_lowlevel"), ("c", "Third.", True, "typescript.register_tool")]
+    assert tools(spark, "a.dart", "void main() {\n  s.registerTool(Tool(name: 'a', description: 'First.'), run);\n}\n") == [("a", "First.", True, "dart.register_tool")]
+    assert tools(spark, "a.kt", 'fun main() {\n  s.addTool(name = "a", description = "First.") { r -> ok(r) }\n}\n') == [("a", "First.", True, "kotlin.add_tool")]
+    assert tools(spark, "a.go", 'func main() {\n\tmcp.AddTool(s, &mcp.Tool{Name: "a", Description: "First."}, run)\n}\n') == [("a", "First.", True, "go.register_tool".replace("register", "add"))]
+    assert tools(spark, "a.rb", 'class A < Base::Tool\n  tool_name "a"\n  description "First."\n  def call(x)\n  end\nend\n') == [("a", "First.", True, "ruby.tool_class")]
+    assert tools(spark, "A.java", 'class A {\n  @Tool(name = "a", description = "First.")\n  public int f(int x) {\n    return x;\n  }\n}\n') == [("a", "First.", True, "java.tool_annotation")]
+    assert tools(spark, "a.cs", 'class A {\n  [McpServerTool, Description("First.")]\n  public static int F(int x)\n  { return x; }\n}\n') == [("F", "First.", True, "csharp.server_tool_attribute")]
+    assert tools(spark, "a.rs", "impl A {\n    /// First.\n    #[tool]\n    fn f(&self) -> u8 { 1 }\n}\n") == [("f", "First.", True, "rust.tool_attribute")]
+
+
+def test_dart_and_kotlin_functions():
+    kt = "class A {\n  fun <T> run(x: Int): Int {\n    return x\n  }\n}\nfun free() { }\n"
+    assert [q for q, *_ in functions(kt, "kotlin")] == ["A.run", "free"]
+    dart = "class A {\n  Future<int> run(int x) async {\n    if (x > 1) { return 2; }\n    return x;\n  }\n}\n"
+    assert [q for q, *_ in functions(dart, "dart")] == ["A.run"]

@@ -36,7 +36,8 @@ def test_signed_ranks_equal_brute_force(spark, diffs):
     ties = sum(t**3 - t for t in (sum(abs(x) == v for x in real) for v in {abs(x) for x in real}))
     var = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     z = (min(up, down) - n * (n + 1) / 4) / math.sqrt(var)
-    assert row.z == pytest.approx(z) and row.p_valor == pytest.approx(math.erfc(abs(z) / math.sqrt(2)))
+    exact = ties == 0 and len(real) == len(diffs)
+    assert row.z == pytest.approx(z) and row.p_valor == pytest.approx(statistics.exact_p(n, min(up, down)) if exact else math.erfc(abs(z) / math.sqrt(2)))
     assert statistics.rank_biserial(df, ["juiz"]).collect()[0].r_rank_biserial == pytest.approx((up - down) / (up + down))
 
 
@@ -95,3 +96,12 @@ def test_empty_fact_tables(spark):
     d = facts.differences(e)
     for df in (judges.score_summary(e), windows.quartile_migration(e), judges.judge_agreement(e), statistics.wilcoxon_by_component(d), judges.judge_statistics(d), judges.consensus_changes(d), windows.cut_point_transition(d)):
         assert df.collect() == []
+
+
+def test_exact_p_equals_enumeration(spark):
+    for n in (1, 3, 6):
+        for w in range(n * (n + 1) // 2 + 1):
+            hits = sum(sum(r for r, s in zip(range(1, n + 1), signs) if s) <= w for signs in itertools.product((0, 1), repeat=n))
+            assert statistics.exact_p(n, w) == pytest.approx(min(1.0, 2 * hits / 2**n))
+    df = spark.createDataFrame([("j", "c", float(d)) for d in (1, 2, 3, -4, 5)], "juiz string, componente string, diff double")
+    assert statistics.wilcoxon_by_component(df).collect()[0].p_valor == pytest.approx(statistics.exact_p(5, 4))
