@@ -78,3 +78,13 @@ def in_peak_window(ts: Column) -> Column:
     """UTC weekdays (Monday to Friday), hours 1-3 and 6-9."""
     h = F.hour(ts)
     return (F.weekday(ts) < 5) & (((h >= 1) & (h < 4)) | ((h >= 6) & (h < 10)))
+
+
+def seconds_of_duration(c: Column) -> Column:
+    """'1.500s' -> 1.5; other texts give null."""
+    return F.regexp_extract(c, r"^\s*(\d+(?:\.\d+)?)s\s*$", 1).try_cast("double")
+
+
+def seconds_until(ts: Column, now: Column) -> Column:
+    """Whole seconds from `now` to `ts`, never negative."""
+    return F.greatest(F.unix_timestamp(ts) - F.unix_timestamp(now), F.lit(0))

@@ -184,3 +184,11 @@ def source_snippets(tools: DataFrame, files: DataFrame) -> DataFrame:
     text = files.groupBy("repo_name", "file_path").agg(F.min_by("body", "file_id").alias("body"))
     snippet = line_slice(F.col("body"), F.col("a"), F.col("b"))
     return own.join(text, ["repo_name", "file_path"], "left").select("row_id", F.sha2(snippet, 256).alias("sha256"), F.when(snippet.isNotNull(), F.size(F.split(snippet, "\n", -1))).alias("linhas"))
+
+
+def source_hash_check(evaluations: DataFrame, tools: DataFrame, files: DataFrame) -> DataFrame:
+    """scenario, situacao, n: whether an evaluation's source hash is that of the source its tool points to now."""
+    hashes = source_snippets(tools, files).join(tools.select("row_id", "tool_uid"), "row_id").groupBy("tool_uid").agg(F.min_by("sha256", F.when(F.col("sha256").isNotNull(), F.col("row_id"))).alias("sha"))
+    own = F.col("source_code_sha256")
+    state = F.when(own.isNull(), "sem hash").when(F.col("sha").isNull(), "sem fonte").when(F.col("sha") == own, "igual").otherwise("diferente")
+    return evaluations.select("tool_uid", "scenario", "source_code_sha256").join(hashes, "tool_uid", "left").groupBy("scenario", state.alias("situacao")).agg(F.count(F.lit(1)).alias("n"))

@@ -60,9 +60,14 @@ def version_of(df: DataFrame) -> Column:
     return F.coalesce(F.col("prompt_version"), F.lit(NO_VERSION))
 
 
-def active_version(evaluations: DataFrame) -> DataFrame:
-    """Rows of the lexicographically last prompt version; null versions count as '(sem versão)'."""
-    last = evaluations.select(F.max(version_of(evaluations)).alias("v")).scalar()
+def active_version(evaluations: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """Rows of the lexicographically last prompt version; null versions count as '(sem versão)'.
+
+    `versions` may name a cheaper frame with the same versions, such as the rows before deduplication. Distinct versions
+    are found by hash first, so the maximum is taken over a handful of strings.
+    """
+    source = evaluations if versions is None else versions
+    last = source.select(version_of(source).alias("v")).distinct().select(F.max("v").alias("v")).scalar()
     return evaluations.where(version_of(evaluations) == last)
 
 

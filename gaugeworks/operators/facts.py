@@ -12,7 +12,7 @@ WITHOUT, WITH = "description_only", "with_source"
 def current_evaluations(evaluations: DataFrame, excluded_judges: tuple[str, ...] = ()) -> DataFrame:
     """Deduplicated rows of the active version, without excluded judges."""
     rows = evaluations.where(~F.col("judge.id").isin(*excluded_judges)) if excluded_judges else evaluations
-    return active_version(dedupe_evaluations(rows))
+    return active_version(dedupe_evaluations(rows), rows)
 
 
 def scores_long(current: DataFrame) -> DataFrame:

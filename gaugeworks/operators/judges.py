@@ -208,6 +208,30 @@ def direction_fleiss(diffs: DataFrame) -> DataFrame:
     return st.fleiss_kappa(labels, ["componente"], ["tool_uid"], "sinal")
 
 
+def grouped_summary(long: DataFrame) -> DataFrame:
+    """Mean and count by judge, scenario, component, judge and scenario, and over all, in one grouping-sets pass ('*' for all)."""
+    j, c, k = F.col("juiz"), F.col("cenario"), F.col("componente")
+    rows = long.groupingSets([[j], [c], [k], [j, c], []], "juiz", "cenario", "componente").agg(F.avg("nota").alias("media"), F.count(F.lit(1)).alias("n"))
+    return rows.select(*(F.coalesce(x, F.lit("*")).alias(x) for x in ("juiz", "cenario", "componente")), "media", "n")
+
+
+def tools_by_mean(current: DataFrame, n: int) -> DataFrame:
+    """The n tools with the highest mean score (a top-k report); tools without a score come last."""
+    from .facts import scores_long
+
+    tools = current.select(F.col("tool_key").alias("tool_uid")).distinct()
+    means = scores_long(current).groupBy("tool_uid").agg(F.avg("nota").alias("m"))
+    return tools.join(means, "tool_uid", "left").orderBy(F.desc_nulls_last("m"), "tool_uid").limit(n)
+
+
+def component_ranking(long: DataFrame) -> DataFrame:
+    """Components by mean within each scenario; the window is over a handful of aggregated rows."""
+    from pyspark.sql import Window
+
+    means = long.groupBy("componente", "cenario").agg(F.avg("nota").alias("media"), F.count(F.lit(1)).alias("n"))
+    return means.withColumn("posicao", F.rank().over(Window.partitionBy("cenario").orderBy(F.desc("media"), "componente")))
+
+
 def grouped_evaluations(current: DataFrame) -> DataFrame:
     """tool_key and its judges, for tools with more than one judge."""
     return current.groupBy("tool_key").agg(F.array_join(F.array_sort(F.collect_set("judge.id")), ",").alias("juizes"), F.countDistinct("judge.id").alias("n_juizes"), F.count(F.lit(1)).alias("n")).where("n_juizes > 1")

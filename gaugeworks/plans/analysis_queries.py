@@ -271,6 +271,32 @@ _query("dt01_peak_window", "SELECT judge.id AS juiz, count(*) FILTER (WHERE isod
 )
 
 
+_query(
+    "agg40_resumo_geral",
+    "SELECT coalesce(juiz, '*') AS juiz, coalesce(cenario, '*') AS cenario, coalesce(componente, '*') AS componente, avg(nota) AS media, count(*) AS n FROM long GROUP BY GROUPING SETS ((juiz), (cenario), (componente), (juiz, cenario), ())",
+)(lambda s, d: judges.grouped_summary(_long(s, d)))
+_query("srt05_tools_por_media", "SELECT tool_uid, m FROM (SELECT t.tool_uid, avg(l.nota) AS m FROM (SELECT DISTINCT tool_key AS tool_uid FROM act) t LEFT JOIN long l USING (tool_uid) GROUP BY ALL) ORDER BY m DESC NULLS LAST, tool_uid LIMIT 40")(
+    lambda s, d: (lambda cur: judges.tools_by_mean(cur, 40))(_current(s, d))
+)
+_query(
+    "srt06_consenso_ordenado",
+    "SELECT tool_uid, componente, n_juizes, soma_abs FROM (SELECT tool_uid, componente, count(*) AS n_juizes, sum(abs(diff_nota)) AS soma_abs FROM cons GROUP BY ALL) ORDER BY n_juizes DESC, soma_abs DESC, tool_uid, componente LIMIT 30",
+)(
+    lambda s, d: judges.consensus_changes(_diffs(s, d)).groupBy("tool_uid", "componente").agg(F.count(F.lit(1)).alias("n_juizes"), F.sum(F.abs("diff_nota")).alias("soma_abs")).orderBy(F.desc("n_juizes"), F.desc("soma_abs"), "tool_uid", "componente").limit(30)
+)
+_query("agg32_desdobramento", "SELECT componente, cenario, media, n, rank() OVER (PARTITION BY cenario ORDER BY media DESC, componente) AS posicao FROM (SELECT componente, cenario, avg(nota) AS media, count(*) AS n FROM long GROUP BY ALL)")(lambda s, d: judges.component_ranking(_long(s, d)))
+_query("flt20_failed_tools", "SELECT DISTINCT tool_uid FROM evaluations WHERE status IN ('error', 'timeout') EXCEPT SELECT tool_uid FROM evaluations WHERE status = 'ok'")(
+    lambda s, d: (lambda e: e.where("status in ('error', 'timeout')").select("tool_uid").subtract(e.where("status = 'ok'").select("tool_uid")))(read_table(s, d, "evaluations"))
+)
+_query("set03_judges_of_both_scenarios", "SELECT judge.id AS juiz FROM evaluations WHERE scenario = 'description_only' INTERSECT SELECT judge.id FROM evaluations WHERE scenario = 'with_source'")(
+    lambda s, d: (lambda e: e.where(F.col("scenario") == facts.WITHOUT).select(F.col("judge.id").alias("juiz")).intersect(e.where(F.col("scenario") == facts.WITH).select(F.col("judge.id").alias("juiz"))))(read_table(s, d, "evaluations"))
+)
+_query(
+    "jn17_first_seen_metadata",
+    "SELECT tool_key, arg_min(tool.name, eval_id) AS nome, arg_min(repo.name_with_owner, eval_id) AS repositorio FROM k WHERE tool.name IS NOT NULL AND repo.name_with_owner IS NOT NULL GROUP BY ALL",
+)(lambda s, d: dedup.with_tool_key(read_table(s, d, "evaluations")).where("tool.name is not null and repo.name_with_owner is not null").groupBy("tool_key").agg(F.min_by("tool.name", "eval_id").alias("nome"), F.min_by("repo.name_with_owner", "eval_id").alias("repositorio")))
+
+
 def pending_work(tools: DataFrame, judges_table: DataFrame, evaluations: DataFrame) -> DataFrame:
     """tool_uid, scenario, judge still to be evaluated: each tool's work list (exploded from the small judge table), minus what is done."""
     plan = judges_table.agg(F.collect_list("judge_id").alias("judges")).scalar()

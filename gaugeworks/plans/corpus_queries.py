@@ -158,3 +158,14 @@ _query("jsn02_score_validation", "SELECT eval_id FROM evaluations WHERE status =
 _query("jsn01_raw_json", "SELECT record_no, json_extract_string(body, '$.tool_uid') AS tool_uid FROM raw_records WHERE json_valid(body) AND json_type(body) = 'OBJECT'", "")(
     lambda s, d: read_table(s, d, "raw_records").select("record_no", F.try_parse_json("body").alias("v")).where("v is not null and schema_of_variant(v) like 'OBJECT%'").select("record_no", F.try_variant_get("v", "$.tool_uid", "string").alias("tool_uid"))
 )
+_query("set04_repos_without_tools", "SELECT DISTINCT name_with_owner FROM candidates WHERE name_with_owner IS NOT NULL EXCEPT SELECT repo.name_with_owner FROM tools", "")(
+    lambda s, d: read_table(s, d, "candidates").select("name_with_owner").where("name_with_owner is not null").subtract(read_table(s, d, "tools").select(F.col("repo.name_with_owner").alias("name_with_owner")))
+)
+_query(
+    "jn19_source_sha",
+    """WITH b AS (SELECT repo_name, file_path, regexp_split_to_array(arg_min(body, file_id), '\\r?\\n') AS l FROM source_files GROUP BY ALL),
+    t AS (SELECT tool_uid, arg_min(sha256(CASE WHEN l IS NULL OR tool.source_location.start_line IS NULL OR tool.source_location.end_line IS NULL OR tool.source_location.start_line < 1 THEN NULL ELSE array_to_string(l[tool.source_location.start_line:tool.source_location.end_line], chr(10)) END), row_id) AS sha
+          FROM tools LEFT JOIN b ON b.repo_name = tools.repo.name_with_owner AND b.file_path = tools.tool.source_location.file GROUP BY ALL)
+    SELECT e.scenario, CASE WHEN e.source_code_sha256 IS NULL THEN 'sem hash' WHEN t.sha IS NULL THEN 'sem fonte' WHEN t.sha = e.source_code_sha256 THEN 'igual' ELSE 'diferente' END AS situacao, count(*) AS n FROM evaluations e LEFT JOIN t USING (tool_uid) GROUP BY ALL""",
+    "",
+)(lambda s, d: corpus.source_hash_check(read_table(s, d, "evaluations"), read_table(s, d, "tools"), read_table(s, d, "source_files")))

@@ -19,6 +19,7 @@ def test_keys(spark):
     assert one(spark, keys.truncate_with_notice(u, 3, "!"), u="abcd") == "abc!"
     assert one(spark, keys.first_json_object(u), u='x {"a": {}} y') == '{"a": {}}'
     assert one(spark, keys.mask_secret(u), u="secret") == "secr…"
+    assert one(spark, keys.seconds_of_duration(u), u="1.500s") == 1.5 and one(spark, keys.seconds_of_duration(u), u="x") is None
     line = lambda a, b: one(spark, keys.line_slice(u, F.lit(a), F.lit(b)), u="1\r\n2\n3")
     assert (line(2, 3), line(3, 9), line(5, 6), line(0, 1)) == ("2\n3", "3", "", None)
 
