@@ -182,7 +182,7 @@ def features(pairs: list[tuple[str, str]], endings: Endings) -> hashing.Rows:
         shape.append([f"{head}#{min(len(last), 30)}{open_end}", f"{head}#{last[-1] if last else ''}{open_end}", f"{' '.join(last[:2])}#{' '.join(last[-2:])}{open_end}"])
     lowered = [t.lower() for t in texts]
     return hashing.assemble(len(pairs), [
-        hashing.char_grams([t[:240] for t in lowered], (4,)), hashing.word_grams(ws, (1,), 5), hashing.word_grams(ws, (2, 3), 6),
+        hashing.char_grams(lowered, (4,)), hashing.word_grams(ws, (1,), 5), hashing.word_grams(ws, (2, 3), 6),
         hashing.char_grams([t[-12:] for t in lowered], (2, 3), 7), hashing.word_grams(tail, (1,), 8), hashing.word_grams(shape, (1,), 9),
     ], dense)
 
