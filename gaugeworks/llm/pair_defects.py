@@ -17,8 +17,10 @@ row gets the likeliest of its defects, of equal ones the first in order; a null
 counts as its copy; repeated rows are judged each; an empty table gives no rows.
 """
 
+import functools
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,6 +58,7 @@ def words(text: str) -> list[str]:
     return ["0" if w.isdigit() else w for w in _WORD.findall(_CODE.sub(" ` ", text).lower())]
 
 
+@functools.lru_cache(maxsize=1 << 17)
 def _cell(s: str) -> int:
     return xxhash.xxh32_intdigest(s) & (CELLS - 1)
 
@@ -88,25 +91,26 @@ class Endings:
 
 
 def _count(texts: list[str | None], tables: list[np.ndarray]) -> None:
-    bare, closed, ends, uses = tables
+    bare, closed, ends, uses = [], [], [], []
     for t in texts:
         if not t or not t.strip():
             continue
         t = plain(t).strip()
         parts = sentences(t)
+        whole = is_closed(t)
         for k, p in enumerate(parts):
             ws = words(p)
             if not ws:
                 continue
             at = [_cell("e" + a + " " + b) for a, b in zip(["", *ws], ws)]
-            for c in at:
-                uses[c] += 1
+            uses += at
             last = k == len(parts) - 1
-            if not last or is_closed(t):
-                ends[at[-1]] += 1
+            if not last or whole:
+                ends.append(at[-1])
             if last:
-                for n in range(min(4, len(ws))):
-                    (closed if is_closed(t) else bare)[_cell("o" + " ".join(ws[:n]))] += 1
+                (closed if whole else bare).extend(_cell("o" + " ".join(ws[:n])) for n in range(min(4, len(ws))))
+    for table, cells in zip(tables, (bare, closed, ends, uses)):
+        table += np.bincount(np.array(cells, np.int64), minlength=CELLS)
 
 
 def count_endings(responses: DataFrame) -> Endings:
@@ -128,13 +132,19 @@ def count_endings(responses: DataFrame) -> Endings:
     return Endings(**tables)
 
 
-def _share(a: list[str], b: list[str], n: int) -> float:
-    """The share of a's n-grams that stand in b."""
-    if len(a) < n:
-        return 0.0
-    own = set(zip(*(b[k:] for k in range(n))))
-    mine = list(zip(*(a[k:] for k in range(n))))
-    return sum(g in own for g in mine) / len(mine)
+@functools.lru_cache(maxsize=4096)
+def _prompt(description: str) -> tuple[frozenset, list, frozenset]:
+    """(words, word triples in order, set of triples) of a description; many rows share one."""
+    ws = words(plain(description))
+    triples = list(zip(ws, ws[1:], ws[2:]))
+    return frozenset(ws), triples, frozenset(triples)
+
+
+#: Words of other languages that are none of English, with the languages they belong to.
+_FOREIGN_WORDS: dict[str, tuple[str, ...]] = {}
+for _k, _ws in FUNCTION_WORDS.items():
+    for _w in _ws - FUNCTION_WORDS["en"]:
+        _FOREIGN_WORDS[_w] = (*_FOREIGN_WORDS.get(_w, ()), _k)
 
 
 _EXTRA = 18
@@ -142,27 +152,35 @@ _EXTRA = 18
 _SCALE = 4.0
 
 
-def _dense(text: str, ws: list[str], description: list[str], endings: Endings) -> list[float]:
-    letters = [c for c in _NAME.sub("", text) if c.isalpha()]
-    n = max(1, len(letters))
-    latin = sum(c.isascii() for c in letters) / n
-    beyond = sum(ord(c) > 0x24F for c in letters) / n
+def _dense(text: str, ws: list[str], description: str, endings: Endings) -> list[float]:
+    bare_text = _NAME.sub("", text)
+    n_letters = sum(map(str.isalpha, bare_text))
+    n = max(1, n_letters)
+    latin, beyond = 1.0 if n_letters else 0.0, 0.0
+    if not bare_text.isascii():
+        latin = sum(c.isascii() and c.isalpha() for c in bare_text) / n
+        beyond = sum(c > "\u024f" and c.isalpha() for c in bare_text) / n
     count = max(1, len(ws))
-    own = [w for w in ws if w not in ("`", "0")]
-    english = sum(w in FUNCTION_WORDS["en"] for w in own)
-    other = max(sum(w in FUNCTION_WORDS[k] and w not in FUNCTION_WORDS["en"] for w in own) for k in FUNCTION_WORDS if k != "en")
+    own = [w for w in ws if w != "`" and w != "0"]
+    english = sum(map(FUNCTION_WORDS["en"].__contains__, own))
+    others = Counter(k for w in own if w in _FOREIGN_WORDS for k in _FOREIGN_WORDS[w])
+    other = max(others.values(), default=0)
     m = max(1, len(own))
     parts = sentences(text)
     last = words(parts[-1]) if parts else []
     stripped = text.rstrip()
     closed = is_closed(stripped)
     pair = " ".join(ws[-2:]) if len(last) > 1 else " " + last[0] if last else ""
-    contained, covered = _share(ws, description, 3), _share(description, ws, 3)
+    known, triples, triple_set = _prompt(description)
+    mine = list(zip(ws, ws[1:], ws[2:]))
+    contained = sum(map(triple_set.__contains__, mine)) / len(mine) if mine else 0.0
+    mine_set = set(mine)
+    covered = sum(map(mine_set.__contains__, triples)) / len(triples) if triples and mine else 0.0
     end = endings.end_rate(pair) if pair else 0.0
     bare = endings.bare_rate(_opening(last)) if last else 0.0
     return [
-        float(not letters), 1.0 - latin, beyond, float(beyond > 0.3), english / m, other / m, float(english == 0 and m > 3),
-        contained, covered, contained * covered, float(contained > 0.8 and covered > 0.5), _share(ws, description, 1),
+        float(not n_letters), 1.0 - latin, beyond, float(beyond > 0.3), english / m, other / m, float(english == 0 and m > 3),
+        contained, covered, contained * covered, float(contained > 0.8 and covered > 0.5), sum(map(known.__contains__, ws)) / count,
         float(closed), 0.0 if closed else end, 0.0 if closed else bare, float(not closed and end < 0.05), float(bool(_MARK.search(stripped)) and not closed), min(3.0, np.log1p(count) / 2),
     ]
 
@@ -171,7 +189,7 @@ def features(pairs: list[tuple[str, str]], endings: Endings) -> hashing.Rows:
     """Rows of (response, description) pairs."""
     texts = [plain(r or "").strip() for r, _ in pairs]
     ws = [words(t) for t in texts]
-    dense = np.array([_dense(t, w, words(plain(d or "")), endings) for t, w, (_, d) in zip(texts, ws, pairs)], np.float32).reshape(-1, _EXTRA) * np.float32(_SCALE)
+    dense = np.array([_dense(t, w, d or "", endings) for t, w, (_, d) in zip(texts, ws, pairs)], np.float32).reshape(-1, _EXTRA) * np.float32(_SCALE)
     tail, shape = [], []
     for t, w in zip(texts, ws):
         parts = sentences(t)
@@ -257,7 +275,7 @@ def _training_rows(sample: list[tuple[str, str]], endings: Endings, rng: random.
             labels.append(label)
 
     def looks_sound(r: str, d: str) -> bool:
-        f = _dense(plain(r).strip(), words(plain(r)), words(plain(d)), endings)
+        f = _dense(plain(r).strip(), words(plain(r)), d, endings)
         return not f[0] and f[7] < 0.6 and (f[4] > 0.08 or len(r) < 40) and f[2] < 0.2 and r.strip().lower() not in void and (bool(f[12]) or f[14] > 0.5) and not f[16]
 
     sound = [(r, d) for r, d in sample if r and looks_sound(r, d)]
