@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.islands import Source, close_bracket, functions, language_of
+from ..functions.islands import Source, _close, close_bracket, functions, language_of
 from ..session import ensure_checkpoint_dir
 
 #: Words that open a decision, by language; else, default and boolean operators never count.
@@ -109,17 +109,53 @@ def _imports(text: str, language: str) -> Iterator[tuple]:
             yield m.group(1), m.group(2), m.group(1)
 
 
-_STR = r"[\"'`]([^\"'`\n]*)[\"'`]"
+#: One literal, closed by the quote that opened it; and a run of them that are joined, as the group.
+_ONE = r"""[rR]?(?:\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)"""
+_STR = rf"({_ONE}(?:\s*\+?\s*{_ONE})*)"
+_LITERAL = re.compile(_ONE, re.S)
+_ESCAPE = re.compile(r"\\(?:u\{?([0-9a-fA-F]{4,6})\}?|x([0-9a-fA-F]{2})|(.))", re.S)
+_ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "\n": ""}
+
+
+def _value(literals: str, language: str) -> str:
+    """The text of one or several joined literals."""
+    out = []
+    for m in _LITERAL.finditer(literals):
+        q = m.group()
+        raw, q = q[0] in "rR" or (language == "go" and q[0] == "`"), q.lstrip("rR")
+        n = 3 if q[:3] in ('"""', "'''") and len(q) >= 6 else 1
+        body = q[n:-n]
+        out.append(body if raw else _ESCAPE.sub(lambda e: chr(int(e.group(1) or e.group(2), 16)) if e.group(3) is None else _ESCAPED.get(e.group(3), e.group(3)), body))
+    return "".join(out)
+
+
+def _shallow(plain: str, code: str, at: int, end: int, depth: int) -> str:
+    """The text from the bracket at `at` to `end`, without what is nested deeper than `depth` brackets."""
+    out, level, last = [], 0, at
+    for m in re.compile(r"[()\[\]{}]").finditer(code, at, end):
+        if m.group() in "([{":
+            level += 1
+            if level == depth + 1:
+                out.append(plain[last : m.start()])
+        else:
+            level -= 1
+            if level == depth:
+                last = m.end()
+    if level <= depth:
+        out.append(plain[last:end])
+    return "".join(out)
+
+
 #: Triggers of a tool: pattern over the text whose comments are blanked; group `name` where the call or annotation names it.
 _TRIGGER = {
-    "python": re.compile(r"@\s*\w+\.tool\s*\(([^)\n]*)\)|@\s*\w+\.tool\b"),
-    "java": re.compile(r"@Tool\s*\(([^)]*)\)|@Tool\b"),
-    "csharp": re.compile(r"\[\s*McpServerTool\b([^\]]*)\]"),
-    "rust": re.compile(r"#\[\s*tool\b([^\]]*)\]"),
+    "python": re.compile(r"@\s*\w+\.tool\b(?:\s*(\())?"),
+    "java": re.compile(r"@Tool\b(?:\s*(\())?"),
+    "csharp": re.compile(r"(\[)\s*McpServerTool\b"),
+    "rust": re.compile(r"#(\[)\s*tool\b"),
 }
-_NAMED = re.compile(r"\bname\s*[=:]\s*" + _STR, re.I)
-_DESCRIBED = re.compile(r"\bdescription\s*[=:]\s*(?:" + _STR + r"|([^,)\]]+))", re.I)
-_REGISTER = re.compile(r"\b\w+\.(?:tool|registerTool|AddTool)\s*\(\s*(?:\w+\s*,\s*&\w+(?:\.\w+)?\s*\{[^}]*?Name\s*:\s*)?" + _STR)
+_NAMED = re.compile(r"\bname\s*[=:]\s*" + _STR, re.I | re.S)
+_DESCRIBED = re.compile(r"\bdescription\s*[=:]\s*(?:" + _STR + r"(?=\s*(?:[,)\]};]|$))|([^,)\]]+))", re.I | re.S)
+_REGISTER = re.compile(r"\b\w+\.(?:tool|registerTool|AddTool)\s*\(\s*(?:\w+\s*,\s*&\w+(?:\.\w+)?\s*\{[^}]*?Name\s*:\s*)?" + _STR, re.S)
 #: Tools listed by a low-level handler: the handler, and each entry with its literal name.
 _LIST_HANDLER = {"python": re.compile(r"@\s*\w+\.list_tools\s*\("), "typescript": re.compile(r"\bsetRequestHandler\s*\((?=\s*(?:ListToolsRequestSchema|[\"']tools/list[\"']))")}
 _LISTED = {"python": re.compile(r"\bTool\s*\(\s*name\s*=\s*" + _STR), "typescript": re.compile(r"\{\s*name\s*:\s*" + _STR)}
@@ -142,25 +178,28 @@ def _tools(text: str, language: str) -> Iterator[tuple]:
     s = Source(text, language)
     plain = _comments_blanked(s)
     found = list(functions(text, language))
+    described = lambda d: ("", True) if not d else (_value(d.group(1), language), True) if d.group(1) is not None else (d.group(2).strip(), False)
     if language in _TRIGGER:
         for m in _TRIGGER[language].finditer(plain):
             line = s.line(m.start())
             nearest = min((f for f in found if f[2] >= line), key=lambda f: f[2], default=None)
-            if nearest is None or nearest[2] - s.line(m.end()) > 6:
+            opened = m.start(1) if m.group(1) else None
+            end = m.end() if opened is None else _close(s.code, opened, "()" if m.group(1) == "(" else "[]")
+            if nearest is None or nearest[2] - s.line(end) > 6:
                 continue
             qualified, own, a, z, doc, _code = nearest
-            args = (m.group(1) if m.re.groups else None) or ""
+            args = "" if opened is None else _shallow(plain, s.code, opened, end, 2 if language == "rust" else 1)
             if language == "csharp":
                 between = plain[m.start() : s.ends[a - 1] if a - 1 < len(s.ends) else None]
-                d = re.search(r"\bDescription\s*\(\s*" + _STR, between)
-                yield own, d.group(1) if d else "", True, "csharp.server_tool_attribute", qualified, a, z
+                d = re.search(r"\bDescription\s*\(\s*" + _STR, between, re.S)
+                yield own, _value(d.group(1), language) if d else "", True, "csharp.server_tool_attribute", qualified, a, z
                 continue
             n = _NAMED.search(args)
             if re.search(r"\bname\s*=", args) and not n and language != "python":
                 continue
             d = _DESCRIBED.search(args)
-            description, literal = (d.group(1), True) if d and d.group(1) is not None else (d.group(2).strip(), False) if d else (doc.strip() if language in ("python", "rust") else "", True)
-            yield n.group(1) if n else own, description, literal, {"python": "python.decorator", "java": "java.tool_annotation", "rust": "rust.tool_attribute"}[language], qualified, a, z
+            description, literal = described(d) if d else (doc.strip() if language in ("python", "rust") else "", True)
+            yield _value(n.group(1), language) if n else own, description, literal, {"python": "python.decorator", "java": "java.tool_annotation", "rust": "rust.tool_attribute"}[language], qualified, a, z
     listing = "typescript" if language == "javascript" else language
     for m in _LIST_HANDLER[listing].finditer(plain) if listing in _LIST_HANDLER else ():
         line = s.line(m.start())
@@ -168,31 +207,31 @@ def _tools(text: str, language: str) -> Iterator[tuple]:
         if listing == "python" and (handler is None or handler[2] - line > 6):
             continue
         a, z = (handler[2], handler[3]) if listing == "python" else (line, s.line(close_bracket(s.code, m.end() - 1)))
-        region = "\n".join(plain.split("\n")[a - 1 : z])
-        for e in _LISTED[listing].finditer(region):
-            d = _DESCRIBED.search(region[e.end() : e.end() + 400].split("name", 1)[0])
-            described = ("", True) if not d else (d.group(1), True) if d.group(1) is not None else (d.group(2).strip(), False)
-            yield e.group(1), *described, f"{language}.list_tools_lowlevel", handler[0] if listing == "python" else f"<call:{line}>", a, z
+        first, last = (s.ends[a - 2] + 1 if a > 1 else 0), (s.ends[z - 1] if z - 1 < len(s.ends) else len(plain))
+        for e in _LISTED[listing].finditer(plain, first, last):
+            at = plain.index("(" if listing == "python" else "{", e.start())
+            d = _DESCRIBED.search(_shallow(plain, s.code, at, _close(s.code, at, "()" if listing == "python" else "{}"), 1))
+            yield _value(e.group(1), language), *described(d), f"{language}.list_tools_lowlevel", handler[0] if listing == "python" else f"<call:{line}>", a, z
     for m in _NAMED_REGISTER[language].finditer(plain) if language in _NAMED_REGISTER else ():
         args = plain[m.end() : close_bracket(s.code, m.end() - 1)]
         n, d = _NAMED.search(args), _DESCRIBED.search(args)
         if n:
             line = s.line(m.start())
-            described = ("", True) if not d else (d.group(1), True) if d.group(1) is not None else (d.group(2).strip(), False)
-            yield n.group(1), *described, f"{language}.{'register_tool' if language == 'dart' else 'add_tool'}", f"<call:{line}>", line, s.line(close_bracket(s.code, m.end() - 1))
+            yield _value(n.group(1), language), *described(d), f"{language}.{'register_tool' if language == 'dart' else 'add_tool'}", f"<call:{line}>", line, s.line(close_bracket(s.code, m.end() - 1))
     if language in ("typescript", "javascript", "go"):
         for m in _REGISTER.finditer(plain):
             line = s.line(m.start())
-            rest = plain[m.end() : m.end() + 400]
-            d = re.match(r"\s*,\s*" + _STR, rest) or re.search(r"[dD]escription\s*:\s*" + _STR, rest)
-            yield m.group(1), d.group(1) if d else "", True, f"{language}.register_tool" if language != "go" else "go.add_tool", f"<call:{line}>", line, line
+            opened = plain.index("(", m.start())
+            end = close_bracket(s.code, opened)
+            d = re.compile(r"\s*,\s*" + _STR + r"(?=\s*[,)])", re.S).match(plain, m.end(), end) or _DESCRIBED.search(_shallow(plain, s.code, opened, end, 2)[m.end() - opened :])
+            yield _value(m.group(1), language), *described(d), f"{language}.register_tool" if language != "go" else "go.add_tool", f"<call:{line}>", line, line
     elif language == "ruby":
-        for m in _RUBY_TOOL.finditer(plain):
+        classes = list(_RUBY_TOOL.finditer(plain))
+        for m, after in zip(classes, [*(k.start() for k in classes[1:]), len(plain)]):
             call = next((f for f in found if f[0] == f"{m.group(1)}.call"), None)
             if call:
-                head = plain[m.end() : m.end() + 600]
-                n, d = re.search(r"\btool_name\s+" + _STR, head), re.search(r"\bdescription\s+" + _STR, head)
-                yield n.group(1) if n else m.group(1), d.group(1) if d else "", True, "ruby.tool_class", call[0], call[2], call[3]
+                n, d = (re.compile(rf"\b{k}\s+" + _STR, re.S).search(plain, m.end(), after) for k in ("tool_name", "description"))
+                yield _value(n.group(1), language) if n else m.group(1), _value(d.group(1), language) if d else "", True, "ruby.tool_class", call[0], call[2], call[3]
 
 
 def unique_files(source_files: DataFrame) -> DataFrame:

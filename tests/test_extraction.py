@@ -117,3 +117,19 @@ def test_dart_and_kotlin_functions():
     assert [q for q, *_ in functions(kt, "kotlin")] == ["A.run", "free"]
     dart = "class A {\n  Future<int> run(int x) async {\n    if (x > 1) { return 2; }\n    return x;\n  }\n}\n"
     assert [q for q, *_ in functions(dart, "dart")] == ["A.run"]
+
+
+def test_long_quoted_and_joined_descriptions(spark):
+    long = "Returns the user's name (and address). " * 30
+    got = lambda path, body: [r[:3] for r in tools(spark, path, body)]
+    want = [("a", long, True)]
+    assert got("a.ts", f'server.registerTool("a", {{ inputSchema: {{ q: {{ description: "no" }} }}, description: "{long}" }}, run);\n') == want
+    assert got("a.js", f'server.tool("a", "{long}", run);\n') == want
+    assert got("a.go", f'func main() {{\n\tmcp.AddTool(s, &mcp.Tool{{Name: "a", Description: "{long}"}}, run)\n}}\n') == want
+    assert got("a.py", f'@s.tool(\n    name="a",\n    description="{long}",\n)\ndef f(x):\n    pass\n') == want
+    assert got("b.py", f'@s.list_tools()\nasync def listing():\n    return [Tool(name="a", inputSchema={{"name": 1}}, description="{long[:50]}"\n        "{long[50:]}")]\n') == want
+    assert got("a.rb", f'class A < Base::Tool\n  tool_name "a"\n  description "{long}"\n  def call(x)\n  end\nend\n') == want
+    assert got("A.java", f'class A {{\n  @Tool(name = "a", description = "{long}")\n  public int f(int x) {{\n    return x;\n  }}\n}}\n') == want
+    assert got("a.dart", f'void main() {{\n  s.registerTool(Tool(name: "a", description: "{long}"), run);\n}}\n') == want
+    assert got("a.rs", f'impl A {{\n    #[tool(name = "a", description = "{long}")]\n    fn f(&self) -> u8 {{ 1 }}\n}}\n') == want
+    assert got("c.ts", "server.tool('a', 'It\\'s \"so\".', run);\n") == [("a", 'It\'s "so".', True)]
