@@ -161,6 +161,8 @@ _LIST_HANDLER = {"python": re.compile(r"@\s*\w+\.list_tools\s*\("), "typescript"
 _LISTED = {"python": re.compile(r"\bTool\s*\(\s*name\s*=\s*" + _STR), "typescript": re.compile(r"\{\s*name\s*:\s*" + _STR)}
 #: Registration with named arguments: Dart's registerTool(Tool(name: ...)) and Kotlin's addTool(name = ...).
 _NAMED_REGISTER = {"dart": re.compile(r"\bregisterTool\s*\(\s*(?:const\s+)?Tool\s*\("), "kotlin": re.compile(r"\baddTool\s*\(")}
+#: Third-party registration: server.addTool({name: ..., execute: ...}) and a bare addTool({...}); without a handler it is no tool.
+_ADD_TOOL = re.compile(r"(?<![\w$])addTool\s*\(\s*\{")
 _RUBY_TOOL = re.compile(r"^[ \t]*class\s+(\w+)\s*<\s*(?:\w+::)*\w*Tool\b", re.M)
 
 
@@ -218,6 +220,14 @@ def _tools(text: str, language: str) -> Iterator[tuple]:
         if n:
             line = s.line(m.start())
             yield _value(n.group(1), language), *described(d), f"{language}.{'register_tool' if language == 'dart' else 'add_tool'}", f"<call:{line}>", line, s.line(close_bracket(s.code, m.end() - 1))
+    for m in _ADD_TOOL.finditer(plain) if listing == "typescript" else ():
+        opened = plain.index("(", m.start())
+        end = close_bracket(s.code, opened)
+        args = _shallow(plain, s.code, opened, end, 2)
+        n, d = _NAMED.search(args), _DESCRIBED.search(args)
+        if n and re.search(r"\bexecute\b", args):
+            line, handler = s.line(m.start()), re.search(r"\bexecute\s*:\s*([A-Za-z_$][\w$]*)\s*[,}]", args)
+            yield _value(n.group(1), language), *described(d), f"{language}.fastmcp_npm_addtool", handler.group(1) if handler else f"<call:{line}>", line, s.line(end)
     if language in ("typescript", "javascript", "go"):
         for m in _REGISTER.finditer(plain):
             line = s.line(m.start())

@@ -133,3 +133,8 @@ def test_long_quoted_and_joined_descriptions(spark):
     assert got("a.dart", f'void main() {{\n  s.registerTool(Tool(name: "a", description: "{long}"), run);\n}}\n') == want
     assert got("a.rs", f'impl A {{\n    #[tool(name = "a", description = "{long}")]\n    fn f(&self) -> u8 {{ 1 }}\n}}\n') == want
     assert got("c.ts", "server.tool('a', 'It\\'s \"so\".', run);\n") == [("a", 'It\'s "so".', True)]
+
+
+def test_third_party_add_tool(spark):
+    ts = 'server.addTool({\n  name: "a",\n  parameters: { description: "no" },\n  description: "First.",\n  execute: async (x) => run(x),\n});\naddTool({ name: "b", execute: run });\naddTool({ name: "c" });\nserver.addTool(tool);\n// addTool({ name: "no" })\n'
+    assert tools(spark, "a.ts", ts) == [("a", "First.", True, "typescript.fastmcp_npm_addtool"), ("b", "", True, "typescript.fastmcp_npm_addtool")]
