@@ -184,8 +184,9 @@ def drift_report(ingested: DataFrame, target: dict[str, str] = TARGET, min_match
     """log_name, file_name, change_kind, old_path, new_path: the changes of each file against the one before it.
 
     A removed and an added path are one rename when at least `min_match` of the tools that have both carry on with the
-    same value (compared across kinds) and the evidence is more than one constant; each path is in one rename at most,
-    the one with most matching tools. Joins are on log, file, path and value, so no pair of unlike values is formed.
+    same value (compared across kinds); each path is in one rename at most, the one with most matching tools. A constant
+    that goes on under another last name counts, whatever the number of tools, where neither path has another candidate;
+    a constant boolean never does. Joins are on log, file, path and value, so no pair of unlike values is formed.
 
     The distinct facts, the changes and the renames are checkpointed, so the lines are parsed once and plans stay short.
     `raw` may name the rows the file order is read from without parsing.
@@ -230,7 +231,14 @@ def drift_report(ingested: DataFrame, target: dict[str, str] = TARGET, min_match
         .agg(F.count(F.lit(1)).alias("common"))
     )
     leaf = lambda c: F.substring_index(F.col(c), ".", -1)
-    pairs = same.join(common, ["log_name", "seq", "old_path", "new_path"]).where((F.col("same") >= min_match * F.col("common")) & ((F.col("n_values") > 1) | (leaf("old_path") == leaf("new_path")) | ((F.col("common") < 3) & ~F.col("boolean"))))
+    strong = (F.col("n_values") > 1) | (leaf("old_path") == leaf("new_path"))
+    rivals = lambda c: F.count(F.lit(1)).over(Window.partitionBy("log_name", "seq", c))
+    pairs = (
+        same.join(common, ["log_name", "seq", "old_path", "new_path"])
+        .where((F.col("same") >= min_match * F.col("common")) & (strong | ~F.col("boolean")))
+        .withColumn("only", (rivals("old_path") == 1) & (rivals("new_path") == 1))
+        .where(strong | F.col("only"))
+    )
     best = [F.desc("same"), (leaf("old_path") == leaf("new_path")).desc()]
     renames = (
         pairs.withColumn("a", F.row_number().over(Window.partitionBy("log_name", "seq", "old_path").orderBy(*best, "new_path")))

@@ -54,6 +54,15 @@ def test_constant_is_no_rename(spark):
     assert report(raw(spark, [("l", "a", 1, a), ("l", "b", 2, b)])) == [("added", "", "seen"), ("removed", "ok", "")]
 
 
+@pytest.mark.parametrize("n", [1, 2, 6])
+def test_constant_under_another_name_at_any_size(spark, n):
+    a = [tool(i, schema_version="2.1") for i in range(n)]
+    b = [tool(i, format="2.1") for i in range(n)]
+    assert report(raw(spark, [("l", "a", 1, a), ("l", "b", 2, b)])) == [("renamed", "schema_version", "format")]
+    b = [tool(i, format="2.1", other="2.1") for i in range(n)]
+    assert report(raw(spark, [("l", "a", 1, a), ("l", "b", 2, b)])) == [("added", "", "format"), ("added", "", "other"), ("removed", "schema_version", "")]
+
+
 def test_logs_are_apart_and_ties_follow_names(spark):
     df = raw(spark, [("l", "b", 1, [tool(1, y=1)]), ("l", "a", 1, [tool(1, x=9)]), ("m", "c", 1, [tool(1, z=1)])])
     assert report(df) == [("added", "", "y"), ("removed", "x", "")]
