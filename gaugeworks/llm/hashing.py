@@ -42,6 +42,8 @@ class Rows:
     index: np.ndarray
     value: np.ndarray
     dense: np.ndarray
+    #: Number of features of the last family.
+    last: int = 0
 
     def with_dense(self, more: np.ndarray) -> "Rows":
         return Rows(self.n, self.row, self.index, self.value, np.hstack([self.dense, more]))
@@ -101,7 +103,7 @@ def assemble(n: int, families: Sequence[tuple[np.ndarray, np.ndarray]], dense: n
     none = np.zeros(0)
     return Rows(
         n, np.concatenate(rows) if rows else none.astype(np.int32), np.concatenate(index) if rows else none.astype(np.uint32), np.concatenate(value) if rows else none.astype(np.float32),
-        np.zeros((n, 0), np.float32) if dense is None else dense.astype(np.float32),
+        np.zeros((n, 0), np.float32) if dense is None else dense.astype(np.float32), len(rows[-1]) if rows else 0,
     )
 
 
