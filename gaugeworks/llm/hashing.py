@@ -92,6 +92,33 @@ def word_grams(texts: Sequence[Sequence[str]], orders: Sequence[int], salt: int
     return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int32), np.zeros(0, np.uint32))
 
 
+#: Distances of two classes, in words, that are told apart.
+_NEAR = (1, 2, 4, 8)
+
+
+def class_grams(rows: Sequence[Sequence[int]], kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, index) of word classes (0 for none, else below `kinds`): alone, in ordered pairs up to eight words apart, three in a row."""
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    flat = np.fromiter((k for ks in rows for k in ks), np.uint32, int(size.sum()))
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    at = np.flatnonzero(flat)
+    k, own, n = flat[at], owner[at], np.uint32(kinds)
+    out_row, out = [own], [k]
+    for step in (1, 2, 3):
+        if len(at) <= step:
+            break
+        gap = at[step:] - at[:-step]
+        near = (own[step:] == own[:-step]) & (gap <= _NEAR[-1])
+        pair = k[:-step] * n + k[step:]
+        out_row += [own[step:][near]] * 2
+        out += [n + pair[near], (n + n * n) * (np.searchsorted(_NEAR, gap[near]).astype(np.uint32) + np.uint32(1)) + n + pair[near]]
+    if len(at) > 2:
+        three = own[2:] == own[:-2]
+        out_row.append(own[2:][three])
+        out.append(np.uint32(1 << 20) + ((k[:-2] * n + k[1:-1]) * n + k[2:])[three])
+    return np.concatenate(out_row), _mix(np.concatenate(out), 77)
+
+
 def assemble(n: int, families: Sequence[tuple[np.ndarray, np.ndarray]], dense: np.ndarray | None = None) -> Rows:
     """Rows of several families, each scaled to unit length per text."""
     rows, index, value = [], [], []

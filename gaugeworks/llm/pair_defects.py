@@ -2,15 +2,17 @@
 
 Prompt is a tool's description, response the judge's reasoning. One logistic model per defect (empty, truncated, refusal,
 copy, foreign) over hashed n-grams of the response, n-grams anchored at its end, the start of its last sentence joined
-with its length and last word, and dense pair features (how much of the response stands in the description, and the
-reverse). Training rows are made from a bounded sample of real pairs by defect: responses cut off, with or without a mark;
-descriptions copied whole, in part, quoted or twice; responses swapped between rows (sound ones, so that a copy must be of
-the row's own description); refusals and foreign statements from fixed lists; void texts. Thresholds are calibrated per
-defect on held-out rows.
+with its length and last word, n-grams of word classes, and dense pair features (how much of the response stands in the
+description, and the reverse). Training rows are made from a bounded sample of real pairs (about SAMPLE_ROWS, by a
+threshold on the hash of the id, whole texts) by defect: responses cut off, with or without a mark; descriptions copied
+whole, in part, quoted or twice; responses swapped between rows (sound ones, so that a copy must be of the row's own
+description); refusals of a grammar, foreign statements of each language's common words and void texts (pair_grammar,
+which is general language and knows no table). Thresholds are calibrated per defect on held-out rows.
 
 Whether a statement without a full stop is complete depends on the texts at hand, so two statistics are counted over all
 rows (never a sample): how often each sentence opening ends without a full stop, and how often each pair of last words
-ends a sentence with a full stop among all its uses. They are hashed into tables of fixed size.
+ends a sentence with a full stop among all its uses. They are kept by 64-bit key in a distributed table of any size;
+only responses without a full stop look up the two keys of their end, through narrow joins.
 
 Defined results: only rows with status ok are judged; a null reasoning, or one without any letter or digit, is empty; a
 row gets the likeliest of its defects, of equal ones the first in order; a null description is empty text, so nothing
@@ -20,25 +22,29 @@ counts as its copy; repeated rows are judged each; an empty table gives no rows.
 import functools
 import random
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .pair_seeds import FOREIGN, FUNCTION_WORDS, REFUSALS, VOID
+from .pair_grammar import CLASSES, FUNCTION_WORDS, LANGUAGES, REFUSALS, SOUND, WORDS, expand, foreign, void
 from .text import plain
 
 DEFECTS = ["empty", "copy", "refusal", "foreign", "truncated"]
-#: Pairs that training rows are made of, those with the smallest hashes of their ids.
+#: Pairs that training rows are made of.
 SAMPLE_ROWS = 3000
-#: Cells of each table of corpus statistics.
-CELLS = 1 << 16
+#: Sampled rows that a general model holds defective with more than this probability are not taken for sound.
+DOUBT = 0.3
+#: Keys a task counts before it passes its counts on.
+COUNTED = 200_000
 
 _CODE = re.compile(r"`[^`\n]*`?")
 _NAME = re.compile(r"`[^`\n]*`|[A-Za-z0-9]*_\w*")
@@ -58,11 +64,6 @@ def words(text: str) -> list[str]:
     return ["0" if w.isdigit() else w for w in _WORD.findall(_CODE.sub(" ` ", text).lower())]
 
 
-@functools.lru_cache(maxsize=1 << 17)
-def _cell(s: str) -> int:
-    return xxhash.xxh32_intdigest(s) & (CELLS - 1)
-
-
 def sentences(text: str) -> list[str]:
     return [p for p in _STOP.split(text) if p.strip()]
 
@@ -72,64 +73,104 @@ def _opening(ws: list[str]) -> str:
     return " ".join(ws[: min(3, len(ws) - 1)])
 
 
+def _key(kind: str, s: str) -> int:
+    """64 signed bits."""
+    h = xxhash.xxh64_intdigest(kind + s)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def end_keys(text: str | None) -> tuple[int, int] | None:
+    """Keys of the last pair of words and of the opening of the last sentence, of a text without a full stop."""
+    t = plain(text or "").strip()
+    if not t or is_closed(t):
+        return None
+    parts = sentences(t)
+    ws, last = words(t), words(parts[-1]) if parts else []
+    if not last:
+        return None
+    return _key("e", " ".join(ws[-2:]) if len(last) > 1 else " " + last[0]), _key("o", _opening(last))
+
+
 @dataclass(frozen=True)
 class Endings:
-    """For each cell: sentence openings seen last without and with a stop; pairs of words seen before a stop and anywhere."""
+    """For each key (hits, uses): an opening's sentences last without a stop and last at all; a pair's places before a stop and anywhere."""
+
+    counts: dict[int, tuple[int, int]]
+
+    def rates(self, text: str | None) -> tuple[float, float]:
+        keys = end_keys(text)
+        return (_end_rate(*self.counts.get(keys[0], (0, 0))), _bare_rate(*self.counts.get(keys[1], (0, 0)))) if keys else (0.0, 0.0)
 
-    bare: np.ndarray
-    closed: np.ndarray
-    ends: np.ndarray
-    uses: np.ndarray
 
-    def bare_rate(self, opening: str) -> float:
-        c = _cell("o" + opening)
-        return float((self.bare[c] + 0.1) / (self.bare[c] + self.closed[c] + 1.0))
+def _end_rate(hits: int, uses: int) -> float:
+    return (hits + 0.02) / (uses + 1.0)
 
-    def end_rate(self, pair: str) -> float:
-        c = _cell("e" + pair)
-        return float((self.ends[c] + 0.02) / (self.uses[c] + 1.0))
 
+def _bare_rate(hits: int, uses: int) -> float:
+    return (hits + 0.1) / (uses + 1.0)
 
-def _count(texts: list[str | None], tables: list[np.ndarray]) -> None:
-    bare, closed, ends, uses = [], [], [], []
-    for t in texts:
-        if not t or not t.strip():
+
+def _count(text: str | None, counts: dict[int, list[int]]) -> None:
+    if not text or not text.strip():
+        return
+    t = plain(text).strip()
+    parts = sentences(t)
+    whole = is_closed(t)
+    for k, p in enumerate(parts):
+        ws = words(p)
+        if not ws:
             continue
-        t = plain(t).strip()
-        parts = sentences(t)
-        whole = is_closed(t)
-        for k, p in enumerate(parts):
-            ws = words(p)
-            if not ws:
-                continue
-            at = [_cell("e" + a + " " + b) for a, b in zip(["", *ws], ws)]
-            uses += at
-            last = k == len(parts) - 1
-            if not last or whole:
-                ends.append(at[-1])
-            if last:
-                (closed if whole else bare).extend(_cell("o" + " ".join(ws[:n])) for n in range(min(4, len(ws))))
-    for table, cells in zip(tables, (bare, closed, ends, uses)):
-        table += np.bincount(np.array(cells, np.int64), minlength=CELLS)
-
-
-def count_endings(responses: DataFrame) -> Endings:
-    """The statistics over all responses: each task counts into tables of fixed size, which are summed on the cluster."""
+        last = k == len(parts) - 1
+        end = not last or whole
+        for i, (a, b) in enumerate(zip(["", *ws], ws)):
+            c = counts.setdefault(_key("e", a + " " + b), [0, 0])
+            c[0] += end and i == len(ws) - 1
+            c[1] += 1
+        if last:
+            for n in range(min(4, len(ws))):
+                c = counts.setdefault(_key("o", " ".join(ws[:n])), [0, 0])
+                c[0] += not whole
+                c[1] += 1
+
+
+def count_endings(responses: DataFrame) -> DataFrame:
+    """key, hits, uses over all responses: each task adds up its own counts first, so a frequent key costs it one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(CELLS, np.int64) for _ in range(4)]
+        counts: dict[int, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array((c[0] for c in counts.values()), pa.int64()), pa.array((c[1] for c in counts.values()), pa.int64())], names=["key", "hits", "uses"])
+
         for b in batches:
-            _count(b.column("reasoning").to_pylist(), tables)
-        used = np.flatnonzero(np.any(tables, axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), *(pa.array(t[used]) for t in tables)], names=["cell", "bare", "closed", "ends", "uses"])
+            for t in b.column("reasoning").to_pylist():
+                _count(t, counts)
+                if len(counts) >= COUNTED:
+                    yield out()
+                    counts.clear()
+        yield out()
+
+    return responses.select("reasoning").mapInArrow(run, "key long, hits long, uses long").groupBy("key").agg(F.sum("hits").alias("hits"), F.sum("uses").alias("uses"))
 
-    names = ["bare", "closed", "ends", "uses"]
-    rows = responses.select("reasoning").mapInArrow(run, "cell long, bare long, closed long, ends long, uses long").groupBy("cell").agg(*(F.sum(n).alias(n) for n in names)).collect()
-    tables = {n: np.zeros(CELLS, np.int32) for n in names}
-    for r in rows:
-        for n in names:
-            tables[n][r.cell] = r[n]
-    return Endings(**tables)
+
+def with_rates(pairs: DataFrame, endings: DataFrame) -> DataFrame:
+    """The pairs with end_rate and bare_rate, null for responses with a full stop.
+
+    Only the ids, text hashes and keys of the others are joined to the counts; the result, again narrow and with one row
+    per id and text, meets the pairs on the id, so no text follows a frequent ending.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, h, *k) for i, h, t in zip(b.column("eval_id").to_pylist(), b.column("__gw_text").to_pylist(), b.column("reasoning").to_pylist()) if (k := end_keys(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], names=["eval_id", "__gw_text", "pair", "opening"])
+
+    own = pairs.withColumn("__gw_text", F.xxhash64("reasoning"))
+    keys = own.select("eval_id", "__gw_text", "reasoning").mapInArrow(run, "eval_id long, __gw_text long, pair long, opening long").distinct()
+    e = endings.select(F.col("key").alias("pair"), ((F.col("hits") + 0.02) / (F.col("uses") + 1.0)).alias("end_rate"))
+    o = endings.select(F.col("key").alias("opening"), ((F.col("hits") + 0.1) / (F.col("uses") + 1.0)).alias("bare_rate"))
+    rates = keys.join(e, "pair", "left").join(o, "opening", "left").select("eval_id", "__gw_text", "end_rate", "bare_rate")
+    return own.join(rates, ["eval_id", "__gw_text"], "left").drop("__gw_text")
 
 
 @functools.lru_cache(maxsize=4096)
@@ -140,10 +181,25 @@ def _prompt(description: str) -> tuple[frozenset, list, frozenset]:
     return frozenset(ws), triples, frozenset(triples)
 
 
+def _bare(w: str) -> str:
+    """Without accents."""
+    return w if w.isascii() else "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c))
+
+
+_WHOLE = {w: k for k, kind in enumerate(CLASSES[1:], 1) for w in WORDS[kind].split() if not w.endswith("*")}
+_BEGIN = {w[:-1]: k for k, kind in enumerate(CLASSES[1:], 1) for w in WORDS[kind].split() if w.endswith("*")}
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _class(w: str) -> int:
+    w = w.replace("’", "'")
+    return _WHOLE.get(w) or next((_BEGIN[w[:n]] for n in range(len(w), 3, -1) if w[:n] in _BEGIN), 0)
+
+
 #: Words of other languages that are none of English, with the languages they belong to.
 _FOREIGN_WORDS: dict[str, tuple[str, ...]] = {}
 for _k, _ws in FUNCTION_WORDS.items():
-    for _w in _ws - FUNCTION_WORDS["en"]:
+    for _w in {x for w in _ws for x in (w, _bare(w))} - FUNCTION_WORDS["en"]:
         _FOREIGN_WORDS[_w] = (*_FOREIGN_WORDS.get(_w, ()), _k)
 
 
@@ -152,7 +208,7 @@ _EXTRA = 18
 _SCALE = 4.0
 
 
-def _dense(text: str, ws: list[str], description: str, endings: Endings) -> list[float]:
+def _dense(text: str, ws: list[str], description: str, end: float, bare: float) -> list[float]:
     bare_text = _NAME.sub("", text)
     n_letters = sum(map(str.isalpha, bare_text))
     n = max(1, n_letters)
@@ -166,18 +222,13 @@ def _dense(text: str, ws: list[str], description: str, endings: Endings) -> list
     others = Counter(k for w in own if w in _FOREIGN_WORDS for k in _FOREIGN_WORDS[w])
     other = max(others.values(), default=0)
     m = max(1, len(own))
-    parts = sentences(text)
-    last = words(parts[-1]) if parts else []
     stripped = text.rstrip()
     closed = is_closed(stripped)
-    pair = " ".join(ws[-2:]) if len(last) > 1 else " " + last[0] if last else ""
     known, triples, triple_set = _prompt(description)
     mine = list(zip(ws, ws[1:], ws[2:]))
     contained = sum(map(triple_set.__contains__, mine)) / len(mine) if mine else 0.0
     mine_set = set(mine)
     covered = sum(map(mine_set.__contains__, triples)) / len(triples) if triples and mine else 0.0
-    end = endings.end_rate(pair) if pair else 0.0
-    bare = endings.bare_rate(_opening(last)) if last else 0.0
     return [
         float(not n_letters), 1.0 - latin, beyond, float(beyond > 0.3), english / m, other / m, float(english == 0 and m > 3),
         contained, covered, contained * covered, float(contained > 0.8 and covered > 0.5), sum(map(known.__contains__, ws)) / count,
@@ -185,11 +236,11 @@ def _dense(text: str, ws: list[str], description: str, endings: Endings) -> list
     ]
 
 
-def features(pairs: list[tuple[str, str]], endings: Endings) -> hashing.Rows:
-    """Rows of (response, description) pairs."""
+def features(pairs: list[tuple[str, str]], rates: list[tuple[float, float]]) -> hashing.Rows:
+    """Rows of (response, description) pairs with the (end, bare) rates of their endings."""
     texts = [plain(r or "").strip() for r, _ in pairs]
     ws = [words(t) for t in texts]
-    dense = np.array([_dense(t, w, d or "", endings) for t, w, (_, d) in zip(texts, ws, pairs)], np.float32).reshape(-1, _EXTRA) * np.float32(_SCALE)
+    dense = np.array([_dense(t, w, d or "", *e) for t, w, (_, d), e in zip(texts, ws, pairs, rates)], np.float32).reshape(-1, _EXTRA) * np.float32(_SCALE)
     tail, shape = [], []
     for t, w in zip(texts, ws):
         parts = sentences(t)
@@ -199,21 +250,23 @@ def features(pairs: list[tuple[str, str]], endings: Endings) -> hashing.Rows:
         tail.append([f"{' '.join(w[-k:])}{open_end}$" for k in (1, 2, 3)])
         shape.append([f"{head}#{min(len(last), 30)}{open_end}", f"{head}#{last[-1] if last else ''}{open_end}", f"{' '.join(last[:2])}#{' '.join(last[-2:])}{open_end}"])
     lowered = [t.lower() for t in texts]
-    return hashing.assemble(len(pairs), [
-        hashing.char_grams(lowered, (4,)), hashing.word_grams(ws, (1,), 5), hashing.word_grams(ws, (2, 3), 6),
+    x = hashing.assemble(len(pairs), [
+        hashing.char_grams(lowered, (4,)), hashing.word_grams(ws, (1,), 5), hashing.word_grams(ws, (2,), 6),
         hashing.char_grams([t[-12:] for t in lowered], (2, 3), 7), hashing.word_grams(tail, (1,), 8), hashing.word_grams(shape, (1,), 9),
+        hashing.class_grams([[_class(w) for w in own] for own in ws], len(CLASSES)),
     ], dense)
+    x.value[len(x.value) - x.last :] *= np.float32(_SCALE / 2)
+    return x
 
 
 @dataclass
 class Detector:
     models: list[hashing.Linear]
     thresholds: list[float]
-    endings: Endings
 
-    def defects(self, pairs: list[tuple[str | None, str | None]]) -> list[str | None]:
+    def defects(self, pairs: list[tuple[str | None, str | None]], rates: list[tuple[float, float]]) -> list[str | None]:
         """The defect of each pair, or None."""
-        x = features([(r or "", d or "") for r, d in pairs], self.endings)
+        x = features([(r or "", d or "") for r, d in pairs], rates)
         z = np.stack([m.logit(x) - np.log(t / (1 - t)) for m, t in zip(self.models, self.thresholds)], axis=1)
         best = z.argmax(axis=1)
         return ["empty" if not any(c.isalnum() for c in (r or "")) else DEFECTS[b] if z[i, b] >= 0 else None for i, ((r, _), b) in enumerate(zip(pairs, best))]
@@ -258,14 +311,10 @@ def _copy(description: str, rng: random.Random) -> str | None:
     return rng.choice([flat.lower(), flat.rstrip("."), " ".join(ws[max(0, len(ws) // 8) :])])
 
 
-def _fill(s: str, rng: random.Random, thing: list[str]) -> str:
-    return s.replace("{tool}", f"`{rng.choice(thing)}`").replace("{topic}", rng.choice(thing).replace("_", " "))
-
-
 def _training_rows(sample: list[tuple[str, str]], endings: Endings, rng: random.Random):
-    """(pairs, labels, weights): sound rows of the sample and defects made of them."""
+    """(pairs, rates, labels): sound rows of the sample and defects made of them."""
     things = sorted({m for r, _ in sample for m in re.findall(r"`(\w+)`", r)}) or ["load_item"]
-    void = {v.strip().lower() for v in VOID}
+    topics = sorted({" ".join(ws[a : a + 2]) for _, d in sample[:800] for ws in (words(d),) if len(ws) > 4 for a in (rng.randrange(len(ws) - 1),)}) or ["other things"]
     rows: list[tuple[str, str]] = []
     labels: list[str | None] = []
 
@@ -275,8 +324,8 @@ def _training_rows(sample: list[tuple[str, str]], endings: Endings, rng: random.
             labels.append(label)
 
     def looks_sound(r: str, d: str) -> bool:
-        f = _dense(plain(r).strip(), words(plain(r)), d, endings)
-        return not f[0] and f[7] < 0.6 and (f[4] > 0.08 or len(r) < 40) and f[2] < 0.2 and r.strip().lower() not in void and (bool(f[12]) or f[14] > 0.5) and not f[16]
+        f = _dense(plain(r).strip(), words(plain(r)), d, *endings.rates(r))
+        return not f[0] and f[7] < 0.6 and (f[4] > 0.08 or len(r) < 40) and f[2] < 0.2 and (bool(f[12]) or f[14] > 0.5) and not f[16]
 
     sound = [(r, d) for r, d in sample if r and looks_sound(r, d)]
     for r, d in sound:
@@ -295,35 +344,33 @@ def _training_rows(sample: list[tuple[str, str]], endings: Endings, rng: random.
             if copied and other != d:  # the same text under another prompt is no copy of it
                 add(copied if is_closed(copied) else d, other, None)
     some = sound or [("", "")]
-    for s in REFUSALS * 8:
-        t = _fill(s, rng, things)
-        add(t if rng.random() < 0.8 else t.rstrip("."), rng.choice(some)[1], "refusal")
-    for own in FOREIGN.values():
-        for s in own * 6:
-            t = _fill(s, rng, things)
-            if rng.random() < 0.4:
-                t += " " + _fill(rng.choice(own), rng, things)
-            add(t, rng.choice(some)[1], "foreign")
-    for s in VOID * 12:
-        add(s, rng.choice(some)[1], "empty")
-    return rows, labels
+    for p in REFUSALS * 25:
+        add(expand(p, rng, things, topics), rng.choice(some)[1], "refusal")
+    for p in SOUND * 20:
+        t = expand(p, rng, things, topics)
+        add(t if t[-1] in ".!" else t + ".", rng.choice(some)[1], None)
+    for lang in LANGUAGES * 16:
+        add(foreign(lang, rng, things), rng.choice(some)[1], "foreign")
+    for _ in range(400):
+        add(void(rng), rng.choice(some)[1], "empty")
+    return rows, [endings.rates(r) for r, _ in rows], labels
 
 
 def train(sample: list[tuple[str, str]], endings: Endings) -> Detector:
     """Fitted on rows made of the sampled (response, description) pairs; deterministic."""
-    rows, labels = _training_rows(sample, endings, random.Random(3))
-    x = features(rows, endings)
-    order = np.array([xxhash.xxh32_intdigest(f"{i}") % 4 for i in range(len(rows))])
-    held = order == 0
+    rows, rates, labels = _training_rows(sample, endings, random.Random(3))
+    x = features(rows, rates)
+    held = np.array([xxhash.xxh32_intdigest(f"{i}") % 4 for i in range(len(rows))]) == 0
     kinds = np.array([l or "" for l in labels])
-    # A first fit finds refusals, foreign and void statements among the sampled rows taken for sound; they are left out.
+    # Refusals, foreign and void statements among the sampled rows taken for sound are found by a model of word classes and
+    # dense features alone, which cannot learn the rows by heart; they are left out.
+    general = hashing.assemble(len(rows), [hashing.class_grams([[_class(w) for w in words(plain(r))] for r, _ in rows], len(CLASSES))], x.dense)
     keep = np.ones(len(rows), bool)
     for d in ("refusal", "foreign", "empty"):
         y = kinds == d
         if y.any():
-            w = np.where(y, 3.0, 1.0)
-            p = hashing.fit(x, y, w, steps=30).probability(x)
-            keep &= ~((kinds == "") & (p > 0.5))
+            p = hashing.fit(general, y, np.where(y, 3.0, 1.0), steps=60).probability(general)
+            keep &= ~((kinds == "") & (p > DOUBT))
     models, thresholds = [], []
     for d in DEFECTS:
         y = kinds == d
@@ -334,36 +381,57 @@ def train(sample: list[tuple[str, str]], endings: Endings) -> Detector:
             continue
         tuned = hashing.fit(x.take(keep & ~held), y[keep & ~held], w[keep & ~held], steps=40)
         thresholds.append(hashing.best_threshold(tuned.probability(x.take(keep & held)), y[keep & held], np.where(y[keep & held], 0.4, 1.0), 0.2, 0.7))
-        models.append(hashing.fit(x.take(keep), y[keep], w[keep], steps=80))
-    return Detector(models, thresholds, endings)
+        models.append(hashing.fit(x.take(keep), y[keep], w[keep], steps=70))
+    return Detector(models, thresholds)
 
 
 def pairs_of(evaluations: DataFrame) -> DataFrame:
-    """eval_id, reasoning, description of the rows with status ok."""
-    return evaluations.where(F.col("status") == "ok").select("eval_id", F.col("scores.purpose.reasoning").alias("reasoning"), F.col("tool.description").alias("description"))
+    """eval_id, reasoning, description, judge of the rows with status ok."""
+    return evaluations.where(F.col("status") == "ok").select("eval_id", F.col("scores.purpose.reasoning").alias("reasoning"), F.col("tool.description").alias("description"), F.col("judge.id").alias("judge"))
 
 
-def fit_on(pairs: DataFrame, sample: int = SAMPLE_ROWS) -> Detector:
-    """A detector fitted on `sample` of the pairs; its statistics of endings cover all of them."""
-    endings = count_endings(pairs)
-    rows = pairs.orderBy(F.xxhash64("eval_id"), "eval_id").limit(sample).select(F.substring("reasoning", 1, 2000).alias("r"), F.substring("description", 1, 4000).alias("d")).collect()
-    return train([(r.r or "", r.d or "") for r in rows], endings)
+def fit_on(pairs: DataFrame, endings: DataFrame, sample: int = SAMPLE_ROWS) -> Detector:
+    """A detector fitted on about `sample` of the pairs; of the counts it reads those of keys that occur in the sample."""
+    n = pairs.count()
+    share = min(1.0, sample / n) if n else 0.0
+    rows = pairs.where(F.xxhash64("eval_id", F.lit(3)).bitwiseAND((1 << 30) - 1) < int(share * (1 << 30))).select("eval_id", "reasoning", "description").collect()
+    own = [(r.reasoning or "", r.description or "") for r in sorted(rows, key=lambda r: (r.eval_id is None, r.eval_id or 0, r.reasoning or "", r.description or ""))]
+    needed: dict[int, list[int]] = {}
+    for r, _ in own:
+        _count(r, needed)
+    wanted = pairs.sparkSession.createDataFrame(pd.DataFrame({"key": np.fromiter(needed, np.int64, len(needed))}), "key long")
+    counts = {r.key: (r.hits, r.uses) for r in endings.join(wanted, "key", "left_semi").collect()} if needed else {}
+    return train(own, Endings(counts))
 
 
-def judge_pairs(pairs: DataFrame, detector: Detector) -> DataFrame:
-    """eval_id, defect (null for sound pairs) of every pair."""
+def judge_pairs(pairs: DataFrame, detector: Detector, endings: DataFrame) -> DataFrame:
+    """eval_id, judge, defect (null for sound pairs) of every pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 4000):
                 part = b.slice(a, 4000)
-                found = detector.defects(list(zip(part.column("reasoning").to_pylist(), part.column("description").to_pylist())))
-                yield pa.RecordBatch.from_arrays([part.column("eval_id"), pa.array(found, pa.string())], names=["eval_id", "defect"])
+                rows = list(zip(*(part.column(c).to_pylist() for c in ("reasoning", "description", "end_rate", "bare_rate"))))
+                own = list(dict.fromkeys(rows))  # repeated pairs are judged once
+                known = dict(zip(own, detector.defects([r[:2] for r in own], [_rates(r) for r in own])))
+                yield pa.RecordBatch.from_arrays([part.column("eval_id"), part.column("judge"), pa.array([known[r] for r in rows], pa.string())], names=["eval_id", "judge", "defect"])
 
-    return pairs.mapInArrow(run, "eval_id long, defect string")
+    return with_rates(pairs, endings).select("eval_id", "judge", "reasoning", "description", "end_rate", "bare_rate").mapInArrow(run, "eval_id long, judge string, defect string")
 
 
-def found(evaluations: DataFrame, detector: Detector | None = None) -> DataFrame:
-    """eval_id, defect of every broken pair."""
+def _rates(row: tuple) -> tuple[float, float]:
+    """Rates as looked up; of an ending that has keys but no counts (there is none over whole tables) those of zero counts."""
+    _, _, end, bare = row
+    return (0.0, 0.0) if end is None and bare is None else (_end_rate(0, 0) if end is None else end, _bare_rate(0, 0) if bare is None else bare)
+
+
+def judged(evaluations: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
+    """eval_id, judge, defect of every row with status ok."""
     pairs = pairs_of(evaluations)
-    return judge_pairs(pairs, detector or fit_on(pairs)).where("defect is not null")
+    endings = count_endings(pairs)
+    return judge_pairs(pairs, fit_on(pairs, endings, sample), endings)
+
+
+def found(evaluations: DataFrame) -> DataFrame:
+    """eval_id, defect of every broken pair."""
+    return judged(evaluations).where("defect is not null").select("eval_id", "defect")

@@ -41,9 +41,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rows and defects per judge."""
-    e = read_table(spark, d, "evaluations").where("status = 'ok'")
-    found = pair_defects.found(e)
-    return e.select("eval_id", F.col("judge.id").alias("judge")).join(found, "eval_id", "left").groupBy("judge").agg(F.count(F.lit(1)).alias("n_rows"), *(F.count_if(F.col("defect") == k).alias(f"n_{k}") for k in pair_defects.DEFECTS))
+    return pair_defects.judged(read_table(spark, d, "evaluations")).groupBy("judge").agg(F.count(F.lit(1)).alias("n_rows"), *(F.count_if(F.col("defect") == k).alias(f"n_{k}") for k in pair_defects.DEFECTS))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
