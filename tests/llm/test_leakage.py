@@ -47,7 +47,8 @@ def test_equals_brute_force(spark):
         part = [rng.choice(VOCAB) if rng.random() < rng.choice([0, 0.1, 0.2]) else w for w in part]
         docs.append(" ".join(passage(rng, rng.randrange(20)) + part + passage(rng, rng.randrange(20))))
     want = sorted((i, j) for i, d in enumerate(docs) for j, p in enumerate(items) if brute(d, " ".join(p)))
-    assert found(spark, docs, [" ".join(p) for p in items]) == want and len(want) > 20
+    got = found(spark, docs, [" ".join(p) for p in items])
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and len(want) > 20
 
 
 @settings(max_examples=200, deadline=None)
@@ -58,21 +59,45 @@ def test_stretch_equals_brute_force(same, whole):
     assert k.has_stretch(np.array(same, bool), whole) == want
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=40), st.lists(st.integers(0, 63), max_size=3), st.integers(0, 39))
-def test_blocks_find_all_within_the_radius(prints, flips, at):
-    index = k.Index([(0, np.zeros(0, np.uint64))], 6)
-    index.prints = np.array(prints, np.uint64)
-    index.order, index.starts = [], []
-    for b in range(k.BLOCKS):
-        v = index._block(index.prints, b)
-        index.order.append(np.argsort(v, kind="stable").astype(np.int32))
-        index.starts.append(np.concatenate([[0], np.cumsum(np.bincount(v, minlength=1 << 16))]))
-    probe = prints[at % len(prints)]
+@settings(max_examples=12, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.lists(st.integers(0, 63), max_size=18))
+def test_blocks_find_all_within_the_radius(seed, flips):
+    """The multi-index gives exactly the pairs that comparing every pair of fingerprints gives."""
+    rng = np.random.default_rng(seed)
+    index = k.Index([(i, rng.integers(0, 2**63, 30).astype(np.uint64)) for i in range(3)], k.WINDOW, k.STRIDE)
+    probe = index.prints[[5, 5]].copy()
     for f in flips:
-        probe ^= 1 << f
-    got = set(index.candidates(np.array([probe], np.uint64))[1].tolist())
-    assert got == {i for i, p in enumerate(prints) if bin(p ^ probe).count("1") <= k.RADIUS}
+        probe[0] ^= np.uint64(1 << f)
+    got = set(zip(*(x.tolist() for x in index.candidates(probe))))
+    assert got == {(j, i) for j, q in enumerate(probe) for i, p in enumerate(index.prints) if int(p ^ q).bit_count() <= k.RADIUS}
+
+
+def test_sums_equal_one_by_one():
+    h = np.random.default_rng(1).integers(0, 2**63, 50).astype(np.uint64)
+    bits = np.array([[1 if int(x) >> b & 1 else -1 for b in range(64)] for x in h])
+    for size in (1, 3, 7, 16, 17):
+        for stride in (1, 3):
+            want = [bits[a : a + size].sum(axis=0)[[8 * (i // 8) + 7 - i % 8 for i in range(64)]] for a in range(0, 50 - size + 1, stride)]
+            assert (k._sums(h, size, stride) == want).all()
+
+
+def test_recall_on_the_hardest_stretches():
+    """Stretches of exactly 18 words with two replaced, and longer ones with one in eight replaced, in other text."""
+    rng = random.Random(8)
+    items = [(i, " ".join(passage(rng, 50))) for i in range(60)]
+    passages, indexes = k.build(items)
+    for least, low, high in ((0.95, 18, 18), (0.99, 24, 45)):
+        hit = 0
+        for _ in range(400):
+            i, text = rng.choice(items)
+            n = rng.randint(low, high)
+            a = rng.randrange(50 - n + 1)
+            part = text.split()[a : a + n]
+            for j in rng.sample(range(n), n // 8):
+                part[j] = f"other{rng.randrange(999)}"
+            doc = passage(rng, rng.randrange(30)) + part + passage(rng, rng.randrange(30))
+            hit += i in k.search(k.word_hashes(doc, k._Hashes()), passages, indexes)
+        assert hit >= least * 400, (low, hit)
 
 
 def test_spelling_and_markup(spark):
