@@ -35,8 +35,8 @@ ITEM = ["tool_uid", "scenario"]
 def votes_of(evaluations: DataFrame) -> DataFrame:
     """tool_uid, scenario, judge, score: one vote per judge and item."""
     score = F.col("scores.purpose.score")
-    rows = evaluations.where((F.col("status") == "ok") & score.between(1, CLASSES)).select(*ITEM, F.col("judge.id").alias("judge"), score.alias("score"), F.struct("ingested_at", "eval_id").alias("at"))
-    return rows.dropna(subset=[*ITEM, "judge"]).groupBy(*ITEM, "judge").agg(F.max_by("score", "at").alias("score"))
+    rows = evaluations.where((F.col("status") == "ok") & score.between(1, CLASSES)).select(*ITEM, F.col("judge.id").alias("judge"), F.struct("ingested_at", "eval_id", score.alias("score")).alias("at"))
+    return rows.dropna(subset=[*ITEM, "judge"]).groupBy(*ITEM, "judge").agg(F.max("at").alias("at")).select(*ITEM, "judge", F.col("at.score").alias("score"))
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,8 @@ def _expected_counts(votes: DataFrame, by_code: np.ndarray, log_prior: np.ndarra
 def _vote_lists(votes: DataFrame, annotators: list[str]) -> DataFrame:
     """tool_uid, scenario, codes: the votes of an item as integers."""
     spark: SparkSession = votes.sparkSession
-    index = spark.createDataFrame([(a, i) for i, a in enumerate(annotators)], "judge string, j int")
+    # The list of annotators is bounded (MAX_ANNOTATORS, checked by the caller), so the votes stay where they are.
+    index = F.broadcast(spark.createDataFrame([(a, i) for i, a in enumerate(annotators)], "judge string, j int"))
     coded = votes.join(index, "judge").select(*ITEM, (F.col("j") * CLASSES + F.col("score") - 1).cast("int").alias("code"))
     return coded.groupBy(*ITEM).agg(F.array_sort(F.collect_list("code")).alias("codes"))
 
