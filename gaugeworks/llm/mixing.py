@@ -5,7 +5,7 @@ minimum-entropy tilt, log sum_i t_i exp(lambda_s(i)) - sum_s share_s lambda_s, i
 distributed aggregation of the tilted token sums per source. The rates exp(lambda) are then scaled to the largest total
 for which no rate exceeds its source's cap (or to a given total), and rounded: every document gets floor(rate) copies,
 and the documents whose hash is below a threshold of their source one more. The threshold comes from a histogram of
-tokens by hash, refined inside its last bin, so the tokens of a source are met to within one document (or one group of
+tokens by hash, refined inside the bin it falls in (found on the cluster), so the tokens of a source are met to within one document (or one group of
 equal hashes) at any size, without sorting a source in one task.
 
 Only one row per source that has a target reaches the driver (the targets are the query's small parameter table, checked
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_SOURCES = 10_000
@@ -52,10 +52,11 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFra
         tok.encode_special_tokens = True
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            counts: list[int] = []
-            for a in range(0, len(texts), 256):
-                counts += [len(e.ids) for e in tok.encode_batch(texts[a : a + 256], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source_name"), pa.array(counts, pa.int64())], names=["doc_id", "source_name", "tokens"])
+            own = list(dict.fromkeys(texts))  # repeated texts of a batch are counted once
+            counts: dict[str, int] = {}
+            for a in range(0, len(own), 256):
+                counts.update(zip(own[a : a + 256], (len(e.ids) for e in tok.encode_batch(own[a : a + 256], add_special_tokens=False))))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source_name"), pa.array([counts[t] for t in texts], pa.int64())], names=["doc_id", "source_name", "tokens"])
 
     return documents.select("doc_id", source_name(F.col("source")).alias("source_name"), "text").mapInArrow(run, "doc_id long, source_name string, tokens long")
 
@@ -108,20 +109,21 @@ def _thresholds(counts: DataFrame, wanted: dict[str, float]) -> dict[str, int]:
         width //= BINS
         m = F.create_map(*(x for k in left for x in (F.lit(k), F.lit(low[k]))))
         own = counts.where(F.col("source_name").isin(list(left))).withColumn("bin", F.floor((_position() - F.element_at(m, F.col("source_name"))) / F.lit(width)).cast("long"))
-        rows = own.where(F.col("bin").between(0, BINS - 1)).groupBy("source_name", "bin").agg(F.sum("tokens").alias("tokens")).collect()
-        by: dict[str, list[tuple[int, int]]] = {}
-        for r in rows:
-            by.setdefault(r.source_name, []).append((r.bin, r.tokens))
+        hist = own.where(F.col("bin").between(0, BINS - 1)).groupBy("source_name", "bin").agg(F.sum("tokens").alias("tokens"))
+        # The bin in which a source's tokens pass what is wanted: found over at most BINS rows a source, one row a source returns.
+        wanted_now = F.create_map(*(x for k, v in left.items() for x in (F.lit(k), F.lit(float(v)))))
+        upto = hist.withColumn("upto", F.sum("tokens").over(Window.partitionBy("source_name").orderBy("bin")))
+        rows = upto.where(F.col("upto") > F.element_at(wanted_now, F.col("source_name"))).groupBy("source_name").agg(F.min(F.struct("bin", "upto", "tokens")).alias("b")).select("source_name", "b.*").collect()
+        crossed = {r.source_name: r for r in rows}
         for s in list(left):
-            for b, t in sorted(by.get(s, [])):
-                if t > left[s]:
-                    low[s] += b * width
-                    if width == 1:
-                        done[s] = low[s] + (1 if left[s] > t / 2 else 0)
-                    break
-                left[s] -= t
-            else:
+            r = crossed.get(s)
+            if r is None:
                 done[s] = low[s] + BINS * width
+            else:
+                low[s] += r.bin * width
+                left[s] -= r.upto - r.tokens
+                if width == 1:
+                    done[s] = low[s] + (1 if left[s] > r.tokens / 2 else 0)
             if s in done:
                 left.pop(s)
     return done | {s: low[s] for s in left}
