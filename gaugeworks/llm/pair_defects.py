@@ -54,6 +54,10 @@ _CLOSED = re.compile(r"(?:[.!?][\"'”’)\]`]*|[。！？][”」』]?)$")
 _MARK = re.compile(r"\s*(?:\.\.\.|…|\[[^\]\w]*(?:\.\.\.|…|cut|truncated|snip)?[^\]\w]*\]|<(?:cut|snip|truncated|eos|end)>|\((?:cut|truncated|continued)\)|[-–—]+|/{2,}|\[(?:cut|truncated|snip)\])$", re.I)
 
 
+#: A stop behind a letter, a digit or a closing sign: no mark of an omission, whatever else the text holds.
+_PLAINLY_CLOSED = r"[\p{L}\p{N}`\"')][.!?]\s*$"
+
+
 def is_closed(text: str) -> bool:
     """Whether a text ends with a full stop (or its like) that is no mark of an omission."""
     return bool(_CLOSED.search(text)) and not _MARK.search(text)
@@ -156,9 +160,12 @@ def count_endings(responses: DataFrame) -> DataFrame:
 def with_rates(pairs: DataFrame, endings: DataFrame) -> DataFrame:
     """The pairs with end_rate and bare_rate, null for responses with a full stop.
 
-    Only the ids, text hashes and keys of the others are joined to the counts; the result, again narrow and with one row
-    per id and text, meets the pairs on the id, so no text follows a frequent ending.
+    Responses that plainly end in a full stop pass by. Of the others only ids, text hashes and keys are joined to the
+    counts; the result, again narrow and with one row per id and text, meets the pairs on the id, so no text follows a
+    frequent ending.
     """
+    plainly = F.coalesce(F.col("reasoning").rlike(_PLAINLY_CLOSED), F.lit(True))
+    closed, pairs = pairs.where(plainly), pairs.where(~plainly)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +177,8 @@ def with_rates(pairs: DataFrame, endings: DataFrame) -> DataFrame:
     e = endings.select(F.col("key").alias("pair"), ((F.col("hits") + 0.02) / (F.col("uses") + 1.0)).alias("end_rate"))
     o = endings.select(F.col("key").alias("opening"), ((F.col("hits") + 0.1) / (F.col("uses") + 1.0)).alias("bare_rate"))
     rates = keys.join(e, "pair", "left").join(o, "opening", "left").select("eval_id", "__gw_text", "end_rate", "bare_rate")
-    return own.join(rates, ["eval_id", "__gw_text"], "left").drop("__gw_text")
+    none = F.lit(None).cast("double")
+    return closed.withColumn("end_rate", none).withColumn("bare_rate", none).unionByName(own.join(rates, ["eval_id", "__gw_text"], "left").drop("__gw_text"))
 
 
 @functools.lru_cache(maxsize=4096)
