@@ -32,8 +32,8 @@ from .text import plain
 
 WINDOW, STRIDE, STRETCH, ONE_IN = 16, 3, 18, 8
 RADIUS, BLOCKS = 15, 4
-#: Words of passages searched in one pass over the documents: the index of 20,000 windows is 110 MB.
-BLOCK_WORDS = 20_000
+#: Words of passages searched in one pass over the documents: the index of 40,000 windows is 220 MB.
+BLOCK_WORDS = 40_000
 #: Words of documents given fingerprints at a time.
 CHUNK_WORDS = 150_000
 #: Passages without any lean that the centre counts beside the real ones.
@@ -116,7 +116,7 @@ class Index:
         masks = _near(16, RADIUS // BLOCKS)
         for b in range(BLOCKS):
             v = (self._block(self.prints, b)[:, None] ^ masks).ravel()
-            self.order.append((np.argsort(v, kind="stable") // len(masks)).astype(np.uint16))
+            self.order.append((np.argsort(v, kind="stable") // len(masks)).astype(np.uint16 if len(self.prints) <= 1 << 16 else np.int32))
             self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(v, minlength=1 << 16))]))
 
     @staticmethod
