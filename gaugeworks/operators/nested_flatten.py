@@ -1,23 +1,31 @@
 """Deeply nested records to related flat tables, with Arrow list offsets and parent-index kernels.
 
-The call graph of a tool arrives as JSON text. Each Arrow batch is decoded once by the C decoder; from then on a level
-of the tree is a list column: its offsets are the running child counts, `list_parent_indices` gives each child's parent,
-and the keys (row id, tool id, parent path) follow by `take`. Levels are walked until none has children, so any depth
-works, and no row is visited on its own for key propagation. `flatten_list_column` does the same for list columns that
-are already Arrow arrays (nested Parquet).
+The call graph of a tool arrives as JSON text. The texts of a slice of rows go through Arrow's block JSON reader, which
+builds nested Arrow columns from the whole block; no row is parsed on its own. A level of the tree is then a list column:
+`list_parent_indices` gives each child's parent, `list_flatten` the children, positions follow from the parents' counts,
+and the keys (row id, tool id, parent path) by `take`. The schema of the reader names the fields to a depth; a block whose
+last level still has children is read again with twice the depth. `flatten_list_column` does the same for list columns
+that are already Arrow arrays (nested Parquet).
+
+Rows that the block reader cannot take are set apart by vectorised tests (unbalanced brackets, JSON text in a string, an
+object in place of an array) or, where it refuses a block, by halving it; only these are decoded one by one, and their
+levels again go through list offsets and `take`.
 
 Defined results: null or invalid JSON, and JSON that is no object, gives no nodes; null elements of `calls` are no nodes
 but take a position; a single object in place of an array is the child at position 0; JSON text held in a JSON string
-counts as what it holds; a field of an unexpected type becomes null; of a repeated JSON key the last counts; an empty
-table gives empty tables. Rows are independent, so a repeated row id gives its links as often as the row occurs.
+counts as what it holds; a field of an unexpected type becomes null; of a repeated JSON key the last counts; JSON nested
+deeper than Python's decoder goes (some thousand levels) counts as invalid; an empty table gives empty tables. Rows are
+independent, so a repeated row id gives its links as often as the row occurs.
 """
 
+import io
 import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.json as pj
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +96,7 @@ def _level(nodes: list, row_id: pa.Array, tool_uid: pa.Array, path: pa.Array, pa
 
 
 def _walk(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The levels of rows decoded one by one."""
     roots = [_unwrap(t) for t in batch.column("call_graph").to_pylist()]
     keep = pa.array([i for i, r in enumerate(roots) if isinstance(r, dict)], pa.int64())
     nodes = [roots[i] for i in keep.to_pylist()]
@@ -122,10 +131,104 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = end
 
 
+#: Levels the block reader's schema has at first, and at most; deeper rows are decoded one by one.
+LEVELS, MOST_LEVELS = 16, 256
+
+_LEAVES = [("level", pa.int64()), ("resolved", pa.bool_()), ("external", pa.bool_()), ("ambiguous", pa.bool_()), ("qualified_name", pa.string()), ("raw_call_text", pa.string())]
+_PLACE = [("file", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64())]
+
+
+def _node_type(levels: int) -> pa.StructType:
+    fields = [*_LEAVES, ("source_location", pa.struct(_PLACE))]
+    node = pa.struct(fields)
+    for _ in range(levels):
+        node = pa.struct([*fields, ("calls", pa.list_(node))])
+    return node
+
+
+_schemas: dict[int, pa.Schema] = {}
+
+
+def _read_block(texts: pa.Array, levels: int) -> pa.StructArray | None:
+    """The nodes of one JSON object a row, or None where the reader refuses or does not find exactly one in each."""
+    if levels not in _schemas:
+        _schemas[levels] = pa.schema(list(_node_type(levels)))
+    data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")[0].as_py().encode()
+    try:
+        table = pj.read_json(
+            io.BytesIO(data),
+            read_options=pj.ReadOptions(use_threads=False, block_size=len(data) + 1),
+            parse_options=pj.ParseOptions(explicit_schema=_schemas[levels], newlines_in_values=True, unexpected_field_behavior="ignore"),
+        )
+    except pa.ArrowInvalid:
+        return None
+    if table.num_rows != len(texts):
+        return None
+    return table.to_struct_array().combine_chunks() if table.num_rows else None
+
+
+def _levels(nodes: pa.StructArray, row_id: pa.Array, tool_uid: pa.Array) -> list[pa.RecordBatch] | None:
+    """The flat tables of each level; None where the last level of the schema has children that it does not name."""
+    n, out = len(nodes), []
+    path = pa.array(["0"] * n, pa.string())
+    parent, position, depth = pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int32)), 1
+    while len(nodes):
+        get = lambda k: pc.struct_field(nodes, k)  # noqa: B023, E731
+        place = get("source_location")
+        columns = {"row_id": row_id, "tool_uid": tool_uid, "node_path": path, "parent_path": parent, "position": position, "depth": pa.array(np.full(len(nodes), depth, np.int32))}
+        columns |= {k: get(k) for k, _ in _LEAVES} | {k: pc.struct_field(place, k) for k, _ in _PLACE} | {"has_location": place.is_valid()}
+        out.append(pa.RecordBatch.from_pydict(columns))
+        if nodes.type.get_field_index("calls") < 0:
+            return None
+        calls = get("calls")
+        parents, children = pc.list_parent_indices(calls), pc.list_flatten(calls)
+        owner = parents.to_numpy(zero_copy_only=False)
+        count = np.bincount(owner, minlength=len(nodes)) if len(owner) else np.zeros(len(nodes), np.int64)
+        places = np.arange(len(owner)) - (np.cumsum(count) - count)[owner] if len(owner) else np.zeros(0, np.int64)
+        real = children.is_valid()
+        parents, nodes = parents.filter(real), children.filter(real)
+        position = pa.array(places.astype(np.int32)).filter(real)
+        parent = path.take(parents)
+        path = pc.binary_join_element_wise(parent, position.cast(pa.string()), ".")
+        row_id, tool_uid, depth = row_id.take(parents), tool_uid.take(parents), depth + 1
+    return out
+
+
+def _walk_block(batch: pa.RecordBatch, levels: int = LEVELS) -> Iterator[pa.RecordBatch]:
+    """The levels of a block of regular rows; a block that is refused is halved, a single row decoded on its own."""
+    nodes = _read_block(batch.column("call_graph"), levels)
+    if nodes is not None:
+        out = _levels(nodes, batch.column("row_id"), batch.column("tool_uid"))
+        if out is not None:
+            yield from out
+        elif levels < MOST_LEVELS:
+            yield from _walk_block(batch, levels * 2)
+        else:
+            yield from _walk(batch)
+    elif batch.num_rows == 1:
+        yield from _walk(batch)
+    else:
+        half = batch.num_rows // 2
+        yield from _walk_block(batch.slice(0, half), levels)
+        yield from _walk_block(batch.slice(half), levels)
+
+
+def _regular(texts: pa.Array) -> np.ndarray:
+    """Rows that look like one JSON object whose calls are arrays of objects; what is really there the reader decides."""
+    count = lambda c: pc.fill_null(pc.count_substring(texts, c), 0).to_numpy(zero_copy_only=False)
+    match = lambda r: pc.fill_null(pc.match_substring_regex(texts, r), False).to_numpy(zero_copy_only=False)
+    whole = match(r"(?s)^\s*\{.*\}\s*$") & (count("{") == count("}")) & (count("[") == count("]"))
+    return whole & ~match(r'"(?:calls|source_location)"\s*:\s*"|"calls"\s*:\s*\{|"calls"\s*:\s*\[(?:[^\[\]{}]*,)?\s*"')
+
+
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "call_graph"):
-            yield from _walk(part)
+            regular = _regular(part.column("call_graph"))
+            if regular.any():
+                yield from _walk_block(part.filter(pa.array(regular)))
+            if not regular.all():
+                yield from _walk(part.filter(pa.array(~regular)))
 
 
 def call_graph_nodes(tools: DataFrame) -> DataFrame:

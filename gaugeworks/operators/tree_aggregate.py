@@ -39,24 +39,39 @@ def rounds_for(chunks: int, fan_in: int) -> int:
     return n
 
 
-def tree_aggregate(df: DataFrame, keys: Sequence[str], measures: Sequence[Measure], fan_in: int = 16, keep_null_keys: bool = True) -> DataFrame:
+#: More input partitions than any plan has; it bounds the rounds where the size of a plan is unknown.
+MOST_CHUNKS = 1 << 20
+
+
+def estimated_chunks(df: DataFrame) -> int:
+    """Input partitions by the plan's estimated size, which is huge where it is unknown."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return max(1, min(MOST_CHUNKS, -(-size // split)))
+
+
+def tree_aggregate(df: DataFrame, keys: Sequence[str], measures: Sequence[Measure], fan_in: int = 16, keep_null_keys: bool = True, chunks: int | None = None) -> DataFrame:
     """One row per key with the merged measures; see the module docstring.
 
-    The number of chunks is the frame's number of input partitions, known from the plan without running a job.
+    `chunks` is the number of input partitions; without it, it is estimated from the plan's size, which runs no job. It
+    only sets the number of rounds: the last round merges by key alone, so a wrong number costs a round or some fan-in,
+    never a row.
     """
     if fan_in < 2:
         raise ValueError("fan_in must be at least 2")
-    chunks = max(1, df.rdd.getNumPartitions())
+    chunks = estimated_chunks(df) if chunks is None else chunks
     state = df.select(*keys, *(m.value.alias(f"__gw_{m.name}") for m in measures))
     if not keep_null_keys:
         for k in keys:
             state = state.where(F.col(k).isNotNull())
     # Leaves: the map-side hash aggregate of this first exchange combines each chunk locally.
-    state = state.withColumn("__gw_node", F.floor(F.spark_partition_id() / F.lit(fan_in)).cast("int"))
-    state = state.groupBy(*keys, "__gw_node").agg(*(_LEAF[m.kind](f"__gw_{m.name}").alias(f"__gw_{m.name}") for m in measures))
-    for _ in range(rounds_for(chunks, fan_in) - 1):
-        state = state.withColumn("__gw_node", F.floor(F.col("__gw_node") / F.lit(fan_in)).cast("int"))
-        state = state.groupBy(*keys, "__gw_node").agg(*(_MERGE[m.kind](f"__gw_{m.name}").alias(f"__gw_{m.name}") for m in measures))
+    rounds, combine = rounds_for(chunks, fan_in), _LEAF
+    node = F.spark_partition_id()
+    for r in range(1, rounds + 1):
+        last = r == rounds
+        state = state if last else state.withColumn("__gw_node", F.floor(node / F.lit(fan_in)).cast("int"))
+        state = state.groupBy(*keys, *([] if last else ["__gw_node"])).agg(*(combine[m.kind](f"__gw_{m.name}").alias(f"__gw_{m.name}") for m in measures))
+        combine, node = _MERGE, F.col("__gw_node")
     return state.select(*keys, *(F.col(f"__gw_{m.name}").alias(m.name) for m in measures))
 
 
@@ -65,7 +80,7 @@ def normalised_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", ""))
 
 
-def key_results(evaluations: DataFrame, fan_in: int = 16) -> DataFrame:
+def key_results(evaluations: DataFrame, fan_in: int = 16, chunks: int | None = None) -> DataFrame:
     """Results per repository and per language of an evaluations table, in one pass over it.
 
     Columns: key_kind ('repo' or 'language'), key_value, n_rows, share (of all rows, null keys included), n_ok,
@@ -89,7 +104,7 @@ def key_results(evaluations: DataFrame, fan_in: int = 16) -> DataFrame:
         *(Measure(f"score_{k}", "sum", F.when(F.col("valid") == k, 1).otherwise(0).cast("long")) for k in range(1, 6)),
         Measure("output_tokens", "sum", F.col("output_tokens")),
     ]
-    states = tree_aggregate(wide, ["key_kind", "key_value"], measures, fan_in, keep_null_keys=False)
+    states = tree_aggregate(wide, ["key_kind", "key_value"], measures, fan_in, keep_null_keys=False, chunks=chunks)
     total = evaluations.select(F.count(F.lit(1)).alias("n")).scalar()
     return states.select(
         "key_kind",

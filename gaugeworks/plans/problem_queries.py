@@ -15,6 +15,11 @@ def p2_results(spark: SparkSession, d: str) -> DataFrame:
     return tree_aggregate.key_results(read_table(spark, d, "evaluations"))
 
 
+def p2_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same results from 300 chunks, which take three rounds."""
+    return tree_aggregate.key_results(read_table(spark, d, "evaluations").repartition(300), chunks=300)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     raw = read_table(spark, d, "raw_records")
     return schema_drift.drift_report(schema_drift.ingest(raw), raw=raw)
@@ -44,7 +49,7 @@ def p6_languages(spark: SparkSession, d: str) -> DataFrame:
     return nested_flatten.flatten_list_column(read_table(spark, d, "candidates"), ["seq"], "languages", "language")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_results, p5_found, p5_table, p6_found, p6_nodes, p6_locations, p6_languages)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_results, p2_rounds, p5_found, p5_table, p6_found, p6_nodes, p6_locations, p6_languages)}
 
 _P2 = """
     WITH k AS (
@@ -62,5 +67,6 @@ _P2 = """
 ORACLE = {
     "p2_found": f"SELECT key_kind, key_value FROM ({_P2}) WHERE share >= 0.05",
     "p2_results": _P2,
+    "p2_rounds": _P2,
     "p6_languages": "SELECT seq, (unnest(range(len(languages))))::INTEGER AS position, unnest(languages) AS language FROM candidates",
 }

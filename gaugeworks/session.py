@@ -1,5 +1,8 @@
 """Session helpers."""
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,15 +29,17 @@ def local_session(app: str = "gaugeworks", cores: int | str = "*", partitions: i
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoint().
 
-    The cluster names it in spark.checkpoint.dir. A folder of our own is made only where that is unset (tests).
+    The cluster names it in spark.checkpoint.dir. Where that is unset, a local session (one machine, as in tests) gets a
+    folder of its own, removed at its end; on a cluster it is an error, since a machine's own folder is no shared one.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
-    if named:
-        if current is None:
-            sc.setCheckpointDir(named)
-        return named
     if current is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gaugeworks-checkpoint-"))
+        if named is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir names no shared folder")
+            named = tempfile.mkdtemp(prefix="gaugeworks-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()

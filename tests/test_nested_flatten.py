@@ -86,3 +86,24 @@ def test_list_column(spark):
     df = spark.createDataFrame([(1, ["a", None]), (2, []), (3, None), (4, ["b"])], "k int, l array<string>")
     got = [tuple(r) for r in nf.flatten_list_column(df, ["k"], "l").collect()]
     assert sorted(got, key=str) == sorted([(1, 0, "a"), (1, 1, None), (4, 0, "b")], key=str)
+
+
+def _deep(k):
+    return '{"level":1,"calls":[' * k + "{}" + "]}" * k
+
+
+TEXTS = ['{"calls":[], "calls":[{"level":1}]}','{"level":1.0,"calls":[{"level":2}]}','{"level":"x","calls":[{}]}','{"calls":[null,{"level":3},null,{}]}','{"calls":[1,"a",{"level":2},[{}],true]}','{"level":NaN,"calls":[{}]}','{"level":99999999999999999999,"calls":[{}]}',
+'{"qualified_name":"2020-01-01","calls":[{"qualified_name":"a\\u0000b"}]}','{"qualified_name":"\\ud800","calls":[{}]}','{"calls":{"level":1}}','{"calls":"[{\\"level\\":4}]"}','"{\\"calls\\":[{}]}"','{"calls":[{}]} {"calls":[{}]}','{"calls":[{}]}}','[]','{}','',None,'null','{"calls":[{"source_location":null},{"source_location":{"file":"a","start_line":1}},{"source_location":"{\\"file\\":\\"b\\"}"},{"source_location":[1]}]}',
+'{"calls":[{"x":{"calls":[{}]}}]}','{"calls":[{"qualified_name":"{\\"calls\\": {"}]}','{"calls":\n[\n{"level":\t1}]}\n','{"calls":[{"qualified_name":"a\nb"}]}','{"a":1,}','{"calls":[{}],"resolved":true,"external":"yes"}',_deep(3),_deep(20),_deep(40),_deep(300),_deep(3000),"{'calls':[]}",'{"level":-0,"calls":[{"level":1e2}]}','{"calls":[{"level":1}, ["x", {"calls":[{}]}]]}','﻿{"calls":[{}]}','{"calls":[{}]}\x00','{"calls":null}','{"level":true,"calls":[{}]}','{"resolved":1,"calls":[{}]}','{"qualified_name":5,"calls":[{}]}', '{"calls":[{}],"b":/*c*/1}','{"calls":[{"level":01}]}','{"calls":["{\\"level\\":7}"]}']
+
+
+def test_block_reader_equals_one_by_one():
+    """Over regular, irregular and broken texts, together and each alone, both ways give the same rows."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"row_id": pa.array(range(len(TEXTS)), pa.int64()), "tool_uid": pa.array([str(i) for i in range(len(TEXTS))]), "call_graph": pa.array(TEXTS, pa.string())})
+    rows = lambda parts: sorted(repr(r) for p in parts for r in p.to_pylist())
+    want = rows(nf._walk(batch))
+    assert rows(nf._flatten([batch])) == want and len(want) > 300
+    assert sorted(r for i in range(len(TEXTS)) for r in rows(nf._flatten([batch.slice(i, 1)]))) == want
+    assert nf._regular(batch.column("call_graph")).sum() > 20

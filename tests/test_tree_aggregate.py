@@ -14,17 +14,17 @@ def test_rounds():
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.sampled_from(["hot", "a", "b", None]), st.one_of(st.none(), st.integers(-5, 5))), max_size=60), st.integers(1, 9), st.integers(2, 4))
-def test_equals_plain_aggregation(spark, rows, parts, fan_in):
+@given(st.lists(st.tuples(st.sampled_from(["hot", "a", "b", None]), st.one_of(st.none(), st.integers(-5, 5))), max_size=60), st.integers(1, 9), st.integers(2, 4), st.sampled_from([1, 9, 70]))
+def test_equals_plain_aggregation(spark, rows, parts, fan_in, told):
     df = spark.createDataFrame(rows, "k string, v int").repartition(parts)
-    got = tree_aggregate(df, ["k"], [Measure("n", "count", F.lit(1)), Measure("s", "sum", F.col("v")), Measure("lo", "min", F.col("v")), Measure("hi", "max", F.col("v"))], fan_in)
+    got = tree_aggregate(df, ["k"], [Measure("n", "count", F.lit(1)), Measure("s", "sum", F.col("v")), Measure("lo", "min", F.col("v")), Measure("hi", "max", F.col("v"))], fan_in, chunks=told)
     want = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def test_every_round_merges_at_most_fan_in(spark):
     df = spark.range(1000).repartition(40).withColumn("k", F.lit("one"))
-    plan = tree_aggregate(df, ["k"], [Measure("n", "count", F.lit(1))], 4)._jdf.queryExecution().optimizedPlan().toString()
+    plan = tree_aggregate(df, ["k"], [Measure("n", "count", F.lit(1))], 4, chunks=40)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 3  # 40 chunks -> 10 -> 3 -> 1 nodes
 
 
