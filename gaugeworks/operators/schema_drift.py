@@ -114,6 +114,9 @@ def _utf8(s: str) -> str:
     return s if s.isascii() else s.encode("utf-8", "replace").decode("utf-8")
 
 
+#: Separates a path from a number, where a line holds the same path twice.
+AGAIN = "\x01"
+
 _KEEP = ["record_no", "log_name", "file_name", "file_time", "line_no"]
 
 
@@ -134,9 +137,11 @@ def ingest(raw: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
                 rest, rest_kinds = {}, {}
                 for p, v in leaves(obj) if obj is not None else ():
                     k = kind_of(v)
-                    if target.get(p) == k and not (k == "integer" and not -(1 << 63) <= v < 1 << 63):
+                    if target.get(p) == k and typed[p][i] is None and not (k == "integer" and not -(1 << 63) <= v < 1 << 63):
                         typed[p][i] = _utf8(v) if k == "string" else json.dumps(v) if k == "array" else v
                     else:
+                        if p in rest:  # a key with a dot and a nested path of the same name: both are kept
+                            p += f"{AGAIN}{len(rest)}"
                         rest[p], rest_kinds[_utf8(p)] = v, k
                 rescued.append(_utf8(json.dumps(rest, ensure_ascii=False)) if rest else None)
                 kinds.append(list(rest_kinds.items()))
@@ -152,14 +157,37 @@ def _rescued_map(c: str = "_rescued") -> Column:
     return F.from_json(F.col(c), "map<string,string>")
 
 
-def path_facts(ingested: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
-    """log_name, file_name, tool, path, kind, value: each value of each line, read back from typed and rescue columns."""
+_KINDS = {"null": 0, "string": 1, "integer": 2, "float": 4, "boolean": 8, "array": 16}
+
+
+def _path(key: Column) -> Column:
+    return F.substring_index(key, AGAIN, 1)
+
+
+def path_kinds(ingested: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
+    """log_name, file_name, path, kinds: every path of every file with the set of its JSON kinds as bits (0: nulls only).
+
+    Typed columns are one aggregate a column over the lines, spread out only per file; only rescued paths are exploded.
+    """
+    file = ["log_name", "file_name"]
+    rows = ingested.where("is_object and log_name is not null and file_name is not null")
+    seen = rows.groupBy(*file).agg(*(F.bool_or(F.col(column_of(p)).isNotNull()).alias(column_of(p)) for p in target))
+    typed = seen.select(*file, F.explode(F.array_compact(F.array(*(F.when(F.col(column_of(p)), F.struct(F.lit(p).alias("path"), F.lit(_KINDS[k]).alias("kinds"))) for p, k in target.items())))).alias("f")).select(*file, "f.*")
+    bit = F.element_at(F.create_map(*(x for k, n in _KINDS.items() for x in (F.lit(k), F.lit(n)))), F.col("kind"))
+    rescued = rows.where(F.size("_rescued_kinds") > 0).select(*file, F.explode("_rescued_kinds").alias("key", "kind")).select(*file, _path(F.col("key")).alias("path"), bit.alias("kinds"))
+    return typed.unionByName(rescued).groupBy(*file, "path").agg(F.bit_or("kinds").alias("kinds"))
+
+
+def path_values(ingested: DataFrame, wanted: DataFrame, target: dict[str, str] = TARGET) -> DataFrame:
+    """log_name, seq, tool, path, kind, value of the values that are not null of the `wanted` paths (log_name, file_name, seq, paths)."""
     tool = column_of("tool_uid")
-    typed = [F.when(F.col(column_of(p)).isNotNull(), F.struct(F.lit(p).alias("path"), F.lit(k).alias("kind"), F.col(column_of(p)).cast("string").alias("value"))) for p, k in target.items()]
-    rescued = F.transform(F.map_entries("_rescued_kinds"), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("kind"), F.element_at("_m", e["key"]).alias("value")))
+    rows = ingested.where(F.col("is_object") & F.col(tool).isNotNull()).join(wanted, ["log_name", "file_name"])
+    has = lambda p: F.array_contains("paths", p)
+    typed = [F.when(F.col(column_of(p)).isNotNull() & has(F.lit(p)), F.struct(F.lit(p).alias("path"), F.lit(k).alias("kind"), F.col(column_of(p)).cast("string").alias("value"))) for p, k in target.items()]
+    own = F.filter(F.map_entries("_rescued_kinds"), lambda e: (e["value"] != "null") & has(_path(e["key"])))
+    rescued = F.transform(own, lambda e: F.struct(_path(e["key"]).alias("path"), e["value"].alias("kind"), F.element_at("_m", e["key"]).alias("value")))
     facts = F.concat(F.array_compact(F.array(*typed)), F.coalesce(rescued, F.array().cast("array<struct<path:string,kind:string,value:string>>")))
-    rows = ingested.where("is_object and log_name is not null and file_name is not null").withColumn("_m", _rescued_map())
-    return rows.select("log_name", "file_name", F.col(tool).alias("tool"), F.explode(facts).alias("f")).select("log_name", "file_name", "tool", "f.path", "f.kind", "f.value")
+    return rows.withColumn("_m", _rescued_map()).select("log_name", "seq", F.col(tool).alias("tool"), F.explode(facts).alias("f")).select("log_name", "seq", "tool", "f.path", "f.kind", _short(_canonical(F.col("f.value"))).alias("value")).distinct()
 
 
 def _canonical(value: Column) -> Column:
@@ -188,33 +216,36 @@ def drift_report(ingested: DataFrame, target: dict[str, str] = TARGET, min_match
     that goes on under another last name counts, whatever the number of tools, where neither path has another candidate;
     a constant boolean never does. Joins are on log, file, path and value, so no pair of unlike values is formed.
 
-    The distinct facts, the changes and the renames are checkpointed, so the lines are parsed once and plans stay short.
+    Kinds are found per file first, by aggregates that combine where the lines lie; then only the values of paths that came
+    or went are read. Lines meet the list of such paths of their file; files without any are left out. The small tables
+    between (files, changes, those values, renames) are checkpointed.
     `raw` may name the rows the file order is read from without parsing.
     """
     ensure_checkpoint_dir(ingested.sparkSession)
     files = file_order(ingested if raw is None else raw).checkpoint()
     kind = F.col("kind")
-    facts = path_facts(ingested, target).select("log_name", "file_name", "tool", "path", "kind", F.when(kind != "null", _short(_canonical(F.col("value")))).alias("value"))
-    facts = facts.distinct().join(files, ["log_name", "file_name"]).checkpoint()
-    paths = facts.groupBy("log_name", "seq", "path").agg(F.array_sort(F.collect_set(F.when(kind != "null", kind))).alias("kinds"))
-    # Each file's paths meet the next file's in one grouping: a fact of file s counts as new in s and as old in s + 1.
-    sides = paths.select("log_name", "path", F.explode(F.array(F.struct("seq", F.col("kinds").alias("new_kinds"), F.lit(None).cast("array<string>").alias("old_kinds")), F.struct((F.col("seq") + 1).alias("seq"), F.lit(None).cast("array<string>").alias("new_kinds"), F.col("kinds").alias("old_kinds")))).alias("s"))
+    paths = path_kinds(ingested, target).join(files, ["log_name", "file_name"])
+    # Each file's paths meet the next file's in one grouping: those of file s count as new in s and as old in s + 1.
+    none = F.lit(None).cast("int")
+    sides = paths.select("log_name", "path", F.explode(F.array(F.struct("seq", F.col("kinds").alias("new_kinds"), none.alias("old_kinds")), F.struct((F.col("seq") + 1).alias("seq"), none.alias("new_kinds"), F.col("kinds").alias("old_kinds")))).alias("s"))
     both = sides.select("log_name", "path", "s.*").groupBy("log_name", "seq", "path").agg(F.max("new_kinds").alias("new_kinds"), F.max("old_kinds").alias("old_kinds")).where("seq > 1")
     changes = (
         both.withColumn(
             "change_kind",
-            F.when(F.col("old_kinds").isNull(), "added")
-            .when(F.col("new_kinds").isNull(), "removed")
-            .when((F.size("old_kinds") > 0) & (F.size("new_kinds") > 0) & (F.col("old_kinds") != F.col("new_kinds")), "retyped"),
+            F.when(F.col("old_kinds").isNull(), "added").when(F.col("new_kinds").isNull(), "removed").when((F.col("old_kinds") > 0) & (F.col("new_kinds") > 0) & (F.col("old_kinds") != F.col("new_kinds")), "retyped"),
         )
         .where("change_kind is not null")
         .join(files, ["log_name", "seq"])
         .select("log_name", "seq", "file_name", "path", "change_kind")
         .checkpoint()
     )
-    values = facts.where("kind <> 'null' and tool is not null")
     gone = changes.where("change_kind = 'removed'").select("log_name", "seq", F.col("path").alias("old_path"))
     come = changes.where("change_kind = 'added'").select("log_name", "seq", F.col("path").alias("new_path"))
+    # A removed path has its values in the file before. Only changes with a side to pair with can be renames.
+    paired = gone.select("log_name", "seq").distinct().join(come.select("log_name", "seq").distinct(), ["log_name", "seq"])
+    needed = gone.select("log_name", "seq", F.col("old_path").alias("path"), F.lit(1).alias("back")).unionByName(come.select("log_name", "seq", F.col("new_path").alias("path"), F.lit(0).alias("back"))).join(paired, ["log_name", "seq"], "left_semi")
+    wanted = needed.select("log_name", (F.col("seq") - F.col("back")).alias("seq"), "path").groupBy("log_name", "seq").agg(F.collect_set("path").alias("paths")).join(files, ["log_name", "seq"])
+    values = path_values(ingested, wanted, target).checkpoint()
     old = values.select("log_name", (F.col("seq") + 1).alias("seq"), F.col("path").alias("old_path"), "tool", "kind", "value").join(gone, ["log_name", "seq", "old_path"], "left_semi")
     new = values.select("log_name", "seq", F.col("path").alias("new_path"), "tool", "value").join(come, ["log_name", "seq", "new_path"], "left_semi")
     same = (
