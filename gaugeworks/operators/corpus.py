@@ -152,9 +152,29 @@ def repos_with_min_tools(tools: DataFrame, least: int) -> DataFrame:
     return tools.join(full, F.col("repo.name_with_owner") == F.col("r"), "left_semi")
 
 
-#: Directory names that hold no product code, and file name patterns of tests.
-EXCLUDED_DIRECTORIES = ["test", "tests", "__tests__", "spec", "specs", "example", "examples", "node_modules", "vendor", "dist", "build", "docs", "fixtures", "mocks", "samples", "demo", "demos", "benchmarks", "third_party", "target", "out", ".git", ".venv", "venv", "site-packages", "coverage", "e2e"]
-TEST_FILE = r"(?i)(\.(test|spec)\.[a-z]+$|_test\.(go|py|rb|dart)$|(^|/)test_[^/]*\.py$|Tests?\.(java|kt|cs)$)"
+#: Directory names and file name endings that hold no product code.
+EXCLUDED_DIRECTORIES = [
+    "test", "tests", "__tests__", "spec", "specs", "testing",
+    "conformance-test", "conformance-tests",
+    "example", "examples", "demo", "demos", "sample", "samples",
+    "doc", "docs", "docs_src", "documentation",
+    "node_modules", "vendor", "third_party", "dist", "build", "out",
+    ".venv", "venv", ".git",
+]
+EXCLUDED_ENDINGS = [
+    ".test.ts", ".spec.ts", ".test.tsx", ".spec.tsx",
+    ".test.js", ".spec.js", ".test.jsx", ".spec.jsx",
+    ".test.mjs", ".spec.mjs", ".test.cjs", ".spec.cjs",
+]
+
+
+def excluded_by_name(path: Column) -> Column:
+    """Whether the file name is one of a test: a fixed ending, or a Python file named test_* or *_test, in any case."""
+    name = F.lower(F.substring_index(path, "/", -1))
+    ending = F.exists(F.array(*(F.lit(x) for x in EXCLUDED_ENDINGS)), lambda x: F.endswith(name, x))
+    # The extension counts as written: only .py in lower case is Python's.
+    python = path.endswith(".py") & (name.startswith("test_") | name.endswith("_test.py"))
+    return ending | python
 
 
 def excluded_by_directory(path: Column) -> Column:
@@ -164,7 +184,7 @@ def excluded_by_directory(path: Column) -> Column:
 
 
 def source_file_filter(files: DataFrame) -> DataFrame:
-    return files.where(~excluded_by_directory(F.col("file_path")) & ~F.col("file_path").rlike(TEST_FILE))
+    return files.where(~excluded_by_directory(F.col("file_path")) & ~excluded_by_name(F.col("file_path")))
 
 
 def effective_language(files: DataFrame) -> DataFrame:

@@ -46,7 +46,9 @@ def dedupe_evaluations(evaluations: DataFrame) -> DataFrame:
 def repair_evaluations(evaluations: DataFrame) -> DataFrame:
     """The opposite policy: uids shared by several tool names get the name appended; then the earliest per uid, scenario and judge."""
     names = evaluations.groupBy("tool_uid").agg((F.min("tool.name") != F.max("tool.name")).alias("shared"))
-    rows = evaluations.join(names, "tool_uid").withColumn("tool_uid", F.when(F.col("shared"), F.concat_ws("::", "tool_uid", "tool.name")).otherwise(F.col("tool_uid"))).drop("shared")
+    # Null uids form one key of their own, which nothing is appended to.
+    shared = names.where("shared").select(F.col("tool_uid").alias("__gw_uid"), "shared")
+    rows = evaluations.join(shared, F.col("tool_uid") == F.col("__gw_uid"), "left").drop("__gw_uid").withColumn("tool_uid", F.when(F.col("shared"), F.concat_ws("::", "tool_uid", "tool.name")).otherwise(F.col("tool_uid"))).drop("shared")
     kept = first_by(rows.withColumn("__gw_judge", F.col("judge.id")), ["tool_uid", "scenario", "__gw_judge"], F.coalesce("evaluated_at", F.lit("")).asc(), F.col("eval_id").asc())
     return kept.drop("__gw_judge")
 
@@ -74,3 +76,18 @@ def active_version(evaluations: DataFrame, versions: DataFrame | None = None) ->
 def purge_version(evaluations: DataFrame, version: str) -> DataFrame:
     """Without the rows of a prompt version."""
     return evaluations.where(~F.col("prompt_version").eqNullSafe(version))
+
+
+def dedupe_report(evaluations: DataFrame) -> DataFrame:
+    """One row: lines before and after deduplication, how many went, and how many of the kept are errors."""
+    kept = dedupe_evaluations(evaluations).agg(F.count(F.lit(1)).alias("linhas_unicas"), F.count_if(F.col("status") == "error").alias("ainda_com_erro"))
+    return kept.select(F.lit(evaluations.select(F.count(F.lit(1)).alias("n")).scalar()).alias("linhas"), "linhas_unicas", "ainda_com_erro").withColumn("removidas", F.col("linhas") - F.col("linhas_unicas"))
+
+
+def not_yet_processed(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key is not among the done ones; a null key is equal to a null key."""
+    d = done.select(*(F.col(k).alias(f"__gw_{k}") for k in keys)).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__gw_{k}"))
+    return rows.join(d, same, "left_anti")

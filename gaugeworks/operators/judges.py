@@ -144,21 +144,28 @@ def component_histogram(long: DataFrame, keys: tuple[str, ...] = ("componente",)
 
 
 def judge_statistics(diffs: DataFrame) -> DataFrame:
-    """Means, delta, shares down, tied and up, number different and rank-biserial effect per judge and component."""
+    """Means, delta, shares down, tied and up, number different, rank-biserial effect, Wilcoxon p and adjusted p per judge and component."""
     g = ["juiz", "componente"]
     n = F.count(F.lit(1))
     rows = diffs.groupBy(*g).agg(
         n.alias("n_pareado"), F.avg("sem").alias("media_sem_codigo"), F.avg("com").alias("media_com_codigo"), F.avg("diff").alias("delta"),
         share(F.count_if(F.col("diff") < 0), n).alias("pct_diminuiu"), share(F.count_if(F.col("diff") == 0), n).alias("pct_empatou"), share(F.count_if(F.col("diff") > 0), n).alias("pct_aumentou"), F.count_if(F.col("diff") != 0).alias("n_diferentes"),
     )
-    return rows.join(st.rank_biserial(diffs, g), g)
+    tests = st.wilcoxon_by_component(diffs).select(*g, "p_valor", "p_valor_bh")
+    return rows.join(st.rank_biserial(diffs, g), g).join(tests, g)
+
+
+def study_judges(diffs: DataFrame, n: int = 3) -> DataFrame:
+    """The pairs of the n judges with most complete pairs (names break ties): the judges of a comparison."""
+    best = diffs.groupBy("juiz").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "juiz").limit(n)
+    return diffs.join(best, "juiz", "left_semi")
 
 
 def common_tools(diffs: DataFrame) -> DataFrame:
-    """Pairs of the tools and components that every judge of the table has: division by the number of judges."""
+    """Pairs of the tools that every judge of the table has: division by the number of judges, tool by tool."""
     judges = diffs.select(F.countDistinct("juiz").alias("n")).scalar()
-    full = diffs.groupBy("tool_uid", "componente").agg(F.countDistinct("juiz").alias("k")).where(F.col("k") == judges)
-    return diffs.join(full, ["tool_uid", "componente"], "left_semi")
+    full = diffs.groupBy("tool_uid").agg(F.countDistinct("juiz").alias("k")).where(F.col("k") == judges)
+    return diffs.join(full, "tool_uid", "left_semi")
 
 
 def mean_change_on_common_tools(diffs: DataFrame) -> DataFrame:
@@ -180,32 +187,71 @@ def judge_pairs(diffs: DataFrame) -> DataFrame:
     return a.join(b, ["tool_uid", "componente"]).where("juiz_a < juiz_b")
 
 
+#: The component that stands for all of them stacked, and the measures of a pair of judges.
+OVERALL = "geral"
+MEASURES = {"S": ("sem_a", "sem_b"), "C": ("com_a", "com_b"), "D": ("diff_a", "diff_b")}
+
+
+def _with_overall(rows: DataFrame) -> DataFrame:
+    """Each row once for its component and once for all components stacked."""
+    return rows.withColumn("componente", F.explode(F.array("componente", F.lit(OVERALL))))
+
+
+def _long_measures(pairs: DataFrame) -> DataFrame:
+    cells = F.array(*(F.struct(F.lit(k).alias("medida"), F.col(a).alias("x"), F.col(b).alias("y")) for k, (a, b) in MEASURES.items()))
+    return pairs.select("juiz_a", "juiz_b", "componente", "tool_uid", F.explode(cells).alias("c")).select("juiz_a", "juiz_b", "componente", "tool_uid", "c.*")
+
+
 def judge_correlations(pairs: DataFrame) -> DataFrame:
-    """Spearman of scores without source, with source and of their differences, per pair of judges and component."""
-    g = ["juiz_a", "juiz_b", "componente"]
-    out = pairs.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
-    for k in ("sem", "com", "diff"):
-        out = out.join(st.spearman(pairs.select(*g, f"{k}_a", f"{k}_b"), g, f"{k}_a", f"{k}_b", f"rho_{k}"), g, "left")
-    return out
+    """juiz_a, juiz_b, medida (S, C, D), componente (and all stacked), n_tools, spearman; of pairs on common tools.
 
+    All measures are ranked in one pass over the rows in long form.
+    """
+    g = ["juiz_a", "juiz_b", "medida", "componente"]
+    tools = pairs.groupBy("juiz_a", "juiz_b").agg(F.countDistinct("tool_uid").alias("n_tools"))
+    return st.spearman(_long_measures(_with_overall(pairs)), g, "x", "y", "spearman").join(tools, ["juiz_a", "juiz_b"])
 
-def consensus_subset(pairs: DataFrame) -> DataFrame:
-    """Pairs of judges restricted to differences that are none of them zero, with the share of equal direction."""
-    g = ["juiz_a", "juiz_b", "componente"]
-    own = pairs.where("diff_a <> 0 and diff_b <> 0")
-    return own.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), share(F.count_if(F.signum("diff_a") == F.signum("diff_b")), F.count(F.lit(1))).alias("pct_mesmo_sinal"))
 
+def consensus_subset(diffs: DataFrame) -> DataFrame:
+    """Pairs of the tools and components, on the common tools, whose score every judge changed."""
+    sub = common_tools(diffs)
+    judges = diffs.select(F.countDistinct("juiz").alias("n")).scalar()
+    keys = sub.groupBy("tool_uid", "componente").agg(F.count_if(F.col("diff") != 0).alias("k")).where(F.col("k") == judges)
+    return sub.join(keys, ["tool_uid", "componente"], "left_semi")
 
-def direction_kappa(pairs: DataFrame) -> DataFrame:
-    """Cohen's kappa of the directions (-1, 0, 1) of each pair of judges over all components."""
-    own = pairs.select("juiz_a", "juiz_b", F.signum("diff_a").alias("a"), F.signum("diff_b").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    return own.groupBy("juiz_a", "juiz_b").agg(F.count(F.lit(1)).alias("n"), F.avg((a == b).cast("double")).alias("po"), st.cohen_kappa(a, b, [-1.0, 0.0, 1.0]).alias("kappa"))
+
+def consensus_correlation(consensus: DataFrame) -> DataFrame:
+    """Per pair of judges over the consensus, components stacked: n_pares, n_tools, Spearman of S, C and D, share moved the same way."""
+    pairs = judge_pairs(consensus)
+    g = ["juiz_a", "juiz_b"]
+    rho = st.spearman(_long_measures(pairs), [*g, "medida"], "x", "y", "rho").groupBy(*g).agg(*(F.max(F.when(F.col("medida") == k, F.col("rho"))).alias(f"rho_{k}") for k in MEASURES))
+    n = F.count(F.lit(1))
+    rows = pairs.groupBy(*g).agg(n.alias("n_pares"), F.countDistinct("tool_uid").alias("n_tools"), share(F.count_if((F.col("diff_a") > 0) == (F.col("diff_b") > 0)), n).alias("pct_mesmo_sentido"))
+    return rows.join(rho, g)
 
 
-def direction_fleiss(diffs: DataFrame) -> DataFrame:
-    labels = diffs.select("componente", "tool_uid", F.signum("diff").alias("sinal"))
-    return st.fleiss_kappa(labels, ["componente"], ["tool_uid"], "sinal")
+#: The row of all judges together in the agreement table.
+ALL_JUDGES = "todos (Fleiss)"
+
+
+def agreement_table(diffs: DataFrame) -> DataFrame:
+    """componente (and all stacked), par, n_itens, rho_S, rho_C, po, pe, kappa on the common tools; one row a pair, one for all judges."""
+    sub = common_tools(diffs)
+    pairs = _with_overall(judge_pairs(sub))
+    g = ["juiz_a", "juiz_b", "componente"]
+    labels = pairs.select(*g, F.signum("diff_a").alias("a"), F.signum("diff_b").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    chance = sum((F.avg((a == c).cast("double")) * F.avg((b == c).cast("double")) for c in (-1.0, 0.0, 1.0)), F.lit(0.0))
+    kappa = labels.groupBy(*g).agg(F.count(F.lit(1)).alias("n_itens"), F.avg((a == b).cast("double")).alias("po"), chance.alias("pe"))
+    rho = st.spearman(_long_measures(pairs).where("medida <> 'D'"), [*g, "medida"], "x", "y", "rho").groupBy(*g).agg(*(F.max(F.when(F.col("medida") == k, F.col("rho"))).alias(f"rho_{k}") for k in ("S", "C")))
+    one = kappa.join(rho, g).select("componente", F.concat_ws(" x ", "juiz_a", "juiz_b").alias("par"), "n_itens", "rho_S", "rho_C", "po", "pe", F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe")).alias("kappa"))
+    # An item of the overall row is a tool and a component, so the component stays part of the item.
+    signs = sub.select(F.col("componente").alias("item_componente"), "tool_uid", F.signum("diff").alias("sinal"), F.explode(F.array("componente", F.lit(OVERALL))).alias("componente"))
+    fleiss = st.fleiss_kappa(signs, ["componente"], ["tool_uid", "item_componente"], "sinal")
+    items = signs.groupBy("componente").agg(F.countDistinct("tool_uid", "item_componente").alias("n_itens"))
+    none = F.lit(None).cast("double")
+    every = fleiss.join(items, "componente").select("componente", F.lit(ALL_JUDGES).alias("par"), "n_itens", none.alias("rho_S"), none.alias("rho_C"), F.col("p_obs").alias("po"), F.col("p_exp").alias("pe"), F.col("kappa_fleiss").alias("kappa"))
+    return one.unionByName(every)
 
 
 def grouped_summary(long: DataFrame) -> DataFrame:
@@ -215,13 +261,13 @@ def grouped_summary(long: DataFrame) -> DataFrame:
     return rows.select(*(F.coalesce(x, F.lit("*")).alias(x) for x in ("juiz", "cenario", "componente")), "media", "n")
 
 
-def tools_by_mean(current: DataFrame, n: int) -> DataFrame:
-    """The n tools with the highest mean score (a top-k report); tools without a score come last."""
+def tools_by_mean(current: DataFrame) -> DataFrame:
+    """All tools by mean score, highest first; tools without a score come last."""
     from .facts import scores_long
 
     tools = current.select(F.col("tool_key").alias("tool_uid")).distinct()
     means = scores_long(current).groupBy("tool_uid").agg(F.avg("nota").alias("m"))
-    return tools.join(means, "tool_uid", "left").orderBy(F.desc_nulls_last("m"), "tool_uid").limit(n)
+    return tools.join(means, "tool_uid", "left").orderBy(F.desc_nulls_last("m"), "tool_uid")
 
 
 def component_ranking(long: DataFrame) -> DataFrame:
@@ -245,24 +291,26 @@ def changed_components(current: DataFrame) -> DataFrame:
     return d.groupBy("tool_uid", "juiz").agg(F.array_join(F.array_sort(F.collect_set("componente")), ",").alias("componentes"), F.sum(F.abs("diff")).alias("diferenca_total"))
 
 
-#: Reason categories and the substrings that name them, with one exclusion.
+#: Reason categories and the substrings that name them.
 REASONS = {
-    "parametros": ["parameter", "argument", "`"],
-    "limites": ["limit", "restriction", "caveat", "edge case"],
-    "codigo": ["source", "code", "handler", "helper"],
-    "exemplos": ["example", "sample"],
-    "clareza": ["clear", "explicit", "easy to grasp", "unambiguous", "vague", "unclear"],
-    "nome": ["name"],
-}
-REASON_EXCLUSION = ("clareza", "not clear")
-NO_REASON = "sem_motivo"
+    "tool_sem_parametro": ["takes no input parameter", "accepts no input parameter", "no parameter roles to explain", "exposes no user-facing parameter", "no user-facing parameter", "vacuously satisfied", "empty input schema"],
+    "omissao_parametros": ["parameter", "argument"],
+    "omissao_funcionalidades": ["other supported", "additional mode", "also filters", "also performs", "also allows", "also supports", "also returns", "related tools such as", "differs from", "grouping semantics", "selection mode", "fuzzy", "side effect", "broader workflow", "versus other", "versus alternatives", "how this differs"],
+    "omissao_saidas": ["return value", "return format", "return shape", "returned fields", "returned match", "what is returned", "no return value", "output schema", "returned format", "return structure", "what a returned", "what the returned", "result represents", "outcome beyond", "is returned", "are returned", "what fields", "returned list", "result shape", "returned user"],
+    "omissao_limitacoes": ["error", "exception", "raise", "constraint", "edge case", "corner case", "fails to", "fail for", "failure mode", "may fail", "rate limit", "credential", "caveat", "required integration", "permission"],
+    "contradicao": ["contradict", "inconsisten", "mismatch", "does not match", "does not align", "conflicts with", "diverges from", "misleading", "not implemented", "actually does", "actually performs", "the code reveals", "the implementation shows", "does not correspond"],
+}
+#: The second of these never stands beside the first.
+REASON_EXCLUSION = ("tool_sem_parametro", "omissao_parametros")
+NO_REASON = "sem_achado_no_codigo"
 
 
 def reasons_of(text: Column) -> Column:
     """Categories whose substrings stand in the lower-case text; a fallback where there is none."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    hit = lambda words: sum((F.when(t.contains(w), 1).otherwise(0) for w in words), F.lit(0)) > 0
-    found = F.array_compact(F.array(*(F.when(hit(ws) & (~t.contains(REASON_EXCLUSION[1]) if k == REASON_EXCLUSION[0] else F.lit(True)), F.lit(k)) for k, ws in REASONS.items())))
+    hit = lambda k: F.exists(F.array(*(F.lit(w) for w in REASONS[k])), lambda w: t.contains(w))
+    first, second = REASON_EXCLUSION
+    found = F.array_compact(F.array(*(F.when(hit(k) & (~hit(first) if k == second else F.lit(True)), F.lit(k)) for k in REASONS)))
     return F.when(F.size(found) == 0, F.array(F.lit(NO_REASON))).otherwise(found)
 
 
@@ -282,14 +330,37 @@ def reason_summary(reasons: DataFrame, keys: tuple[str, ...] = ("juiz", "compone
     return reasons.groupBy(*keys).agg(n.alias("ocorrencias"), F.count_if("subiu").alias("n_subiu"), F.count_if(~F.col("subiu")).alias("n_desceu"), share(F.count_if("subiu"), n).alias("pct_subiu"))
 
 
-def top_divergences(migration: DataFrame, diffs: DataFrame, n: int = 20) -> DataFrame:
-    """The n diverging pairs with the largest quartile and score differences (a top-k report)."""
-    rows = migration.where("diverge").join(diffs.select("juiz", "componente", "tool_uid", "diff"), ["juiz", "componente", "tool_uid"])
-    return rows.orderBy(F.abs("diff_quartil").desc(), F.abs("diff").desc(), "juiz", "componente", "tool_uid").limit(n).select("juiz", "componente", "tool_uid", "diff_quartil", "diff")
+def top_divergences(migration: DataFrame, diffs: DataFrame, current: DataFrame) -> DataFrame:
+    """All diverging pairs, largest quartile and score differences first, with the reasonings of both scenarios side by side."""
+    g = ["juiz", "componente", "tool_uid"]
+    rows = migration.where("diverge").join(diffs.select(*g, "diff"), g)
+    texts = F.array(*(F.struct(F.lit(c).alias("componente"), F.col(f"scores.{c}.reasoning").alias("texto")) for c in COMPONENTS))
+    own = current.where("status = 'ok'").select(F.col("judge.id").alias("juiz"), F.col("tool_key").alias("tool_uid"), "scenario", F.explode(texts).alias("t")).select("juiz", "tool_uid", "scenario", "t.*")
+    side = lambda s: F.max(F.when(F.col("scenario") == s, F.col("texto")))
+    both = own.join(rows.select(*g), g, "left_semi").groupBy(*g).agg(side(WITHOUT).alias("texto_sem"), side(WITH).alias("texto_com"))
+    return rows.join(both, g, "left").select(*g, "diff_quartil", "diff", "texto_sem", "texto_com").orderBy(F.abs("diff_quartil").desc(), F.abs("diff").desc(), *g)
 
 
 def nested_consensus(changes: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Per tool and component of the consensus: its judges, the sum of absolute changes, and the tool's first-seen name (inner)."""
-    rows = changes.groupBy("tool_uid", "componente").agg(F.array_join(F.array_sort(F.collect_list("juiz")), ",").alias("juizes"), F.count(F.lit(1)).alias("n_juizes"), F.sum(F.abs("diff_nota")).alias("soma_abs"))
+    """Per tool and component of the consensus: its judges as structs in order of name, the sum of absolute changes, and the tool's first-seen name (inner)."""
+    per_judge = F.array_sort(F.collect_list(F.struct("juiz", "diff_nota", "subiu")))
+    rows = changes.groupBy("tool_uid", "componente").agg(per_judge.alias("juizes"), F.count(F.lit(1)).alias("n_juizes"), F.sum(F.abs("diff_nota")).alias("soma_abs"))
     first = metadata.groupBy(F.col("tool_key").alias("tool_uid")).agg(F.min_by("tool.name", "eval_id").alias("nome"), F.min_by("repo.name_with_owner", "eval_id").alias("repositorio"))
     return rows.join(first, "tool_uid")
+
+
+def scores_by_component(current: DataFrame) -> DataFrame:
+    """eval_id and a map from component to score of every ok row."""
+    cells = F.array(*(F.struct(F.lit(c), F.col(f"scores.{c}.score")) for c in COMPONENTS))
+    return current.where("status = 'ok'").select("eval_id", F.map_from_entries(cells).alias("notas"))
+
+
+#: Names of the components as reports show them.
+COMPONENT_LABELS = {"purpose": "Purpose", "guidelines": "Guidelines", "limitations": "Limitations", "parameter_explanation": "Parameter Explanation", "length_completeness": "Length & Completeness", "examples": "Examples"}
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """With the component's label; numbers that are not numbers become null."""
+    label = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in COMPONENT_LABELS.items() for x in kv)), F.col("componente")), F.col("componente"))
+    kinds = dict(rows.dtypes)
+    return rows.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in rows.columns), label.alias("componente_label"))

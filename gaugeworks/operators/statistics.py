@@ -120,6 +120,11 @@ def wilcoxon_by_component(diffs: DataFrame) -> DataFrame:
     )
 
 
+def significance_mark(p: Column) -> Column:
+    """'*' below 0.05, else ''; null gives ''."""
+    return F.when(p < 0.05, "*").otherwise("")
+
+
 def rank_biserial(diffs: DataFrame, group: list[str]) -> DataFrame:
     """(R+ - R-) / (R+ + R-) per group; null when every pair is tied."""
     keys = diffs.select(*group).distinct()

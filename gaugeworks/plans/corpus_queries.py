@@ -50,8 +50,8 @@ _query(
 _query("flt01_filter_and_rank", "SELECT id, stargazer_count, primary_language, seq FROM pool")(lambda s, d: _pool(s, d).select("id", "stargazer_count", "primary_language", "seq"))
 _query("flt02_no_forks", "SELECT count(*) AS n FROM uni WHERE NOT is_fork AND name_with_owner IS NOT NULL")(lambda s, d: dedup.first_by(read_table(s, d, "candidates"), ["id"], F.col("seq")).where("not is_fork and name_with_owner is not null").agg(F.count(F.lit(1)).alias("n")))
 _query("srt01_top_n", "SELECT id, name_with_owner, stargazer_count FROM sel")(lambda s, d: _selected(s, d).select("id", "name_with_owner", "stargazer_count"))
-_query("srt03_rank_by_signals", ", t AS (SELECT id, name_with_owner, len(list_distinct(flatten(list(matched_signals)))) AS n FROM candidates WHERE name_with_owner IS NOT NULL GROUP BY ALL) SELECT name_with_owner, n FROM t ORDER BY n DESC, name_with_owner LIMIT 30")(
-    lambda s, d: read_table(s, d, "candidates").where("name_with_owner is not null").select("id", "name_with_owner", F.explode("matched_signals").alias("x")).groupBy("id", "name_with_owner").agg(F.countDistinct("x").alias("n")).orderBy(F.desc("n"), "name_with_owner").limit(30).select("name_with_owner", "n")
+_query("srt03_rank_by_signals", ", t AS (SELECT id, name_with_owner, len(list_distinct(flatten(list(matched_signals)))) AS n FROM candidates WHERE name_with_owner IS NOT NULL GROUP BY ALL) SELECT name_with_owner, n FROM t ")(
+    lambda s, d: read_table(s, d, "candidates").where("name_with_owner is not null").select("id", "name_with_owner", F.explode("matched_signals").alias("x")).groupBy("id", "name_with_owner").agg(F.countDistinct("x").alias("n")).orderBy(F.desc("n"), "name_with_owner").select("name_with_owner", "n")
 )
 _query("agg01_repos_por_linguagem", "SELECT primary_language AS linguagem, count(*) AS repositorios, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM sel) AS percentual FROM sel WHERE primary_language IS NOT NULL GROUP BY ALL")(lambda s, d: corpus.count_by(_selected(s, d), F.col("primary_language"), "linguagem", "repositorios"))
 _query(
@@ -117,7 +117,12 @@ _query("jn10_backfill", "SELECT id, stargazer_count FROM pool WHERE id NOT IN (S
 _query("jn25_orphans", "SELECT DISTINCT repo_name FROM source_files WHERE repo_name IS NOT NULL AND repo_name NOT IN (SELECT repo.name_with_owner FROM tools WHERE repo.name_with_owner IS NOT NULL)", "")(
     lambda s, d: read_table(s, d, "source_files").select("repo_name").where("repo_name is not null").distinct().join(read_table(s, d, "tools").select(F.col("repo.name_with_owner").alias("repo_name")).distinct(), "repo_name", "left_anti")
 )
-_query("flt06_flt07_source_files", f"SELECT file_id FROM source_files WHERE NOT list_has_any(list_transform(string_split(file_path, '/')[1:-2], lambda x: lower(x)), [{', '.join(repr(x) for x in corpus.EXCLUDED_DIRECTORIES)}]) AND NOT regexp_matches(file_path, '{corpus.TEST_FILE}')", "")(lambda s, d: corpus.source_file_filter(read_table(s, d, "source_files")).select("file_id"))
+_query(
+    "flt06_flt07_source_files",
+    r"""SELECT file_id FROM source_files WHERE NOT regexp_matches(lower(file_path), '(^|/)(tests?|__tests__|specs?|testing|conformance-tests?|examples?|demos?|samples?|docs?|docs_src|documentation|node_modules|vendor|third_party|dist|build|out|\.venv|venv|\.git)/')
+    AND NOT regexp_matches(lower(file_path), '\.(test|spec)\.(tsx?|jsx?|mjs|cjs)$') AND NOT regexp_matches(file_path, '(?i:(^|/)(test_[^/]*|[^/]*_test))\.py$')""",
+    "",
+)(lambda s, d: corpus.source_file_filter(read_table(s, d, "source_files")).select("file_id"))
 _query(
     "ext02_effective_language",
     """SELECT *, CASE WHEN ts > js THEN 'TypeScript' ELSE 'JavaScript' END AS linguagem FROM (SELECT repo_name, count(*) FILTER (WHERE e IN ('ts', 'tsx')) AS ts, count(*) FILTER (WHERE e IN ('js', 'jsx', 'mjs', 'cjs')) AS js

@@ -46,4 +46,29 @@ def test_log_bins_of_equal_values_and_empty(spark):
 def test_paths(spark):
     rows = [(p,) for p in ("src/a.py", "Tests/a.py", "a/test_x.py", "a/x_test.go", "a/b.spec.ts", "x.py", "a/test.py/x.go", "latest/x.py")]
     got = {r.file_path for r in corpus.source_file_filter(spark.createDataFrame(rows, "file_path string")).collect()}
-    assert got == {"src/a.py", "x.py", "a/test.py/x.go", "latest/x.py"}
+    # Only Python's and the TypeScript and JavaScript forms of test names count.
+    assert got == {"src/a.py", "x.py", "a/x_test.go", "a/test.py/x.go", "latest/x.py"}
+    more = {"testing/a.py": 0, "conformance-tests/a.ts": 0, "docs_src/a.py": 0, "Sample/a.go": 0, "fixtures/a.go": 1, "target/a.rs": 1, "a/B.TEST.TS": 0, "a/c_test.py": 0, "a/Test_c.py": 0, "a/test_c.PY": 1, "a/contest.py": 1, "a/x.spec.mjs": 0, "a/xTest.java": 1, "examples": 1}
+    got = {r.file_path for r in corpus.source_file_filter(spark.createDataFrame([(p,) for p in more], "file_path string")).collect()}
+    assert got == {p for p, keep in more.items() if keep}
+
+
+def test_slug_scientific_and_rounding(spark):
+    import re
+    import unicodedata
+
+    for t in ("Análise Geral – Ç/ß x_1", "--Ünïcödé--", "", "Ｆｕｌｌ ½ 数", "ŁØ"):
+        want = re.sub(r"[^a-zA-Z0-9]+", "_", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()).strip("_").lower()
+        if "½" not in t:
+            assert one(spark, keys.ascii_slug(F.col("u")), u=t) == want, t
+    assert one(spark, keys.scientific(F.col("u")), u=0.00123) == r"$1,23 \times 10^{-3}$" and one(spark, keys.scientific(F.col("u")), u=0.0) == "$< 10^{-300}$"
+    df = spark.createDataFrame([((1.23456, [2.00051, None], {"a": 0.0005}), 7, None), (None, 8, 1.5)], "s struct<x:double,y:array<double>,z:map<string,double>>, n int, d double")
+    rows = [r.asDict(recursive=True) for r in keys.rounded(df).collect()]
+    assert rows == [{"s": {"x": 1.235, "y": [2.001, None], "z": {"a": 0.0}}, "n": 7, "d": None}, {"s": None, "n": 8, "d": 1.5}]
+
+
+def test_lines_end_as_in_unicode(spark):
+    text = "a\u2028b\rc\r\nd\n\x0ce\n"
+    for a, b in ((1, 9), (2, 3), (4, 6), (6, 6), (7, 9)):
+        want = "\n".join(text.splitlines()[a - 1 : b])
+        assert one(spark, keys.line_slice(F.col("u"), F.lit(a), F.lit(b)), u=text) == want

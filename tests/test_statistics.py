@@ -105,3 +105,37 @@ def test_exact_p_equals_enumeration(spark):
             assert statistics.exact_p(n, w) == pytest.approx(min(1.0, 2 * hits / 2**n))
     df = spark.createDataFrame([("j", "c", float(d)) for d in (1, 2, 3, -4, 5)], "juiz string, componente string, diff double")
     assert statistics.wilcoxon_by_component(df).collect()[0].p_valor == pytest.approx(statistics.exact_p(5, 4))
+
+
+def test_agreement_equals_brute_force(spark):
+    """Common tools, consensus, correlations and kappas over three judges, one of whom misses a tool."""
+    import random
+
+    from gaugeworks.operators import judges
+
+    rng = random.Random(2)
+    rows = [(j, c, t, a := rng.randint(1, 5), b := rng.randint(1, 5), b - a) for t in range(30) for j in ("x", "y", "z") if (t, j) != (3, "z") for c in ("purpose", "examples")]
+    df = spark.createDataFrame([(j, c, f"t{t}", float(a), float(b), float(d)) for j, c, t, a, b, d in rows], "juiz string, componente string, tool_uid string, sem double, com double, diff double")
+    common = [r for r in rows if r[2] != 3]
+    assert judges.common_tools(df).count() == len(common)
+    by = {}
+    for j, c, t, *_rest, d in common:
+        by.setdefault((t, c), {})[j] = d
+    full = {k for k, v in by.items() if all(v.values())}
+    assert {(int(r.tool_uid[1:]), r.componente) for r in judges.consensus_subset(df).collect()} == full
+    sign = lambda d: (d > 0) - (d < 0)
+    table = {(r.componente, r.par): r for r in judges.agreement_table(df).collect()}
+    assert len(table) == 3 * 4
+    items = [{j: sign(d) for j, d in v.items()} for (t, c), v in by.items()]
+    po = sum(i["x"] == i["y"] for i in items) / len(items)
+    pe = sum(sum(i["x"] == k for i in items) * sum(i["y"] == k for i in items) for k in (-1, 0, 1)) / len(items) ** 2
+    r = table["geral", "x x y"]
+    assert r.n_itens == len(items) == 58 and abs(r.po - po) < 1e-12 and abs(r.pe - pe) < 1e-12 and abs(r.kappa - (po - pe) / (1 - pe)) < 1e-12
+    counts = [[sum(v == k for v in i.values()) for k in (-1, 0, 1)] for i in items]
+    fo = sum(sum(n * (n - 1) for n in c) / 6 for c in counts) / len(counts)
+    fe = sum((sum(c[k] for c in counts) / (3 * len(counts))) ** 2 for k in range(3))
+    r = table["geral", judges.ALL_JUDGES]
+    assert abs(r.po - fo) < 1e-12 and abs(r.kappa - (fo - fe) / (1 - fe)) < 1e-12
+    out = {(r.juiz_a, r.juiz_b): r for r in judges.consensus_correlation(judges.consensus_subset(df)).collect()}
+    same = [(by[k]["x"] > 0) == (by[k]["y"] > 0) for k in full]
+    assert out["x", "y"].n_pares == len(full) and abs(out["x", "y"].pct_mesmo_sentido - 100 * sum(same) / len(same)) < 1e-9
