@@ -212,3 +212,32 @@ def source_hash_check(evaluations: DataFrame, tools: DataFrame, files: DataFrame
     own = F.col("source_code_sha256")
     state = F.when(own.isNull(), "sem hash").when(F.col("sha").isNull(), "sem fonte").when(F.col("sha") == own, "igual").otherwise("diferente")
     return evaluations.select("tool_uid", "scenario", "source_code_sha256").join(hashes, "tool_uid", "left").groupBy("scenario", state.alias("situacao")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def below_minimum(tools: DataFrame, least: int) -> DataFrame:
+    """repositorio, n_tools of repositories whose sources may go, because they have fewer than `least` tools."""
+    return tools.groupBy(F.col("repo.name_with_owner").alias("repositorio")).agg(F.count(F.lit(1)).alias("n_tools")).where(F.col("n_tools") < least)
+
+
+def retain(sources: DataFrame, tools: DataFrame, least: int) -> DataFrame:
+    """Source files without those of such repositories; files of repositories without any tools table stay."""
+    return sources.join(below_minimum(tools, least).select(F.col("repositorio").alias("repo_name")), "repo_name", "left_anti")
+
+
+def pending_extraction(collected: DataFrame, selected: DataFrame, failed: DataFrame, tools: DataFrame) -> DataFrame:
+    """Collected repositories that are selected, have not failed and have no tools yet."""
+    done = tools.select(F.col("repo.name_with_owner").alias("name_with_owner"))
+    rows = collected.join(selected.select("id"), "id", "left_semi").join(failed.select("id"), "id", "left_anti")
+    return rows.join(done, "name_with_owner", "left_anti")
+
+
+def reviewed(articles: DataFrame) -> DataFrame:
+    """Articles marked as reviewed; null is not."""
+    return articles.where(F.coalesce(F.col("revisado"), F.lit(False)))
+
+
+def stage_bundle(tables: dict[str, DataFrame | None]) -> dict[str, list[dict] | None]:
+    """The report tables of the first stages as plain rows; an absent input stays None."""
+    from ..sources.sinks import report_rows
+
+    return {k: None if v is None else report_rows(v) for k, v in tables.items()}

@@ -93,8 +93,21 @@ def parse_reply(text: str | None) -> tuple[str, dict | None, str | None]:
     return "ok", scores, None
 
 
-def run_judge(work: DataFrame, judge_id: str, scorer: Scorer, shards: int = 4, per_minute: float | None = None) -> DataFrame:
-    """Evaluated rows: tool_uid, scenario, judge, status, scores (struct) and error_detail for each row of work."""
+def _call(scorer: Scorer, rows: list[dict], limiter: RateLimiter) -> list[tuple[str, dict | None, str | None]]:
+    limiter.wait()
+    try:
+        replies = scorer(rows)
+    except Exception as e:  # noqa: BLE001 - a scorer's failure is a result, not a crash of the job
+        return [("error", None, str(e))] * len(rows)
+    return [parse_reply(r) for r in replies] if len(replies) == len(rows) else [("error", None, "scorer gave a wrong number of replies")] * len(rows)
+
+
+def run_judge(work: DataFrame, judge_id: str, scorer: Scorer, shards: int = 4, per_minute: float | None = None, rows_per_call: int = 1) -> DataFrame:
+    """Evaluated rows: tool_uid, scenario, judge, status, scores (struct) and error_detail for each row of work.
+
+    The scorer is called for `rows_per_call` rows at a time; each call waits for its turn, and a failure is the error of its
+    rows alone. Each of the `shards` tasks has a limiter of its own, as it has a credential of its own.
+    """
     cell = pa.struct([("score", pa.int32()), ("reasoning", pa.string())])
     kind = pa.struct([(c, cell) for c in COMPONENTS])
     schema = "tool_uid string, scenario string, judge string, status string, scores struct<" + ",".join(f"{c}:struct<score:int,reasoning:string>" for c in COMPONENTS) + ">, error_detail string"
@@ -105,12 +118,7 @@ def run_judge(work: DataFrame, judge_id: str, scorer: Scorer, shards: int = 4, p
             rows = b.to_pylist()
             if not rows:
                 continue
-            limiter.wait()
-            try:
-                replies = scorer(rows)
-                parsed = [parse_reply(r) for r in replies] if len(replies) == len(rows) else [("error", None, "scorer gave a wrong number of replies")] * len(rows)
-            except Exception as e:  # noqa: BLE001 - a scorer's failure is a result, not a crash of the job
-                parsed = [("error", None, str(e))] * len(rows)
+            parsed = [p for a in range(0, len(rows), rows_per_call) for p in _call(scorer, rows[a : a + rows_per_call], limiter)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("tool_uid"), b.column("scenario"), pa.array([judge_id] * len(rows)), pa.array([p[0] for p in parsed]), pa.array([p[1] for p in parsed], kind), pa.array([p[2] for p in parsed], pa.string())],
                 names=["tool_uid", "scenario", "judge", "status", "scores", "error_detail"],
@@ -142,3 +150,77 @@ def fixed_scorer(score: int = 3) -> Scorer:
         return [json.dumps({c: {"score": score, "reasoning": f"{r.get('name') or r['tool_uid']}: {c}"} for c in COMPONENTS}) for r in rows]
 
     return scorer
+
+
+class QuotaExhausted(Exception):
+    """Raised by a transport whose credential has no quota left."""
+
+
+#: Replies of a service that are worth another try.
+RETRIED = (408, 409, 429, 500, 502, 503, 504)
+
+
+def rotating(keys: list[str], call: Callable[[str, dict], dict]) -> Callable[[dict], dict]:
+    """A call that goes on with the next credential when one is exhausted; without any left it raises."""
+    left = list(keys)
+
+    def run(request: dict) -> dict:
+        while left:
+            try:
+                return call(left[0], request)
+            except QuotaExhausted:
+                left.pop(0)
+        raise QuotaExhausted("no credential has quota left")
+
+    return run
+
+
+def quota_detail(text: str) -> dict[str, str]:
+    """metric, limit and retry_s of a service's JSON error text about quotas, where it names them."""
+    try:
+        error = json.loads(text[text.index("{") :]).get("error", {})
+    except (ValueError, AttributeError):
+        return {}
+    out = {}
+    for d in error.get("details", []) if isinstance(error, dict) else []:
+        for v in d.get("violations", []):
+            out |= {k: str(v[f]) for k, f in (("metric", "quotaMetric"), ("limit", "quotaValue")) if f in v}
+        if "retryDelay" in d:
+            out["retry_s"] = str(d["retryDelay"]).rstrip("s")
+    return out
+
+
+@register("chat")
+def chat_scorer(transport: Callable[[str, dict], tuple[int, dict]], model: str, keys: list[str], instruction: str, retries: int = 4, pause_s: float = 1.0, sleep=time.sleep) -> Scorer:
+    """A scorer over a chat completion service.
+
+    `transport(key, request)` sends a request and gives (HTTP status, reply); it is injected, so no network is needed to
+    test it. Transient replies are retried with growing pauses, a credential without quota is replaced by the next.
+    """
+
+    def call(key: str, request: dict) -> dict:
+        for attempt in range(retries + 1):
+            status, reply = transport(key, request)
+            if status == 200:
+                return reply
+            text = json.dumps(reply)
+            if status == 429 and "quota" in text.lower():
+                raise QuotaExhausted(text)
+            if status not in RETRIED or attempt == retries:
+                raise RuntimeError(f"{status}: {text}")
+            sleep(pause_s * 2**attempt)
+        raise AssertionError
+
+    send = rotating(keys, call)
+
+    def scorer(rows: list[dict]) -> list[str]:
+        out = []
+        for r in rows:
+            shown = {k: r.get(k) for k in ("name", "server_name", "description", "source_code") if r.get(k) is not None}
+            reply = send({"model": model, "temperature": 0, "response_format": {"type": "json_object"}, "messages": [{"role": "system", "content": instruction}, {"role": "user", "content": json.dumps(shown, ensure_ascii=False)}]})
+            choice = (reply.get("choices") or [{}])[0]
+            refused = choice.get("message", {}).get("refusal") or choice.get("finish_reason") == "content_filter"
+            out.append(json.dumps({"refused": True}) if refused else choice.get("message", {}).get("content"))
+        return out
+
+    return scorer

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import corpus, dedup, nested_flatten
+from ..sources import records
 from ..sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +175,18 @@ _query(
     SELECT e.scenario, CASE WHEN e.source_code_sha256 IS NULL THEN 'sem hash' WHEN t.sha IS NULL THEN 'sem fonte' WHEN t.sha = e.source_code_sha256 THEN 'igual' ELSE 'diferente' END AS situacao, count(*) AS n FROM evaluations e LEFT JOIN t USING (tool_uid) GROUP BY ALL""",
     "",
 )(lambda s, d: corpus.source_hash_check(read_table(s, d, "evaluations"), read_table(s, d, "tools"), read_table(s, d, "source_files")))
+
+
+_query("flt15_retention", "SELECT repo.name_with_owner AS repositorio, count(*) AS n_tools FROM tools GROUP BY ALL HAVING count(*) < 4", "")(lambda s, d: corpus.below_minimum(read_table(s, d, "tools"), 4))
+_query("flt15_retained_files", "SELECT file_id FROM source_files WHERE repo_name IS NULL OR repo_name NOT IN (SELECT repo.name_with_owner FROM tools WHERE repo.name_with_owner IS NOT NULL GROUP BY ALL HAVING count(*) < 4)", "")(
+    lambda s, d: corpus.retain(read_table(s, d, "source_files"), read_table(s, d, "tools"), 4).select("file_id")
+)
+_query(
+    "flt21_pending_extraction",
+    "SELECT id FROM uni WHERE id IN (SELECT id FROM pool) AND id NOT IN (SELECT id FROM uni WHERE is_archived) AND name_with_owner NOT IN (SELECT repo.name_with_owner FROM tools WHERE repo.name_with_owner IS NOT NULL)",
+)(lambda s, d: (lambda u: corpus.pending_extraction(u, _pool(s, d), u.where("is_archived"), read_table(s, d, "tools")).select("id"))(dedup.first_by(read_table(s, d, "candidates"), ["id"], F.col("seq"))))
+_query(
+    "flt13_base_records",
+    """SELECT tool_uid, scenario, '1.0' AS schema_version, 'v9' AS prompt_version, repo.name_with_owner AS repositorio, tool.name AS nome, 'j' AS juiz, NULL::VARCHAR AS status, NULL::DOUBLE AS latency_ms FROM tools, (VALUES ('description_only'), ('with_source')) s(scenario)""",
+    "",
+)(lambda s, d: records.base_records(read_table(s, d, "tools"), "j", "p", "m", "v9").select("tool_uid", "scenario", "schema_version", "prompt_version", F.col("repo.name_with_owner").alias("repositorio"), F.col("tool.name").alias("nome"), F.col("judge.id").alias("juiz"), "status", "latency_ms"))

@@ -11,14 +11,21 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_partitioned(df: DataFrame, path: str, *keys: str) -> None:
-    """Parquet partitioned by keys; an overwrite of the job's own partitions only, so a retry is harmless."""
+    """Parquet appended to partitions by keys; what stands there stays."""
+    df.write.mode("append").partitionBy(*keys).parquet(path)
+
+
+def replace_partitions(df: DataFrame, path: str, *keys: str) -> None:
+    """Parquet that replaces the partitions it has rows for, so a retry is harmless; the others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def export_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """One CSV folder per table (report tables, small by definition)."""
+    """One CSV and one JSON folder per table (report tables, small by definition); nested columns are JSON text in the CSV."""
     for name, df in tables.items():
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name[:31]}")
+        flat = df.select(*(F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("struct", "array", "map") else F.col(f.name) for f in df.schema.fields))
+        flat.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name[:31]}")
+        df.coalesce(1).write.mode("overwrite").json(f"{path}/{name[:31]}.json")
 
 
 def split_quarantine(df: DataFrame, valid, reason: str) -> tuple[DataFrame, DataFrame]:

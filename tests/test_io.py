@@ -80,6 +80,8 @@ def test_sinks(spark, tmp_path):
     sinks.export_tables({"t": df}, str(tmp_path / "csv"))
     sinks.append_partitioned(df, str(tmp_path / "parts"), "n")
     sinks.append_partitioned(df.where("n = 'c'"), str(tmp_path / "parts"), "n")
+    assert spark.read.parquet(str(tmp_path / "parts")).count() == 3
+    sinks.replace_partitions(df.where("n = 'c'"), str(tmp_path / "parts"), "n")
     assert spark.read.parquet(str(tmp_path / "parts")).count() == 2
     sinks.rewrite_guarded(df, df, str(tmp_path / "new"))
 
@@ -146,3 +148,117 @@ def test_labels(spark):
     assert [r.categories for r in evaluation.closed_set_labels(df, ["a", "b"]).orderBy("k").collect()] == [["a"], ["none"], ["none"]]
     other = spark.createDataFrame([(1, ["a"]), (2, ["y"])], "k int, categories array<string>")
     assert [r.categories for r in evaluation.reconcile_labels(df, other, "k").orderBy("k").collect()] == [["a"], ["x", "y"], []]
+
+
+def test_pages_are_resumed_replayed_and_renewed(spark, tmp_path):
+    """Three rounds of two pages; a second run asks nothing, a changed query starts anew and replaces its pages only."""
+    log = tmp_path / "calls"
+    log.write_text("")
+
+    def client(query, cursor):
+        with open(log, "a") as f:
+            f.write(f"{query}:{cursor}\n")
+        n = int(cursor or 0)
+        if query == "broken" and n == 3 and "again" not in log.read_text():
+            raise ValueError("stop")
+        return {"q": query, "n": n, "pageInfo": {"hasNextPage": n < 4, "endCursor": str(n + 1)}}
+
+    path = str(tmp_path / "pages")
+    run = lambda *qs: pages.collect_pages(spark, list(qs), client, path, pages_per_round=2, pause_s=0)
+    assert sorted((r.label, r.page_no) for r in run(("a", "x"), ("b", "y")).collect()) == [(k, n) for k in "ab" for n in range(5)]
+    calls = log.read_text()
+    assert sorted(calls.split()) == sorted(f"{q}:{c}" for q in "xy" for c in (None, 1, 2, 3, 4))
+    assert run(("a", "x"), ("b", "y")).count() == 10 and log.read_text() == calls
+    got = run(("a", "x2"), ("b", "y"))
+    assert sorted((r.label, r.query) for r in got.collect()) == [("a", "x2")] * 5 + [("b", "y")] * 5
+    try:
+        run(("c", "broken"))
+        raise AssertionError
+    except Exception as e:  # noqa: BLE001
+        assert "stop" in str(e)
+    with open(log, "a") as f:
+        f.write("again\n")
+    before = len(log.read_text().split())
+    assert run(("c", "broken")).count() == 5
+    assert log.read_text().split()[before:] == ["broken:2", "broken:3", "broken:4"]  # what was stored is not asked again
+
+
+def test_rate_limit_is_waited_out_and_stopping_early_is_seen():
+    slept, calls = [], []
+
+    def client(q, c):
+        calls.append(c)
+        if len(calls) == 1:
+            raise pages.RateLimited(130.0)
+        return {"pageInfo": {"hasNextPage": True, "endCursor": "z"}}
+
+    rows = list(pages.PageReader([], client, max_pages=2, sleep=slept.append, clock=lambda: 100.0).read(pages._Partition("a", "q")))
+    assert slept == [31.0] and [r[5] for r in rows] == [True, True]
+
+
+def test_code_search_pages():
+    slept, now = [], [0.0]
+    repo = {"full_name": "a/b", "fork": False, "owner": {"login": "a", "x": 1}, "trees_url": "t"}
+    client = pages.code_search_client(lambda q, page, size: {"total_count": 2500, "incomplete_results": False, "items": [{"path": "p", "score": 1.0, "repository": repo}, {"repository": None}]}, sleep=slept.append, clock=lambda: now[0])
+    got = list(pages.PageReader([], client).read(pages._Partition("a", "q")))
+    assert len(got) == 10 and len(slept) == 9 and slept[0] == 6.5 and not got[-1][5]
+    page = json.loads(got[0][3])
+    assert page["truncated"] and page["items"] == [{"score": 1.0, "repository": {k: repo.get(k) for k in pages._REPO_FIELDS} | {"owner": {"id": None, "node_id": None, "login": "a"}}}]
+    assert pages.repository_queries(["t"], ["s"], 5) == [("topic:t", "topic:t fork:false stars:>=5"), ("text:s", '"s" in:readme,description fork:false stars:>=5')]
+
+
+def test_hydration(spark):
+    def client(name):
+        if name == "gone/x":
+            raise pages.NotFound
+        if name == "bad/x":
+            raise ValueError("other")
+        return {"n": name}
+
+    hits = spark.createDataFrame([("a/a",), ("a/a",), ("gone/x",), ("kept/x",), (None,)], "name_with_owner string")
+    cache = spark.createDataFrame([("kept/x", "{}")], "name_with_owner string, body string")
+    good, gone = pages.hydrate(hits, cache, client)
+    assert sorted((r.name_with_owner, r.body) for r in good.collect()) == [("a/a", '{"n": "a/a"}'), ("kept/x", "{}")]
+    assert [(r.name_with_owner, r.error) for r in gone.collect()] == [("gone/x", "NOT_FOUND")]
+    try:
+        pages.hydrate(spark.createDataFrame([("bad/x",)], "name_with_owner string"), cache, client)[0].collect()
+        raise AssertionError
+    except Exception as e:  # noqa: BLE001
+        assert "other" in str(e)
+
+
+def test_broken_bytes_keep_the_rest(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes(b"x = '\xff\xe9'\ny = 1\n")
+    assert records.read_source_files(spark, str(tmp_path), ["py"]).collect()[0].body == "x = '\ufffd\ufffd'\ny = 1\n"
+
+
+def test_limiter_waits_for_each_call_and_one_failure_is_one_error():
+    slept = []
+    limiter = evaluation.RateLimiter(60, clock=lambda: 0.0, sleep=slept.append)
+    ok = json.dumps({c: {"score": 2, "reasoning": "r"} for c in evaluation.COMPONENTS})
+
+    def scorer(rows):
+        if rows[0]["tool_uid"] == "b":
+            raise RuntimeError("boom")
+        return [ok]
+
+    got = [evaluation._call(scorer, [{"tool_uid": u}], limiter)[0] for u in "abc"]
+    assert [g[0] for g in got] == ["ok", "error", "ok"] and got[1][2] == "boom" and slept == [1.0, 2.0]
+
+
+def test_chat_scorer_retries_rotates_and_refuses():
+    seen = []
+
+    def transport(key, request):
+        seen.append(key)
+        if key == "k1":
+            return 429, {"error": "quota exceeded"}
+        if len(seen) == 2:
+            return 503, {}
+        name = json.loads(request["messages"][1]["content"])["name"]
+        return 200, {"choices": [{"message": {"content": "{}", "refusal": "no" if name == "r" else None}}]}
+
+    scorer = evaluation.build_scorer("chat", transport=transport, model="m", keys=["k1", "k2"], instruction="i", sleep=lambda s: None)
+    assert scorer([{"name": "a"}, {"name": "r"}]) == ["{}", '{"refused": true}'] and seen == ["k1", "k2", "k2", "k2"]
+    detail = 'x {"error": {"details": [{"violations": [{"quotaMetric": "m", "quotaValue": "5"}]}, {"retryDelay": "7s"}]}}'
+    assert evaluation.quota_detail(detail) == {"metric": "m", "limit": "5", "retry_s": "7"} and evaluation.quota_detail("x") == {}
