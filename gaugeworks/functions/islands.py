@@ -6,6 +6,7 @@ their intact functions. Islands inside comments or strings are water too, becaus
 sought.
 """
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -53,18 +54,21 @@ class Source:
             parts += [self.text[at : m.start()], _blank(m.group())]
             at = m.end()
         self.code = "".join([*parts, self.text[at:]])
-        self.ends = [i for i, c in enumerate(self.text) if c == "\n"]
+        self.ends = [m.start() for m in re.finditer("\n", self.text)]
+        self._note_starts = [n[0] for n in self.notes]
+
+    def notes_above(self, begin: int, low: int) -> Iterator[tuple[int, int, str]]:
+        """The comments that end at `begin` or before it and begin at `low` or behind it, the nearest first."""
+        for k in range(bisect.bisect_left(self._note_starts, begin) - 1, -1, -1):
+            n = self.notes[k]
+            if n[0] < low:
+                return
+            if n[1] <= begin:
+                yield n
 
     def line(self, place: int) -> int:
         """The line of a place, from 1."""
-        lo, hi = 0, len(self.ends)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if self.ends[mid] < place:
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo + 1
+        return bisect.bisect_left(self.ends, place) + 1
 
 
 def _close(code: str, at: int, pair: str) -> int:
@@ -327,10 +331,10 @@ def _named(s: Source, f: tuple, top: list, head_start: int, begin: int, end: int
 
 def _above(s: Source, begin: int, language: str, low: int = 0) -> str:
     """The documentation comment above the declaration at `begin` in the form usual for the language, or ''."""
-    notes = [n for n in s.notes if n[1] <= begin and n[0] >= low]
+    notes = s.notes_above(begin, low)
     if language in ("go", "ruby"):
         lines, line = [], s.line(begin)
-        for a, b, kind in reversed(notes):
+        for a, b, kind in notes:
             if s.line(max(a, b - 1)) != line - 1 or s.code[s.text.rfind("\n", 0, a) + 1 : a].strip():
                 break
             lines.append((s.text[a:b], kind))
@@ -340,7 +344,7 @@ def _above(s: Source, begin: int, language: str, low: int = 0) -> str:
         return "\n".join(_strip_comment(t, k, language) for t, k in reversed(lines))
     if language in ("rust", "csharp", "dart"):
         lines, line = [], None
-        for a, b, kind in reversed(notes):
+        for a, b, kind in notes:
             t = s.text[a:b]
             doc = kind == "line" and t.startswith("///") and not t.startswith("////")
             if not doc:
@@ -352,7 +356,7 @@ def _above(s: Source, begin: int, language: str, low: int = 0) -> str:
             lines.append(t[3:])
             line = s.line(a)
         return "\n".join(reversed(lines))
-    for a, b, kind in reversed(notes):
+    for a, b, kind in notes:
         t = s.text[a:b]
         if kind == "block" and t.startswith("/**") and len(t) > 4:
             return _strip_comment(t, kind, language) if _skip_annotations(s.code, b, begin, language) == begin else ""

@@ -42,39 +42,42 @@ _IMPORTS = {
 }
 
 
-def _body(s: Source, start_line: int, end_line: int) -> str:
-    return "\n".join(s.code.split("\n")[start_line - 1 : end_line])
-
-
 def _complexity(code: str, language: str) -> int:
     return 1 + len(_DECIDE[language].findall(code))
 
 
+def _bodies(text: str, language: str) -> list[tuple[str, str, int, int]]:
+    """(qualified name, name, first line, last line) of every function, and of every registering call whose handler stands inside it."""
+    out = [(q, n, a, z) for q, n, a, z, _d, _c in functions(text, language)]
+    inline = {(q, a, z) for _n, _d, _l, _p, q, a, z in _tools(text, language) if q.startswith("<call:")}
+    return sorted(out + [(q, q, a, z) for q, a, z in inline], key=lambda f: (f[2], -f[3]))
+
+
 def _definitions(text: str, language: str) -> Iterator[tuple]:
-    s = Source(text, language)
-    found = list(functions(text, language))
-    for qualified, name, a, z, _doc, _code in found:
-        lines = s.code.split("\n")[a - 1 : z]
+    code = Source(text, language).code.split("\n")
+    found = _bodies(text, language)
+    for i, (qualified, name, a, z) in enumerate(found):
+        lines = code[a - 1 : z]
         # A function nested in this one is a boundary: its lines are not this one's decisions.
-        for _q, _n, b, y, _d, _c in found:
+        for _q, _n, b, y in found[i + 1 :]:
+            if b > z:
+                break
             if a < b and y <= z:
-                for k in range(b - a, min(len(lines), y - a + 1)):
-                    lines[k] = ""
-        owner = qualified.rsplit(".", 1)[0] if "." in qualified else None
+                lines[b - a : y - a + 1] = [""] * (y - b + 1)
+        owner = qualified.rsplit(".", 1)[0] if "." in qualified and not qualified.startswith("<") else None
         yield qualified, name, owner, a, z, _complexity("\n".join(lines), language)
 
 
 def _calls(text: str, language: str) -> Iterator[tuple]:
-    s = Source(text, language)
-    lines = s.text.split("\n")
-    for qualified, name, a, z, _doc, _code in functions(text, language):
-        code = _body(s, a, z)
+    lines = Source(text, language).code.split("\n")
+    for qualified, name, a, z in _bodies(text, language):
+        code = "\n".join(lines[a - 1 : z])
         seen: dict[str, tuple] = {}
-        # The definition's own header names the function once; it is no call.
+        # The definition's own header names the function once; it is no call. Nor is the registering call itself.
         head = True
         for m in _CALL.finditer(code):
             receiver, callee = m.group(1), m.group(2)
-            if callee == name and receiver is None and head:
+            if head and (callee == name and receiver is None or qualified.startswith("<call:")):
                 head = False
                 continue
             if callee in _KEYWORDS or receiver in _KEYWORDS:
@@ -82,7 +85,6 @@ def _calls(text: str, language: str) -> Iterator[tuple]:
             raw = (f"{receiver}." if receiver else "") + callee
             seen.setdefault(raw, (qualified, a, len(seen), receiver, callee, raw))
         yield from seen.values()
-    del lines
 
 
 def _imports(text: str, language: str) -> Iterator[tuple]:
@@ -146,6 +148,75 @@ def _shallow(plain: str, code: str, at: int, end: int, depth: int) -> str:
     return "".join(out)
 
 
+#: Values bound at the top level of a file, by language: the name and where its expression begins.
+_BINDING = {
+    "python": re.compile(r"^(\w+)[ \t]*(?::[^=\n]+)?=(?!=)", re.M),
+    "typescript": re.compile(r"^(?:export[ \t]+)?(?:const|let|var)[ \t]+([\w$]+)[ \t]*(?::[^=\n]+)?=(?![=>])", re.M),
+    "go": re.compile(r"^(?:const|var)[ \t]+(\w+)(?:[ \t]+\w+)?[ \t]*=(?!=)", re.M),
+    "rust": re.compile(r"^(?:pub[ \t]+)?(?:const|static)[ \t]+(\w+)[ \t]*:[^=\n]+=(?!=)", re.M),
+    "java": re.compile(r"\bstatic[ \t]+final[ \t]+[\w<>\[\]]+[ \t]+(\w+)[ \t]*=(?!=)"),
+}
+_BINDING["javascript"] = _BINDING["typescript"]
+_NAME_ONLY = re.compile(r"[A-Za-z_$][\w$]*")
+#: How often a name that stands for a name is followed.
+HOPS = 4
+
+
+def _bindings(s: Source, plain: str, language: str) -> dict[str, tuple[int, int]]:
+    """Name -> (begin, end) of the expression bound to it at the top level; the last binding counts."""
+    out = {}
+    for m in _BINDING[language].finditer(s.code) if language in _BINDING else ():
+        at, depth, end = m.end(), 0, len(s.code)
+        for k in re.compile(r"[()\[\]{};\n]").finditer(s.code, at):
+            c = k.group()
+            if c in "([{":
+                depth += 1
+            elif c in ")]}":
+                depth -= 1
+            elif depth <= 0 and (c == ";" or plain[at : k.start()].strip() and not re.match(r"\s*[+.\"'`]", plain[k.end() :])):
+                end = k.start()
+                break
+        out[m.group(1)] = (at, end)
+    return out
+
+
+def _values(text: str, language: str) -> Iterator[tuple]:
+    """(name, literal text or null, name it stands for or null, line) of every value bound at the top level."""
+    s = Source(text, language)
+    plain = _comments_blanked(s)
+    for name, (a, z) in _bindings(s, plain, language).items():
+        expression = plain[a:z].strip().rstrip(";").strip()
+        literal = re.fullmatch(_STR, expression, re.S)
+        yield name, _value(expression, language) if literal else None, expression if _NAME_ONLY.fullmatch(expression) else None, s.line(a)
+
+
+def _in_file(name: str, bound: dict[str, tuple[int, int]], plain: str, language: str) -> str | None:
+    """The literal a name stands for in its own file, following at most HOPS names."""
+    for _ in range(HOPS):
+        if name not in bound:
+            return None
+        expression = plain[slice(*bound[name])].strip().rstrip(";").strip()
+        if re.fullmatch(_STR, expression, re.S):
+            return _value(expression, language)
+        if not _NAME_ONLY.fullmatch(expression):
+            return None
+        name = expression
+    return None
+
+
+def _spans(first: int, last: int, s: Source, bound: dict[str, tuple[int, int]]) -> list[tuple[int, int]]:
+    """The given span and those of the values that it names, followed at most HOPS times: where a handler's tools may stand."""
+    spans, seen, new = [(first, last)], set(), [(first, last)]
+    for _ in range(HOPS):
+        names = {m.group() for a, z in new for m in _NAME_ONLY.finditer(s.code, a, z)} & bound.keys() - seen
+        seen |= names
+        new = [bound[n] for n in sorted(names) if not first <= bound[n][0] < last]
+        spans += new
+        if not new:
+            break
+    return spans
+
+
 #: Triggers of a tool: pattern over the text whose comments are blanked; group `name` where the call or annotation names it.
 _TRIGGER = {
     "python": re.compile(r"@\s*\w+\.tool\b(?:\s*(\())?"),
@@ -154,11 +225,12 @@ _TRIGGER = {
     "rust": re.compile(r"#(\[)\s*tool\b"),
 }
 _NAMED = re.compile(r"\bname\s*[=:]\s*" + _STR, re.I | re.S)
-_DESCRIBED = re.compile(r"\bdescription\s*[=:]\s*(?:" + _STR + r"(?=\s*(?:[,)\]};]|$))|([^,)\]]+))", re.I | re.S)
+_NAMED_BY = re.compile(r"\bname\s*[=:]\s*([A-Za-z_$][\w$]*)\s*(?=[,)}]|$)", re.I)
+_DESCRIBED = re.compile(r"\bdescription\s*[=:]\s*(?:" + _STR + r"(?=\s*(?:[,)\]};]|$))|([^,)\]}]+))", re.I | re.S)
 _REGISTER = re.compile(r"\b\w+\.(?:tool|registerTool|AddTool)\s*\(\s*(?:\w+\s*,\s*&\w+(?:\.\w+)?\s*\{[^}]*?Name\s*:\s*)?" + _STR, re.S)
 #: Tools listed by a low-level handler: the handler, and each entry with its literal name.
 _LIST_HANDLER = {"python": re.compile(r"@\s*\w+\.list_tools\s*\("), "typescript": re.compile(r"\bsetRequestHandler\s*\((?=\s*(?:ListToolsRequestSchema|[\"']tools/list[\"']))")}
-_LISTED = {"python": re.compile(r"\bTool\s*\(\s*name\s*=\s*" + _STR), "typescript": re.compile(r"\{\s*name\s*:\s*" + _STR)}
+_LISTED = {"python": re.compile(r"\bTool\s*\(\s*name\s*=\s*(?:" + _STR + r"|([A-Za-z_]\w*))"), "typescript": re.compile(r"\{\s*name\s*:\s*(?:" + _STR + r"|([A-Za-z_$][\w$]*)\s*(?=[,}]))")}
 #: Registration with named arguments: Dart's registerTool(Tool(name: ...)) and Kotlin's addTool(name = ...).
 _NAMED_REGISTER = {"dart": re.compile(r"\bregisterTool\s*\(\s*(?:const\s+)?Tool\s*\("), "kotlin": re.compile(r"\baddTool\s*\(")}
 #: Third-party registration: server.addTool({name: ..., execute: ...}) and a bare addTool({...}); without a handler it is no tool.
@@ -175,12 +247,37 @@ def _comments_blanked(s: Source) -> str:
     return "".join(out)
 
 
+def _handler(name: str | None, s: Source, found: list[tuple], begin: int, end: int) -> tuple[str, int, int]:
+    """(qualified name, first and last line) of a tool's handler: the function of that name in the file, else the call that holds it."""
+    own = next((f for f in found if name and name in (f[0], f[1])), None)
+    return (own[0], own[2], own[3]) if own else (name or f"<call:{s.line(begin)}>", s.line(begin), s.line(end - 1))
+
+
 def _tools(text: str, language: str) -> Iterator[tuple]:
     """(name, description, literal, pattern, qualified name, line, end line); a tool whose name is no literal is skipped."""
     s = Source(text, language)
     plain = _comments_blanked(s)
     found = list(functions(text, language))
-    described = lambda d: ("", True) if not d else (_value(d.group(1), language), True) if d.group(1) is not None else (d.group(2).strip(), False)
+    bound = _bindings(s, plain, language)
+
+    def described(d: re.Match | None) -> tuple[str, bool]:
+        """(description, whether it is a literal); a name bound to a literal in this file stands for that text, but is no literal."""
+        if not d:
+            return "", True
+        if d.group(1) is not None:
+            return _value(d.group(1), language), True
+        raw = d.group(2).strip()
+        return (_in_file(raw, bound, plain, language) if _NAME_ONLY.fullmatch(raw) else None) or raw, False
+
+    def named(args: str) -> str | None:
+        """The name an argument list gives, literally or by a name bound to a literal."""
+        n = _NAMED.search(args)
+        if n:
+            return _value(n.group(1), language)
+        n = _NAMED_BY.search(args)
+        return _in_file(n.group(1), bound, plain, language) if n else None
+
+    decorated: set[tuple] = set()
     if language in _TRIGGER:
         for m in _TRIGGER[language].finditer(plain):
             line = s.line(m.start())
@@ -190,18 +287,21 @@ def _tools(text: str, language: str) -> Iterator[tuple]:
             if nearest is None or nearest[2] - s.line(end) > 6:
                 continue
             qualified, own, a, z, doc, _code = nearest
+            if (qualified, a) in decorated:  # the first of several decorators counts
+                continue
+            decorated.add((qualified, a))
             args = "" if opened is None else _shallow(plain, s.code, opened, end, 2 if language == "rust" else 1)
             if language == "csharp":
                 between = plain[m.start() : s.ends[a - 1] if a - 1 < len(s.ends) else None]
                 d = re.search(r"\bDescription\s*\(\s*" + _STR, between, re.S)
                 yield own, _value(d.group(1), language) if d else "", True, "csharp.server_tool_attribute", qualified, a, z
                 continue
-            n = _NAMED.search(args)
-            if re.search(r"\bname\s*=", args) and not n and language != "python":
+            n = named(args)
+            if re.search(r"\bname\s*=", args) and n is None and language != "python":
                 continue
             d = _DESCRIBED.search(args)
             description, literal = described(d) if d else (doc.strip() if language in ("python", "rust") else "", True)
-            yield _value(n.group(1), language) if n else own, description, literal, {"python": "python.decorator", "java": "java.tool_annotation", "rust": "rust.tool_attribute"}[language], qualified, a, z
+            yield n if n is not None else own, description, literal, {"python": "python.decorator", "java": "java.tool_annotation", "rust": "rust.tool_attribute"}[language], qualified, a, z
     listing = "typescript" if language == "javascript" else language
     for m in _LIST_HANDLER[listing].finditer(plain) if listing in _LIST_HANDLER else ():
         line = s.line(m.start())
@@ -210,10 +310,16 @@ def _tools(text: str, language: str) -> Iterator[tuple]:
             continue
         a, z = (handler[2], handler[3]) if listing == "python" else (line, s.line(close_bracket(s.code, m.end() - 1)))
         first, last = (s.ends[a - 2] + 1 if a > 1 else 0), (s.ends[z - 1] if z - 1 < len(s.ends) else len(plain))
-        for e in _LISTED[listing].finditer(plain, first, last):
-            at = plain.index("(" if listing == "python" else "{", e.start())
-            d = _DESCRIBED.search(_shallow(plain, s.code, at, _close(s.code, at, "()" if listing == "python" else "{}"), 1))
-            yield _value(e.group(1), language), *described(d), f"{language}.list_tools_lowlevel", handler[0] if listing == "python" else f"<call:{line}>", a, z
+        listed: set[str] = set()
+        for begin, end in _spans(first, last, s, bound):
+            for e in _LISTED[listing].finditer(plain, begin, end):
+                name = _value(e.group(1), language) if e.group(1) is not None else _in_file(e.group(2), bound, plain, language)
+                if name is None or name in listed:  # the branches of a choice may list a tool twice
+                    continue
+                listed.add(name)
+                at = plain.index("(" if listing == "python" else "{", e.start())
+                d = _DESCRIBED.search(_shallow(plain, s.code, at, _close(s.code, at, "()" if listing == "python" else "{}"), 1))
+                yield name, *described(d), f"{language}.list_tools_lowlevel", handler[0] if listing == "python" else f"<call:{line}>", a, z
     for m in _NAMED_REGISTER[language].finditer(plain) if language in _NAMED_REGISTER else ():
         args = plain[m.end() : close_bracket(s.code, m.end() - 1)]
         n, d = _NAMED.search(args), _DESCRIBED.search(args)
@@ -224,17 +330,18 @@ def _tools(text: str, language: str) -> Iterator[tuple]:
         opened = plain.index("(", m.start())
         end = close_bracket(s.code, opened)
         args = _shallow(plain, s.code, opened, end, 2)
-        n, d = _NAMED.search(args), _DESCRIBED.search(args)
-        if n and re.search(r"\bexecute\b", args):
-            line, handler = s.line(m.start()), re.search(r"\bexecute\s*:\s*([A-Za-z_$][\w$]*)\s*[,}]", args)
-            yield _value(n.group(1), language), *described(d), f"{language}.fastmcp_npm_addtool", handler.group(1) if handler else f"<call:{line}>", line, s.line(end)
+        n, d = named(args), _DESCRIBED.search(args)
+        if n is not None and re.search(r"\bexecute\b", args):
+            handler = re.search(r"\bexecute\s*:\s*([A-Za-z_$][\w$]*)\s*[,}]", args)
+            yield n, *described(d), f"{language}.fastmcp_npm_addtool", *_handler(handler.group(1) if handler else None, s, found, m.start(), end)
     if language in ("typescript", "javascript", "go"):
         for m in _REGISTER.finditer(plain):
             line = s.line(m.start())
             opened = plain.index("(", m.start())
             end = close_bracket(s.code, opened)
             d = re.compile(r"\s*,\s*" + _STR + r"(?=\s*[,)])", re.S).match(plain, m.end(), end) or _DESCRIBED.search(_shallow(plain, s.code, opened, end, 2)[m.end() - opened :])
-            yield _value(m.group(1), language), *described(d), f"{language}.register_tool" if language != "go" else "go.add_tool", f"<call:{line}>", line, line
+            last = re.compile(r",\s*(?:\w+\.)?([A-Za-z_$][\w$]*)\s*,?\s*\)$").search(plain[opened:end])
+            yield _value(m.group(1), language), *described(d), f"{language}.register_tool" if language != "go" else "go.add_tool", *_handler(last.group(1) if last else None, s, found, m.start(), end)
     elif language == "ruby":
         classes = list(_RUBY_TOOL.finditer(plain))
         for m, after in zip(classes, [*(k.start() for k in classes[1:]), len(plain)]):
@@ -282,6 +389,79 @@ def imports(source_files: DataFrame) -> DataFrame:
     return _per_file(source_files, _imports, [("alias", "string"), ("module", "string"), ("original_name", "string")])
 
 
+def values(source_files: DataFrame) -> DataFrame:
+    """Values bound at the top level of files, with their literal text or the name they stand for."""
+    return _per_file(source_files, _values, [("bare_name", "string"), ("literal", "string"), ("stands_for", "string"), ("line", "int")])
+
+
+def resolve_values(refs: DataFrame, table: DataFrame, imported: DataFrame) -> DataFrame:
+    """refs (repo_name, file_id, file_path, name) with literal, target_file, step and ambiguous, following at most HOPS names.
+
+    A name is sought 1 in its own file, 2 where it was imported from (files named as the module or as the name), 3 in the
+    repository; of several candidates of a step the nearest by directory is taken and the name is ambiguous. Values are
+    reduced to the shallowest per name and ancestor directory, so names and values are never all paired.
+    """
+    key = ["repo_name", "file_path", "name"]
+    at = F.struct("file_id", "seq")
+    v = table.groupBy("repo_name", "file_path", F.col("bare_name").alias("name")).agg(F.max_by("literal", at).alias("literal"), F.max_by("stands_for", at).alias("stands_for"))
+    stem = lambda c: F.regexp_replace(F.substring_index(c, "/", -1), r"\.[^.]*$", "")
+
+    def nearest(rows: DataFrame, more: list[str]) -> DataFrame:
+        """Shallowest values per name and ancestor directory (and the columns of `more`)."""
+        under = rows.select("repo_name", "name", *more, F.col("file_path").alias("target_file"), _depth(F.col("file_path")).alias("deep"), F.explode(_directories(F.col("file_path"))).alias("a"))
+        one = under.groupBy("repo_name", "name", *more, F.col("a.prefix").alias("prefix"), "deep").agg(F.count(F.lit(1)).alias("n"), F.min("target_file").alias("target_file"))
+        return one.groupBy("repo_name", "name", *more, "prefix").agg(F.min(F.struct("deep", "n", "target_file")).alias("b")).select("repo_name", "name", *more, "prefix", "b.*")
+
+    def step(names: DataFrame, found: DataFrame, on: list[str], out: str) -> DataFrame:
+        met = names.select(*key, *[c for c in on if c not in key], _depth(F.col("file_path")).alias("own"), F.explode(_directories(F.col("file_path"))).alias("a")).select(*key, *[c for c in on if c not in key], "own", F.col("a.prefix").alias("prefix"), F.col("a.depth").alias("depth")).join(found, [*on, "prefix"])
+        return met.groupBy(*key).agg(F.min_by("target_file", F.struct(F.col("own") + F.col("deep") - 2 * F.col("depth"), F.col("target_file"))).alias(out))
+
+    names = refs.select(*key).distinct()
+    modules = imported.select("repo_name", "file_path", F.col("alias").alias("name"), F.regexp_replace("module", r"^[./]*", "").alias("m")).select("repo_name", "file_path", "name", F.explode(F.array_distinct(F.array(F.regexp_replace(F.regexp_extract("m", r"([^./]*(?:\.(?:js|ts|mjs))?)$", 1), r"\.(js|ts|mjs)$", ""), F.col("name")))).alias("stem")).distinct()
+    tagged = v.withColumn("stem", stem(F.col("file_path")))
+    of_module = names.join(modules, key)
+    total = v.groupBy("repo_name", "name").agg(F.count(F.lit(1)).alias("n_all"))
+    n_module = of_module.join(tagged.select("repo_name", "name", "stem", F.col("file_path").alias("t")), ["repo_name", "name", "stem"]).groupBy(*key).agg(F.countDistinct("t").alias("n_module"))
+    second = step(of_module, nearest(tagged, ["stem"]), ["repo_name", "name", "stem"], "second")
+    third = step(names, nearest(v, []), ["repo_name", "name"], "third")
+    own = v.select(*key, F.lit(True).alias("here"))
+    out = names.join(own, key, "left").join(second, key, "left").join(n_module, key, "left").join(third, key, "left").join(total, ["repo_name", "name"], "left")
+    which = F.when(F.col("here"), 1).when(F.col("second").isNotNull(), 2).when(F.col("third").isNotNull(), 3).otherwise(0)
+    target = F.when(F.col("here"), F.col("file_path")).otherwise(F.coalesce("second", "third"))
+    several = F.when(F.col("step") == 2, F.col("n_module") > 1).when(F.col("step") == 3, F.col("n_all") > 1).otherwise(False)
+    return out.select(*key, which.alias("step"), target.alias("target_file"), "n_module", "n_all").select(*key, "step", "target_file", several.alias("ambiguous")).join(
+        v.select("repo_name", F.col("file_path").alias("target_file"), "name", "literal", "stands_for"), ["repo_name", "target_file", "name"], "left"
+    )
+
+
+def followed_values(refs: DataFrame, table: DataFrame, imported: DataFrame) -> DataFrame:
+    """repo_name, file_path, name, literal, hops: names followed through names, across files, until a literal (null where there is none within HOPS).
+
+    The values and imports are read once and each hop's few open names are checkpointed, so plans stay short.
+    """
+    ensure_checkpoint_dir(refs.sparkSession)
+    table, imported = table.checkpoint(), imported.checkpoint()
+    start = refs.select("repo_name", "file_path", "name").distinct()
+    at = start.withColumn("at_file", F.col("file_path")).withColumn("at_name", F.col("name"))
+    done = None
+    for hop in range(1, HOPS + 1):
+        got = resolve_values(at.select("repo_name", F.col("at_file").alias("file_path"), F.col("at_name").alias("name")), table, imported).select("repo_name", F.col("file_path").alias("at_file"), F.col("name").alias("at_name"), "target_file", "literal", "stands_for")
+        step = at.join(got, ["repo_name", "at_file", "at_name"]).checkpoint()
+        end = step.where("stands_for is null" if hop < HOPS else "true").select("repo_name", "file_path", "name", "literal", F.lit(hop).alias("hops"))
+        done = end if done is None else done.unionByName(end)
+        at = step.where("stands_for is not null").select("repo_name", "file_path", "name", F.col("target_file").alias("at_file"), F.col("stands_for").alias("at_name"))
+        if at.isEmpty():
+            break
+    return done
+
+
+def described_tools(tools: DataFrame, table: DataFrame, imported: DataFrame) -> DataFrame:
+    """Tools whose description is a name of another file get the text that name stands for there; it stays no literal."""
+    refs = tools.where(~F.col("description_is_literal") & F.col("description").rlike(r"^[A-Za-z_$][\w$]*$")).select("repo_name", "file_path", F.col("description").alias("name"))
+    found = followed_values(refs, table, imported).where("literal is not null").select("repo_name", "file_path", F.col("name").alias("description"), F.col("literal").alias("__gw_text"), F.lit(False).alias("description_is_literal"))
+    return tools.join(found, ["repo_name", "file_path", "description", "description_is_literal"], "left").withColumn("description", F.coalesce("__gw_text", "description")).select(*tools.columns)
+
+
 def detected_tools(source_files: DataFrame) -> DataFrame:
     return _per_file(source_files, _tools, [("name", "string"), ("description", "string"), ("description_is_literal", "boolean"), ("sdk_pattern", "string"), ("qualified_name", "string"), ("start_line", "int"), ("end_line", "int")])
 
@@ -359,8 +539,9 @@ def bounded_call_graph(resolved: DataFrame, roots: DataFrame, levels: int = 3) -
 def closure(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """repo_name, root, name: everything reachable from each root, itself included.
 
-    Semi-naive: a round joins only the last round's new pairs to the edges and takes away what is known. Both the frontier
-    and the known pairs are checkpointed, so lineage stays short and a lost executor costs one round.
+    Semi-naive: a round joins only the last round's new pairs to the edges and takes away what is known. Each round's new
+    pairs are checkpointed once and what is known is their union, so lineage stays short, nothing known is written again
+    and a lost executor costs one round.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select("repo_name", "source", "target").distinct().checkpoint()
@@ -371,7 +552,7 @@ def closure(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataF
         new = step.join(known, ["repo_name", "root", "name"], "left_anti").checkpoint()
         if new.isEmpty():
             return known
-        known = known.unionByName(new).checkpoint()
+        known = known.unionByName(new)
     raise RuntimeError("closure did not end")
 
 

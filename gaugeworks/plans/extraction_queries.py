@@ -25,13 +25,16 @@ def _resolved(s, d):
 def _reach(s, d):
     f = _files(s, d)
     defs = x.definitions(f)
-    return x.closure(x.edges_of(_resolved(s, d)), defs), defs, f
+    return x.closure(x.edges_of(_resolved(s, d)), x.detected_tools(f)), defs, f
 
 
 QUERIES["ext03_definitions"] = lambda s, d: x.definitions(_files(s, d))
 QUERIES["ext09_call_sites"] = lambda s, d: x.call_sites(_files(s, d))
 QUERIES["ext09_imports"] = lambda s, d: x.imports(_files(s, d))
 QUERIES["ext10_detected_tools"] = lambda s, d: x.detected_tools(_files(s, d))
+QUERIES["ext04_values"] = lambda s, d: x.values(_files(s, d))
+QUERIES["ext11_described_tools"] = lambda s, d: (lambda f: x.described_tools(x.detected_tools(f), x.values(f), x.imports(f)))(_files(s, d))
+QUERIES["jn21_resolved_values"] = lambda s, d: (lambda v, f: x.followed_values(v.where("stands_for is not null").select("repo_name", "file_path", F.col("stands_for").alias("name")), v, x.imports(f)))(x.values(_files(s, d)), _files(s, d))
 QUERIES["jn20_resolved_calls"] = _resolved
 QUERIES["jn22_tools_with_definition"] = lambda s, d: x.detected_tools(_files(s, d)).select("repo_name", "name", "qualified_name").join(x.definition_index(x.definitions(_files(s, d))), ["repo_name", "qualified_name"])
 QUERIES["ext05_call_graph"] = lambda s, d: x.bounded_call_graph(_resolved(s, d), x.detected_tools(_files(s, d)))

@@ -138,3 +138,90 @@ def test_long_quoted_and_joined_descriptions(spark):
 def test_third_party_add_tool(spark):
     ts = 'server.addTool({\n  name: "a",\n  parameters: { description: "no" },\n  description: "First.",\n  execute: async (x) => run(x),\n});\naddTool({ name: "b", execute: run });\naddTool({ name: "c" });\nserver.addTool(tool);\n// addTool({ name: "no" })\n'
     assert tools(spark, "a.ts", ts) == [("a", "First.", True, "typescript.fastmcp_npm_addtool"), ("b", "", True, "typescript.fastmcp_npm_addtool")]
+
+
+def _tool_rows(spark, *rows):
+    return {(t.name, t.description, t.description_is_literal, t.qualified_name, t.start_line, t.end_line) for t in x.detected_tools(files(spark, *rows)).collect()}
+
+
+def test_python_names_and_descriptions(spark):
+    body = '''
+NAME = "const_name"
+OTHER = NAME
+TEXT = "Don't call twice (ever)."
+
+@app.tool(
+    name=OTHER,
+    description=TEXT,
+)
+@app.tool("second")
+def run(a):
+    return a
+
+@app.tool(description="Get x (all of it).")
+def get(x):
+    return x
+'''
+    got = _tool_rows(spark, ("r", "m.py", body))
+    assert got == {("const_name", "Don't call twice (ever).", False, "run", 11, 12), ("get", "Get x (all of it).", True, "get", 15, 16)}
+
+
+def test_registration_with_a_named_or_inline_handler(spark):
+    body = '''
+const DESC = "Looks things up.";
+async function look(args) {
+  if (args) { return deep(args); }
+  return 1;
+}
+function deep(q) {
+  return q;
+}
+server.registerTool("look_up", { description: DESC }, look);
+server.tool("inline_one", "Does it inline.", async (a) => {
+  if (a) { return deep(a); }
+  return 2;
+});
+server.addTool({ name: "third", description: "Third one.", execute: look });
+'''
+    f = files(spark, ("r", "src/m.ts", body))
+    got = _tool_rows(spark, ("r", "src/m.ts", body))
+    assert got == {("look_up", "Looks things up.", False, "look", 3, 6), ("inline_one", "Does it inline.", True, "<call:11>", 11, 14), ("third", "Third one.", True, "look", 3, 6)}
+    defs, tools = x.definitions(f), x.detected_tools(f)
+    reach = x.closure(x.edges_of(x.resolve_calls(x.call_sites(f), defs, x.imports(f))), tools)
+    assert {(r.root, r.name) for r in reach.collect()} == {("look", "look"), ("look", "deep"), ("<call:11>", "<call:11>"), ("<call:11>", "deep")}
+    m = {r.qualified_name: (r.loc, r.complexity, r.functions) for r in x.tool_measures(tools, reach, defs).collect()}
+    assert m == {"look": (7, 3, 2), "<call:11>": (7, 3, 2)}
+
+
+def test_listed_tools_of_a_named_list_and_a_choice(spark):
+    body = '''
+const TOOLS = [
+  { name: "one", description: "First." },
+  ...(flag ? [{ name: "two", description: "A." }] : [{ name: "two", description: "B." }]),
+];
+const ALL = TOOLS;
+server.setRequestHandler(ListToolsRequestSchema, async () => {
+  return { tools: ALL.filter((t) => t).map((t) => t) };
+});
+'''
+    assert {(n, d) for n, d, *_ in _tool_rows(spark, ("r", "m.ts", body))} == {("one", "First."), ("two", "A.")}
+
+
+def test_values_across_files(spark):
+    f = files(
+        spark,
+        ("r", "a/m.ts", 'import { TEXT } from "./texts";\nimport { WIDE } from "../far/wide.js";\nconst LOCAL = "here";\nserver.addTool({ name: "t", description: TEXT, execute: async () => 1 });\n'),
+        ("r", "a/texts.ts", 'export const TEXT = DEEPER;\nexport const DEEPER = "Said " +\n  "elsewhere.";\n'),
+        ("r", "b/texts.ts", 'export const TEXT = "Not this.";\n'),
+        ("r", "far/wide.ts", 'export const WIDE = "w";\n'),
+        ("r", "x/one.py", "ONLY = 'lone'\nOTHER: str = 'q'\nx = f(1)\n"),
+    )
+    table = x.values(f)
+    assert {(r.file_path, r.bare_name): (r.literal, r.stands_for) for r in table.collect()} == {("a/m.ts", "LOCAL"): ("here", None), ("a/texts.ts", "TEXT"): (None, "DEEPER"), ("a/texts.ts", "DEEPER"): ("Said elsewhere.", None), ("b/texts.ts", "TEXT"): ("Not this.", None), ("far/wide.ts", "WIDE"): ("w", None), ("x/one.py", "ONLY"): ("lone", None), ("x/one.py", "OTHER"): ("q", None), ("x/one.py", "x"): (None, None)}
+    refs = spark.createDataFrame([("r", "a/m.ts", n) for n in ("LOCAL", "TEXT", "WIDE", "ONLY", "NONE")], "repo_name string, file_path string, name string")
+    got = {r.name: (r.step, r.target_file, r.ambiguous) for r in x.resolve_values(refs, table, x.imports(f)).collect()}
+    assert got == {"LOCAL": (1, "a/m.ts", False), "TEXT": (2, "a/texts.ts", True), "WIDE": (2, "far/wide.ts", False), "ONLY": (3, "x/one.py", False), "NONE": (0, None, False)}
+    followed = {r.name: (r.literal, r.hops) for r in x.followed_values(refs, table, x.imports(f)).collect()}
+    assert followed == {"LOCAL": ("here", 1), "TEXT": ("Said elsewhere.", 2), "WIDE": ("w", 1), "ONLY": ("lone", 1), "NONE": (None, 1)}
+    tools = x.described_tools(x.detected_tools(f), table, x.imports(f)).collect()
+    assert [(t.name, t.description, t.description_is_literal) for t in tools] == [("t", "Said elsewhere.", False)]
