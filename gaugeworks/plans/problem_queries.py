@@ -64,9 +64,42 @@ _P2 = """
            count(*) FILTER (WHERE valid = 4) AS score_4, count(*) FILTER (WHERE valid = 5) AS score_5, sum(usage.output_tokens)::BIGINT AS output_tokens
     FROM v GROUP BY key_kind, key_value"""
 
+def _held(x: str, times: int = 3) -> str:
+    """SQL: JSON text in JSON strings as the JSON it holds, some levels deep; null where it holds none."""
+    for _ in range(times):
+        x = f"(CASE WHEN json_type({x}) = 'VARCHAR' THEN TRY_CAST(CASE WHEN json_valid({x} ->> '$') THEN {x} ->> '$' END AS JSON) ELSE {x} END)"
+    return x
+
+
+_INT = "CASE WHEN json_type(j, '$.{k}') IN ('UBIGINT', 'BIGINT', 'HUGEINT') THEN TRY_CAST(j ->> '$.{k}' AS BIGINT) END"
+_BOOL = "CASE WHEN json_type(j, '$.{k}') = 'BOOLEAN' THEN (j ->> '$.{k}')::BOOLEAN END"
+_TEXT = "CASE WHEN json_type(j, '$.{k}') = 'VARCHAR' THEN j ->> '$.{k}' END"
+#: Every node with its path, by plain recursion over JSON.
+_P6 = f"""
+    WITH RECURSIVE texts AS (SELECT row_id, tool_uid, tool.source_location AS place, CASE WHEN json_valid(call_graph) THEN call_graph::JSON END AS j FROM tools),
+    roots AS (SELECT row_id, tool_uid, {_held("j")} AS j FROM texts WHERE j IS NOT NULL),
+    nodes AS (
+      SELECT row_id, tool_uid, '0' AS node_path, NULL::VARCHAR AS parent_path, 0 AS position, 1 AS depth, j FROM roots WHERE json_type(j) = 'OBJECT'
+      UNION ALL
+      SELECT row_id, tool_uid, node_path || '.' || k, node_path, k::INTEGER, depth + 1, child FROM (
+        SELECT row_id, tool_uid, node_path, depth, k, {_held("c")} AS child FROM (
+          SELECT row_id, tool_uid, node_path, depth, k, json_extract(calls, '$[' || k || ']') AS c FROM (
+            SELECT row_id, tool_uid, node_path, depth, calls, unnest(range(json_array_length(calls)::BIGINT)) AS k FROM (
+              SELECT row_id, tool_uid, node_path, depth, CASE WHEN json_type(h) = 'OBJECT' THEN json_array(h) WHEN json_type(h) = 'ARRAY' THEN h END AS calls FROM (
+                SELECT row_id, tool_uid, node_path, depth, {_held("json_extract(j, '$.calls')")} AS h FROM nodes))))) WHERE json_type(child) = 'OBJECT'),
+    flat AS (SELECT row_id, tool_uid, node_path, parent_path, position, depth, {_INT.format(k="level")} AS level, {_BOOL.format(k="resolved")} AS resolved, {_BOOL.format(k="external")} AS external, {_BOOL.format(k="ambiguous")} AS ambiguous,
+      {_TEXT.format(k="qualified_name")} AS qualified_name, {_TEXT.format(k="raw_call_text")} AS raw_call_text, {_held("json_extract(j, '$.source_location')")} AS l FROM nodes),
+    full_nodes AS (SELECT * EXCLUDE (l, j), {_TEXT.format(k="file")} AS file, {_INT.format(k="start_line")} AS start_line, {_INT.format(k="end_line")} AS end_line, coalesce(json_type(j) = 'OBJECT', false) AS has_location FROM (SELECT *, l AS j FROM flat))
+"""
+
 ORACLE = {
     "p2_found": f"SELECT key_kind, key_value FROM ({_P2}) WHERE share >= 0.05",
     "p2_results": _P2,
     "p2_rounds": _P2,
+    "p6_found": _P6 + "SELECT row_id, parent_path, node_path AS child_path FROM nodes WHERE parent_path IS NOT NULL",
+    "p6_nodes": _P6 + "SELECT * FROM full_nodes",
+    "p6_locations": _P6
+    + """SELECT row_id, tool_uid, 'tool' AS owner_kind, NULL AS node_path, place.file AS file, place.start_line::BIGINT AS start_line, place.end_line::BIGINT AS end_line FROM texts WHERE place IS NOT NULL
+        UNION ALL SELECT row_id, tool_uid, 'node', node_path, file, start_line, end_line FROM full_nodes WHERE has_location""",
     "p6_languages": "SELECT seq, (unnest(range(len(languages))))::INTEGER AS position, unnest(languages) AS language FROM candidates",
 }
