@@ -64,6 +64,39 @@ _P2 = """
            count(*) FILTER (WHERE valid = 4) AS score_4, count(*) FILTER (WHERE valid = 5) AS score_5, sum(usage.output_tokens)::BIGINT AS output_tokens
     FROM v GROUP BY key_kind, key_value"""
 
+#: The report by recursion over JSON objects: leaves, kinds per file, changes, and renames by mutual best match.
+_P5 = """
+    WITH RECURSIVE lines AS (SELECT record_no, log_name, file_name, body::JSON AS j FROM raw_records WHERE json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body::JSON END) = 'OBJECT' AND log_name IS NOT NULL AND file_name IS NOT NULL),
+    files AS (SELECT log_name, file_name, row_number() OVER (PARTITION BY log_name ORDER BY t, file_name) AS seq FROM (SELECT log_name, file_name, min(file_time) AS t FROM raw_records WHERE log_name IS NOT NULL AND file_name IS NOT NULL GROUP BY ALL)),
+    tree AS (
+      SELECT record_no, log_name, file_name, CASE WHEN json_type(j, '$.tool_uid') = 'VARCHAR' THEN j ->> '$.tool_uid' END AS tool, '' AS path, j FROM lines
+      UNION ALL
+      SELECT record_no, log_name, file_name, tool, CASE WHEN path = '' THEN k ELSE path || '.' || k END, json_extract(j, '$."' || k || '"')
+      FROM (SELECT record_no, log_name, file_name, tool, path, j, unnest(json_keys(j)) AS k FROM tree WHERE json_type(j) = 'OBJECT')),
+    facts AS (SELECT DISTINCT log_name, seq, tool, path, kind, coalesce(TRY_CAST(replace(v, ',', '') AS DOUBLE)::VARCHAR, v) AS value FROM (
+      SELECT log_name, file_name, tool, path, CASE json_type(j) WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'integer' END AS kind, j ->> '$' AS v
+      FROM tree WHERE json_type(j) <> 'OBJECT') JOIN files USING (log_name, file_name)),
+    kinds AS (SELECT log_name, seq, path, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind), '') AS kinds FROM facts GROUP BY ALL),
+    steps AS (SELECT a.log_name, a.seq, b.seq AS before, a.file_name FROM files a JOIN files b ON a.log_name = b.log_name AND b.seq = a.seq - 1),
+    added AS (SELECT s.log_name, s.seq, s.file_name, k.path FROM steps s JOIN kinds k ON k.log_name = s.log_name AND k.seq = s.seq WHERE NOT EXISTS (SELECT 1 FROM kinds o WHERE o.log_name = s.log_name AND o.seq = s.before AND o.path = k.path)),
+    removed AS (SELECT s.log_name, s.seq, s.file_name, k.path FROM steps s JOIN kinds k ON k.log_name = s.log_name AND k.seq = s.before WHERE NOT EXISTS (SELECT 1 FROM kinds o WHERE o.log_name = s.log_name AND o.seq = s.seq AND o.path = k.path)),
+    retyped AS (SELECT s.log_name, s.file_name, k.path FROM steps s JOIN kinds k ON k.log_name = s.log_name AND k.seq = s.seq JOIN kinds o ON o.log_name = s.log_name AND o.seq = s.before AND o.path = k.path WHERE k.kinds <> '' AND o.kinds <> '' AND k.kinds <> o.kinds),
+    vals AS (SELECT * FROM facts WHERE kind IS NOT NULL AND tool IS NOT NULL),
+    old AS (SELECT r.log_name, r.seq, r.path AS old_path, v.tool, v.kind, v.value FROM removed r JOIN vals v ON v.log_name = r.log_name AND v.seq = r.seq - 1 AND v.path = r.path),
+    new AS (SELECT r.log_name, r.seq, r.path AS new_path, v.tool, v.value FROM added r JOIN vals v ON v.log_name = r.log_name AND v.seq = r.seq AND v.path = r.path),
+    same AS (SELECT log_name, seq, old_path, new_path, count(DISTINCT tool) AS same, count(DISTINCT value) AS n_values, bool_or(kind = 'boolean') AS is_boolean FROM old JOIN new USING (log_name, seq, tool, value) GROUP BY ALL),
+    shared AS (SELECT o.log_name, o.seq, old_path, new_path, count(*) AS common FROM (SELECT DISTINCT log_name, seq, old_path, tool FROM old) o JOIN (SELECT DISTINCT log_name, seq, new_path, tool FROM new) n ON o.log_name = n.log_name AND o.seq = n.seq AND o.tool = n.tool GROUP BY ALL),
+    cand AS (SELECT *, string_split(old_path, '.')[-1] = string_split(new_path, '.')[-1] AS leaf FROM same JOIN shared USING (log_name, seq, old_path, new_path) WHERE same >= 0.8 * common),
+    fit AS (SELECT *, n_values > 1 OR leaf AS strong FROM cand WHERE n_values > 1 OR leaf OR NOT is_boolean),
+    rival AS (SELECT *, count(*) OVER (PARTITION BY log_name, seq, old_path) = 1 AND count(*) OVER (PARTITION BY log_name, seq, new_path) = 1 AS alone FROM fit),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY log_name, seq, old_path ORDER BY same DESC, leaf DESC, new_path) AS a, row_number() OVER (PARTITION BY log_name, seq, new_path ORDER BY same DESC, leaf DESC, old_path) AS b FROM rival WHERE strong OR alone),
+    renamed AS (SELECT log_name, seq, old_path, new_path FROM ranked WHERE a = 1 AND b = 1)
+    SELECT log_name, file_name, 'renamed' AS change_kind, old_path, new_path FROM renamed JOIN files USING (log_name, seq)
+    UNION ALL SELECT log_name, file_name, 'added', '', path FROM added x WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.log_name = x.log_name AND r.seq = x.seq AND r.new_path = x.path)
+    UNION ALL SELECT log_name, file_name, 'removed', path, '' FROM removed x WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.log_name = x.log_name AND r.seq = x.seq AND r.old_path = x.path)
+    UNION ALL SELECT log_name, file_name, 'retyped', path, path FROM retyped"""
+
+
 def _held(x: str, times: int = 3) -> str:
     """SQL: JSON text in JSON strings as the JSON it holds, some levels deep; null where it holds none."""
     for _ in range(times):
@@ -96,6 +129,7 @@ ORACLE = {
     "p2_found": f"SELECT key_kind, key_value FROM ({_P2}) WHERE share >= 0.05",
     "p2_results": _P2,
     "p2_rounds": _P2,
+    "p5_found": _P5,
     "p6_found": _P6 + "SELECT row_id, parent_path, node_path AS child_path FROM nodes WHERE parent_path IS NOT NULL",
     "p6_nodes": _P6 + "SELECT * FROM full_nodes",
     "p6_locations": _P6
