@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from . import hashing
 from .pair_grammar import CLASSES, FUNCTION_WORDS, LANGUAGES, REFUSALS, SOUND, WORDS, expand, foreign, void
 from .text import plain
@@ -436,7 +437,8 @@ def _rates(row: tuple) -> tuple[float, float]:
 def judged(evaluations: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
     """eval_id, judge, defect of every row with status ok."""
     pairs = pairs_of(evaluations)
-    endings = count_endings(pairs)
+    ensure_checkpoint_dir(evaluations.sparkSession)
+    endings = count_endings(pairs).checkpoint()  # read for the sample and for the open endings, counted once
     return judge_pairs(pairs, fit_on(pairs, endings, sample), endings)
 
 
