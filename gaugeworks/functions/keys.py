@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The detector patterns whose tools share one location, so that their key needs the tool's name.
-SHARED_LOCATION_PATTERNS = ("python.list_tools_lowlevel", "typescript.list_tools_lowlevel", "javascript.list_tools_lowlevel")
+SHARED_LOCATION_PATTERNS = ("python.list_tools_lowlevel", "typescript.set_request_handler_lowlevel", "javascript.set_request_handler_lowlevel")
 
 
 def tool_uid_for(repo: Column, qualified_name: Column, file: Column, start_line: Column, name: Column, pattern: Column) -> Column:

@@ -301,7 +301,7 @@ def _tools(text: str, language: str) -> Iterator[tuple]:
                 continue
             d = _DESCRIBED.search(args)
             description, literal = described(d) if d else (doc.strip() if language in ("python", "rust") else "", True)
-            yield n if n is not None else own, description, literal, {"python": "python.decorator", "java": "java.tool_annotation", "rust": "rust.tool_attribute"}[language], qualified, a, z
+            yield n if n is not None else own, description, literal, {"python": "python.fastmcp_decorator", "java": "java.tool_annotation", "rust": "rust.tool_attribute"}[language], qualified, a, z
     listing = "typescript" if language == "javascript" else language
     for m in _LIST_HANDLER[listing].finditer(plain) if listing in _LIST_HANDLER else ():
         line = s.line(m.start())
@@ -319,7 +319,7 @@ def _tools(text: str, language: str) -> Iterator[tuple]:
                 listed.add(name)
                 at = plain.index("(" if listing == "python" else "{", e.start())
                 d = _DESCRIBED.search(_shallow(plain, s.code, at, _close(s.code, at, "()" if listing == "python" else "{}"), 1))
-                yield name, *described(d), f"{language}.list_tools_lowlevel", handler[0] if listing == "python" else f"<call:{line}>", a, z
+                yield name, *described(d), "python.list_tools_lowlevel" if listing == "python" else f"{language}.set_request_handler_lowlevel", handler[0] if listing == "python" else f"<call:{line}>", a, z
     for m in _NAMED_REGISTER[language].finditer(plain) if language in _NAMED_REGISTER else ():
         args = plain[m.end() : close_bracket(s.code, m.end() - 1)]
         n, d = _NAMED.search(args), _DESCRIBED.search(args)
@@ -333,7 +333,7 @@ def _tools(text: str, language: str) -> Iterator[tuple]:
         n, d = named(args), _DESCRIBED.search(args)
         if n is not None and re.search(r"\bexecute\b", args):
             handler = re.search(r"\bexecute\s*:\s*([A-Za-z_$][\w$]*)\s*[,}]", args)
-            yield n, *described(d), f"{language}.fastmcp_npm_addtool", *_handler(handler.group(1) if handler else None, s, found, m.start(), end)
+            yield n, *described(d), f"{language}.add_tool", *_handler(handler.group(1) if handler else None, s, found, m.start(), end)
     if language in ("typescript", "javascript", "go"):
         for m in _REGISTER.finditer(plain):
             line = s.line(m.start())

@@ -278,6 +278,43 @@ def component_ranking(long: DataFrame) -> DataFrame:
     return means.withColumn("posicao", F.rank().over(Window.partitionBy("cenario").orderBy(F.desc("media"), "componente")))
 
 
+#: The slice of a breakdown that holds all judges.
+EVERY_JUDGE = "todos"
+
+
+def breakdown(long: DataFrame) -> DataFrame:
+    """fatia (a judge, or all), componente, label, media, sd (0 for one score), n, the mean of each scenario, box plot data and, of single judges, the paired test.
+
+    A paired test over several judges has no meaning, so the slice of all has none. All slices come from one pass.
+    """
+    rows = long.withColumn("fatia", F.explode(F.array("juiz", F.lit(EVERY_JUDGE))))
+    g = ["fatia", "componente"]
+    at = lambda c: F.avg(F.when(F.col("cenario") == c, F.col("nota")))
+    means = rows.groupBy(*g).agg(F.avg("nota").alias("media"), F.coalesce(st.sample_stddev(F.col("nota")), F.lit(0.0)).alias("sd"), F.count("nota").alias("n"), at(WITHOUT).alias("media_description_only"), at(WITH).alias("media_with_source"))
+    box = five_numbers(rows, ("fatia", "componente")).select(*g, "minimo", "q1", "mediana", "q3", "maximo")
+    from .facts import differences
+
+    tests = st.wilcoxon_by_component(differences(long)).select(F.col("juiz").alias("fatia"), "componente", "n_pareado", "proporcao_empates_percentual", "p_valor", "p_valor_bh", F.coalesce("`significativo_bh_0.05`", F.lit(False)).alias("significativo"))
+    return labelled(means.join(box, g).join(tests, g, "left"))
+
+
+def evaluations_of_consensus(current: DataFrame) -> DataFrame:
+    """tool_uid, tool_name, avaliacoes of the tools of the consensus: per judge and scenario its provider and the scores of the components it changed.
+
+    Judges with one scenario, or without a change, are left out. Lists are as long as a tool has judges.
+    """
+    from .facts import differences, scores_long
+
+    d = differences(scores_long(current))
+    tools = consensus_changes(d).select("tool_uid").distinct()
+    changed = d.where("diff <> 0").groupBy("tool_uid", "juiz").agg(F.array_sort(F.collect_set("componente")).alias("mudaram"))
+    own = current.where("status = 'ok'").select(F.col("tool_key").alias("tool_uid"), F.col("judge.id").alias("juiz"), F.col("judge.provider").alias("provider"), "scenario", F.col("tool.name").alias("tool_name"), "eval_id", F.struct(*(F.col(f"scores.{c}").alias(c) for c in COMPONENTS)).alias("s"))
+    cells = F.create_map(*(x for c in COMPONENTS for x in (F.lit(c), F.struct(F.col(f"s.{c}.score").alias("score"), F.col(f"s.{c}.reasoning").alias("reasoning")))))
+    rows = own.join(changed, ["tool_uid", "juiz"]).join(tools, "tool_uid", "left_semi")
+    kept = rows.select("tool_uid", "tool_name", "eval_id", F.struct("juiz", "scenario", "provider", F.transform("mudaram", lambda c: F.struct(c.alias("componente"), F.element_at(cells, c)["score"].alias("score"), F.element_at(cells, c)["reasoning"].alias("reasoning"))).alias("scores")).alias("a"))
+    return kept.groupBy("tool_uid").agg(F.min_by("tool_name", F.struct("a.juiz", "a.scenario", "eval_id")).alias("tool_name"), F.array_sort(F.collect_list("a")).alias("avaliacoes"))
+
+
 def grouped_evaluations(current: DataFrame) -> DataFrame:
     """tool_key and its judges, for tools with more than one judge."""
     return current.groupBy("tool_key").agg(F.array_join(F.array_sort(F.collect_set("judge.id")), ",").alias("juizes"), F.countDistinct("judge.id").alias("n_juizes"), F.count(F.lit(1)).alias("n")).where("n_juizes > 1")

@@ -65,6 +65,9 @@ def _study(spark: SparkSession, d: str) -> DataFrame:
     return judges.study_judges(_diffs(spark, d))
 
 
+_LABEL = "CASE ft.componente WHEN 'length_completeness' THEN 'Length & Completeness' WHEN 'parameter_explanation' THEN 'Parameter Explanation' ELSE upper(ft.componente[1]) || ft.componente[2:] END"
+
+
 def _query(name: str, sql: str | None = None):
     """Registers a query with its SQL after the common table expressions."""
 
@@ -329,7 +332,21 @@ _query(
 )(lambda s, d: dedup.with_tool_key(read_table(s, d, "evaluations")).where("tool.name is not null and repo.name_with_owner is not null").groupBy("tool_key").agg(F.min_by("tool.name", "eval_id").alias("nome"), F.min_by("repo.name_with_owner", "eval_id").alias("repositorio")))
 
 
-_query("agg47_consenso_rotulado", "SELECT componente, count(*) AS n_tools_consenso, count(*) FILTER (WHERE mesma) AS n_tools_mesma_direcao, avg(n_juizes) AS media_juizes_por_consenso, CASE componente WHEN 'length_completeness' THEN 'Length & Completeness' WHEN 'parameter_explanation' THEN 'Parameter Explanation' ELSE upper(componente[1]) || componente[2:] END AS componente_label FROM div WHERE todos AND n_juizes >= 2 GROUP BY ALL")(
+_query(
+    "agg32_desdobramento_por_juiz",
+    ", " + _WILCOXON.format(z=_Z, pairs="dif", sums="soma") + f""", ft AS (SELECT *, unnest([juiz, 'todos']) AS fatia FROM long)
+    SELECT fatia, componente, {_LABEL} AS componente_label, avg(nota) AS media, coalesce({_STD}, 0.0) AS sd, count(nota) AS n, avg(nota) FILTER (WHERE cenario = 'description_only') AS media_description_only, avg(nota) FILTER (WHERE cenario = 'with_source') AS media_with_source,
+      min(nota)::DOUBLE AS minimo, quantile_cont(nota, 0.25)::DOUBLE AS q1, quantile_cont(nota, 0.5)::DOUBLE AS mediana, quantile_cont(nota, 0.75)::DOUBLE AS q3, max(nota)::DOUBLE AS maximo,
+      any_value(w.n_pareado) AS n_pareado, any_value(w.n_empates * 100.0::DOUBLE / w.n_pareado) AS proporcao_empates_percentual, round(any_value(w.p), 7) AS p_valor, round(any_value(w.p_bh), 7) AS p_valor_bh, any_value(CASE WHEN w.juiz IS NOT NULL THEN coalesce(w.p_bh < 0.05, false) END) AS significativo
+    FROM ft LEFT JOIN wb w ON w.juiz = ft.fatia AND w.componente = ft.componente GROUP BY fatia, ft.componente""".replace("SELECT fatia, componente,", "SELECT fatia, ft.componente AS componente,"),
+)(lambda s, d: judges.breakdown(_long(s, d)).withColumn("p_valor", F.round("p_valor", 7)).withColumn("p_valor_bh", F.round("p_valor_bh", 7)))
+_query(
+    "evl15_consenso_detalhado",
+    f""", mu AS (SELECT tool_uid, juiz, list(componente) AS mudaram FROM dif WHERE diff <> 0 GROUP BY ALL),
+    av AS (SELECT tool_key AS tool_uid, judge.id AS juiz, judge.provider AS provider, scenario, unnest([{", ".join(f"{{'componente': '{c}', 'score': scores.{c}.score, 'reasoning': scores.{c}.reasoning}}" for c in facts.COMPONENTS)}]) AS c FROM act WHERE status = 'ok')
+    SELECT a.tool_uid, a.juiz, scenario, provider, c.componente AS componente, c.score AS score, c.reasoning AS reasoning FROM av a JOIN mu USING (tool_uid, juiz) WHERE list_contains(mudaram, c.componente) AND a.tool_uid IN (SELECT tool_uid FROM cons)""",
+)(lambda s, d: judges.evaluations_of_consensus(_current(s, d)).select("tool_uid", F.explode("avaliacoes").alias("a")).select("tool_uid", "a.juiz", "a.scenario", "a.provider", F.explode("a.scores").alias("c")).select("tool_uid", "juiz", "scenario", "provider", "c.*"))
+_query("agg47_consenso_rotulado", "SELECT componente, count(*) AS n_tools_consenso, count(*) FILTER (WHERE mesma) AS n_tools_mesma_direcao, avg(n_juizes) AS media_juizes_por_consenso,  " + _LABEL.replace("ft.", "") + " AS componente_label FROM div WHERE todos AND n_juizes >= 2 GROUP BY ALL")(
     lambda s, d: judges.labelled(judges.consensus_summary(judges.consensus_changes(_diffs(s, d))))
 )
 _query("arr03_notas_por_componente", f"SELECT eval_id, u.k AS componente, u.v AS nota FROM (SELECT eval_id, unnest([{', '.join(f"{{'k': '{c}', 'v': scores.{c}.score}}" for c in facts.COMPONENTS)}]) AS u FROM act WHERE status = 'ok')")(

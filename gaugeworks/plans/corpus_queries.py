@@ -150,7 +150,7 @@ _query(
 )
 _query(
     "str01_tool_uid",
-    """SELECT row_id, concat(repo.name_with_owner, '::', tool.qualified_name, '::', tool.source_location.file, ':', tool.source_location.start_line, CASE WHEN ends_with(tool.sdk_pattern, 'list_tools_lowlevel') THEN '::' || tool.name ELSE '' END) AS uid FROM tools
+    """SELECT row_id, concat(repo.name_with_owner, '::', tool.qualified_name, '::', tool.source_location.file, ':', tool.source_location.start_line, CASE WHEN ends_with(tool.sdk_pattern, '_lowlevel') THEN '::' || tool.name ELSE '' END) AS uid FROM tools
     WHERE repo.name_with_owner IS NOT NULL AND tool.qualified_name IS NOT NULL AND tool.source_location.file IS NOT NULL AND tool.source_location.start_line IS NOT NULL AND tool.sdk_pattern IS NOT NULL AND tool.name IS NOT NULL""",
     "",
 )(
@@ -190,3 +190,8 @@ _query(
     """SELECT tool_uid, scenario, '1.0' AS schema_version, 'v9' AS prompt_version, repo.name_with_owner AS repositorio, tool.name AS nome, 'j' AS juiz, NULL::VARCHAR AS status, NULL::DOUBLE AS latency_ms FROM tools, (VALUES ('description_only'), ('with_source')) s(scenario)""",
     "",
 )(lambda s, d: records.base_records(read_table(s, d, "tools"), "j", "p", "m", "v9").select("tool_uid", "scenario", "schema_version", "prompt_version", F.col("repo.name_with_owner").alias("repositorio"), F.col("tool.name").alias("nome"), F.col("judge.id").alias("juiz"), "status", "latency_ms"))
+
+
+_query("str01_uid_kept", "SELECT row_id FROM tools WHERE tool_uid = concat(repo.name_with_owner, '::', tool.qualified_name, '::', tool.source_location.file, ':', tool.source_location.start_line) || CASE WHEN regexp_matches(tool.sdk_pattern, '^(python.list_tools|(type|java)script.set_request_handler)_lowlevel$') THEN '::' || tool.name ELSE '' END", "")(
+    lambda s, d: read_table(s, d, "tools").where(F.col("tool_uid") == keys.tool_uid_for(F.col("repo.name_with_owner"), F.col("tool.qualified_name"), F.col("tool.source_location.file"), F.col("tool.source_location.start_line"), F.col("tool.name"), F.col("tool.sdk_pattern"))).select("row_id")
+)

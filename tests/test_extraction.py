@@ -102,7 +102,7 @@ def test_tools_of_every_language(spark):
     py = '@s.list_tools()\nasync def listing():\n    return [Tool(name="a", description="First."), Tool(name=dyn, description="no"), Tool(name="b")]\n'
     assert tools(spark, "a.py", py) == [("a", "First.", True, "python.list_tools_lowlevel"), ("b", "", True, "python.list_tools_lowlevel")]
     ts = "server.setRequestHandler(ListToolsRequestSchema, async () => ({ tools: [{ name: 'a', description: 'First.' }, { name: 'b' }] }));\nserver.tool('c', 'Third.', async () => {});\n// server.tool('no', 'x')\n"
-    assert tools(spark, "a.ts", ts) == [("a", "First.", True, "typescript.list_tools_lowlevel"), ("b", "", True, "typescript.list_tools_lowlevel"), ("c", "Third.", True, "typescript.register_tool")]
+    assert tools(spark, "a.ts", ts) == [("a", "First.", True, "typescript.set_request_handler_lowlevel"), ("b", "", True, "typescript.set_request_handler_lowlevel"), ("c", "Third.", True, "typescript.register_tool")]
     assert tools(spark, "a.dart", "void main() {\n  s.registerTool(Tool(name: 'a', description: 'First.'), run);\n}\n") == [("a", "First.", True, "dart.register_tool")]
     assert tools(spark, "a.kt", 'fun main() {\n  s.addTool(name = "a", description = "First.") { r -> ok(r) }\n}\n') == [("a", "First.", True, "kotlin.add_tool")]
     assert tools(spark, "a.go", 'func main() {\n\tmcp.AddTool(s, &mcp.Tool{Name: "a", Description: "First."}, run)\n}\n') == [("a", "First.", True, "go.register_tool".replace("register", "add"))]
@@ -137,7 +137,7 @@ def test_long_quoted_and_joined_descriptions(spark):
 
 def test_third_party_add_tool(spark):
     ts = 'server.addTool({\n  name: "a",\n  parameters: { description: "no" },\n  description: "First.",\n  execute: async (x) => run(x),\n});\naddTool({ name: "b", execute: run });\naddTool({ name: "c" });\nserver.addTool(tool);\n// addTool({ name: "no" })\n'
-    assert tools(spark, "a.ts", ts) == [("a", "First.", True, "typescript.fastmcp_npm_addtool"), ("b", "", True, "typescript.fastmcp_npm_addtool")]
+    assert tools(spark, "a.ts", ts) == [("a", "First.", True, "typescript.add_tool"), ("b", "", True, "typescript.add_tool")]
 
 
 def _tool_rows(spark, *rows):
