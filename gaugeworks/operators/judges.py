@@ -156,9 +156,16 @@ def judge_statistics(diffs: DataFrame) -> DataFrame:
 
 
 def study_judges(diffs: DataFrame, n: int = 3) -> DataFrame:
-    """The pairs of the n judges with most complete pairs (names break ties): the judges of a comparison."""
+    """The pairs of the n judges with most complete pairs (names break ties): the judges of a comparison.
+
+    They are checkpointed: a comparison reads these narrow rows many times, the evaluations once.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(diffs.sparkSession)
+    diffs = diffs.checkpoint()
     best = diffs.groupBy("juiz").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "juiz").limit(n)
-    return diffs.join(best, "juiz", "left_semi")
+    return diffs.join(best, "juiz", "left_semi").checkpoint()
 
 
 def common_tools(diffs: DataFrame) -> DataFrame:
@@ -245,8 +252,11 @@ def agreement_table(diffs: DataFrame) -> DataFrame:
     kappa = labels.groupBy(*g).agg(F.count(F.lit(1)).alias("n_itens"), F.avg((a == b).cast("double")).alias("po"), chance.alias("pe"))
     rho = st.spearman(_long_measures(pairs).where("medida <> 'D'"), [*g, "medida"], "x", "y", "rho").groupBy(*g).agg(*(F.max(F.when(F.col("medida") == k, F.col("rho"))).alias(f"rho_{k}") for k in ("S", "C")))
     one = kappa.join(rho, g).select("componente", F.concat_ws(" x ", "juiz_a", "juiz_b").alias("par"), "n_itens", "rho_S", "rho_C", "po", "pe", F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe")).alias("kappa"))
-    # An item of the overall row is a tool and a component, so the component stays part of the item.
-    signs = sub.select(F.col("componente").alias("item_componente"), "tool_uid", F.signum("diff").alias("sinal"), F.explode(F.array("componente", F.lit(OVERALL))).alias("componente"))
+    # An item of the overall row is a tool and a component, so the component stays part of the item. Fleiss' kappa is over
+    # items that every judge scored; a null score leaves an item to the pairs that have it.
+    judges = diffs.select(F.countDistinct("juiz").alias("n")).scalar()
+    complete = sub.groupBy("tool_uid", "componente").agg(F.countDistinct("juiz").alias("k")).where(F.col("k") == judges)
+    signs = sub.join(complete, ["tool_uid", "componente"], "left_semi").select(F.col("componente").alias("item_componente"), "tool_uid", F.signum("diff").alias("sinal"), F.explode(F.array("componente", F.lit(OVERALL))).alias("componente"))
     fleiss = st.fleiss_kappa(signs, ["componente"], ["tool_uid", "item_componente"], "sinal")
     items = signs.groupBy("componente").agg(F.countDistinct("tool_uid", "item_componente").alias("n_itens"))
     none = F.lit(None).cast("double")

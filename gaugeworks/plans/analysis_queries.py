@@ -282,7 +282,7 @@ _query(
 )(lambda s, d: judges.consensus_correlation(judges.consensus_subset(_study(s, d))).select("juiz_a", "juiz_b", "n_pares", "n_tools", "pct_mesmo_sentido", *(F.round(f"rho_{k}", 9).alias(f"rho_{k}") for k in "SCD")))
 _PE = " + ".join(f"avg((sign(diff_a) = {c})::INTEGER) * avg((sign(diff_b) = {c})::INTEGER)" for c in (-1, 0, 1))
 _AGREE = _COM3 + f""", ck AS (SELECT componente, juiz_a || ' x ' || juiz_b AS par, juiz_a, juiz_b, count(*) AS n_itens, avg((sign(diff_a) = sign(diff_b))::INTEGER) AS po, {_PE} AS pe FROM jc GROUP BY ALL),
-    lb AS (SELECT unnest([componente, 'geral']) AS componente, componente AS origem, tool_uid, sign(diff) AS s FROM com), ct AS (SELECT componente, origem, tool_uid, s, count(*) AS n FROM lb GROUP BY ALL),
+    lb AS (SELECT unnest([componente, 'geral']) AS componente, componente AS origem, tool_uid, sign(diff) AS s FROM com SEMI JOIN (SELECT tool_uid, componente FROM com GROUP BY ALL HAVING count(DISTINCT juiz) = (SELECT count(DISTINCT juiz) FROM est)) f USING (tool_uid, componente)), ct AS (SELECT componente, origem, tool_uid, s, count(*) AS n FROM lb GROUP BY ALL),
     it AS (SELECT componente, origem, tool_uid, sum(n) AS k, sum(n * (n - 1)) AS same FROM ct GROUP BY ALL), ag AS (SELECT componente, count(*) AS n_itens, avg(same::DOUBLE / (k * (k - 1))) AS po, sum(k) AS total FROM it GROUP BY ALL),
     ex AS (SELECT componente, sum((n::DOUBLE / total) * (n::DOUBLE / total)) AS pe FROM (SELECT componente, s, sum(n) AS n FROM ct GROUP BY ALL) JOIN ag USING (componente) GROUP BY ALL),
     ta AS (SELECT ck.componente, par, n_itens, s.rho AS "rho_S", c.rho AS "rho_C", po, pe FROM ck JOIN sp s ON s.juiz_a = ck.juiz_a AND s.juiz_b = ck.juiz_b AND s.componente = ck.componente AND s.medida = 'S' JOIN sp c ON c.juiz_a = ck.juiz_a AND c.juiz_b = ck.juiz_b AND c.componente = ck.componente AND c.medida = 'C'
