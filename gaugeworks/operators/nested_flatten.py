@@ -3,13 +3,13 @@
 The call graph of a tool arrives as JSON text. The texts of a slice of rows go through Arrow's block JSON reader, which
 builds nested Arrow columns from the whole block; no row is parsed on its own. A level of the tree is then a list column:
 `list_parent_indices` gives each child's parent, `list_flatten` the children, positions follow from the parents' counts,
-and the keys (row id, tool id, parent path) by `take`. The schema of the reader names the fields to a depth; a block whose
-last level still has children is read again with twice the depth. `flatten_list_column` does the same for list columns
+and the keys (row id, tool id, parent path) by `take`. The schema of the reader names the fields of LEVELS
+levels and whether there is another; rows that go deeper are set apart. `flatten_list_column` does the same for list columns
 that are already Arrow arrays (nested Parquet).
 
 Rows that the block reader cannot take are set apart by vectorised tests (unbalanced brackets, JSON text in a string, an
-object in place of an array) or, where it refuses a block, by halving it; only these are decoded one by one, and their
-levels again go through list offsets and `take`.
+object in place of an array), by their depth or, where it refuses a block, by halving it; only these are decoded one by
+one, and their levels again go through list offsets and `take`.
 
 Defined results: null or invalid JSON, and JSON that is no object, gives no nodes; null elements of `calls` are no nodes
 but take a position; a single object in place of an array is the child at position 0; JSON text held in a JSON string
@@ -131,55 +131,51 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = end
 
 
-#: Levels the block reader's schema has at first, and at most; deeper rows are decoded one by one.
-LEVELS, MOST_LEVELS = 16, 256
+#: Levels of nodes the block reader's schema names; rows with more are decoded one by one.
+LEVELS = 16
 
 _LEAVES = [("level", pa.int64()), ("resolved", pa.bool_()), ("external", pa.bool_()), ("ambiguous", pa.bool_()), ("qualified_name", pa.string()), ("raw_call_text", pa.string())]
 _PLACE = [("file", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64())]
 
 
-def _node_type(levels: int) -> pa.StructType:
+def _node_fields() -> list[pa.Field]:
     fields = [*_LEAVES, ("source_location", pa.struct(_PLACE))]
-    node = pa.struct(fields)
-    for _ in range(levels):
+    node = pa.struct([("level", pa.int64())])  # the level below the last named one: only whether it is there
+    for _ in range(LEVELS):
         node = pa.struct([*fields, ("calls", pa.list_(node))])
-    return node
+    return list(node)
 
 
-_schemas: dict[int, pa.Schema] = {}
+_SCHEMA = pa.schema(_node_fields())
 
 
-def _read_block(texts: pa.Array, levels: int) -> pa.StructArray | None:
+def _read_block(texts: pa.Array) -> pa.StructArray | None:
     """The nodes of one JSON object a row, or None where the reader refuses or does not find exactly one in each."""
-    if levels not in _schemas:
-        _schemas[levels] = pa.schema(list(_node_type(levels)))
     data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")[0].as_py().encode()
     try:
         table = pj.read_json(
             io.BytesIO(data),
             read_options=pj.ReadOptions(use_threads=False, block_size=len(data) + 1),
-            parse_options=pj.ParseOptions(explicit_schema=_schemas[levels], newlines_in_values=True, unexpected_field_behavior="ignore"),
+            parse_options=pj.ParseOptions(explicit_schema=_SCHEMA, newlines_in_values=True, unexpected_field_behavior="ignore"),
         )
     except pa.ArrowInvalid:
         return None
-    if table.num_rows != len(texts):
-        return None
-    return table.to_struct_array().combine_chunks() if table.num_rows else None
+    return table.to_struct_array().combine_chunks() if table.num_rows == len(texts) else None
 
 
-def _levels(nodes: pa.StructArray, row_id: pa.Array, tool_uid: pa.Array) -> list[pa.RecordBatch] | None:
-    """The flat tables of each level; None where the last level of the schema has children that it does not name."""
+def _levels(nodes: pa.StructArray, row_id: pa.Array, tool_uid: pa.Array) -> tuple[list[tuple[pa.RecordBatch, np.ndarray]], np.ndarray]:
+    """(the flat table of each level with the row of the block each node is of, the rows that go deeper than LEVELS)."""
     n, out = len(nodes), []
     path = pa.array(["0"] * n, pa.string())
-    parent, position, depth = pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int32)), 1
-    while len(nodes):
+    parent, position, row = pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int32)), pa.array(np.arange(n, dtype=np.int32))
+    for depth in range(1, LEVELS + 1):
+        if not len(nodes):
+            break
         get = lambda k: pc.struct_field(nodes, k)  # noqa: B023, E731
         place = get("source_location")
         columns = {"row_id": row_id, "tool_uid": tool_uid, "node_path": path, "parent_path": parent, "position": position, "depth": pa.array(np.full(len(nodes), depth, np.int32))}
         columns |= {k: get(k) for k, _ in _LEAVES} | {k: pc.struct_field(place, k) for k, _ in _PLACE} | {"has_location": place.is_valid()}
-        out.append(pa.RecordBatch.from_pydict(columns))
-        if nodes.type.get_field_index("calls") < 0:
-            return None
+        out.append((pa.RecordBatch.from_pydict(columns), row.to_numpy()))
         calls = get("calls")
         parents, children = pc.list_parent_indices(calls), pc.list_flatten(calls)
         owner = parents.to_numpy(zero_copy_only=False)
@@ -190,27 +186,25 @@ def _levels(nodes: pa.StructArray, row_id: pa.Array, tool_uid: pa.Array) -> list
         position = pa.array(places.astype(np.int32)).filter(real)
         parent = path.take(parents)
         path = pc.binary_join_element_wise(parent, position.cast(pa.string()), ".")
-        row_id, tool_uid, depth = row_id.take(parents), tool_uid.take(parents), depth + 1
-    return out
+        row_id, tool_uid, row = row_id.take(parents), tool_uid.take(parents), row.take(parents)
+    return out, np.unique(row.to_numpy()) if len(nodes) else np.zeros(0, np.int32)
 
 
-def _walk_block(batch: pa.RecordBatch, levels: int = LEVELS) -> Iterator[pa.RecordBatch]:
-    """The levels of a block of regular rows; a block that is refused is halved, a single row decoded on its own."""
-    nodes = _read_block(batch.column("call_graph"), levels)
+def _walk_block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The levels of a block of regular rows; a block that is refused is halved, single and deep rows are decoded on their own."""
+    nodes = _read_block(batch.column("call_graph"))
     if nodes is not None:
-        out = _levels(nodes, batch.column("row_id"), batch.column("tool_uid"))
-        if out is not None:
-            yield from out
-        elif levels < MOST_LEVELS:
-            yield from _walk_block(batch, levels * 2)
-        else:
-            yield from _walk(batch)
+        out, deep = _levels(nodes, batch.column("row_id"), batch.column("tool_uid"))
+        for level, row in out:
+            yield level.filter(pa.array(~np.isin(row, deep))) if len(deep) else level
+        if len(deep):
+            yield from _walk(batch.take(pa.array(deep)))
     elif batch.num_rows == 1:
         yield from _walk(batch)
     else:
         half = batch.num_rows // 2
-        yield from _walk_block(batch.slice(0, half), levels)
-        yield from _walk_block(batch.slice(half), levels)
+        yield from _walk_block(batch.slice(0, half))
+        yield from _walk_block(batch.slice(half))
 
 
 def _regular(texts: pa.Array) -> np.ndarray:
