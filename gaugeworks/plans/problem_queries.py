@@ -135,5 +135,9 @@ ORACLE = {
     "p6_locations": _P6
     + """SELECT row_id, tool_uid, 'tool' AS owner_kind, NULL AS node_path, place.file AS file, place.start_line::BIGINT AS start_line, place.end_line::BIGINT AS end_line FROM texts WHERE place IS NOT NULL
         UNION ALL SELECT row_id, tool_uid, 'node', node_path, file, start_line, end_line FROM full_nodes WHERE has_location""",
+    # Built on the same recursion; the query itself is among those of the corpus.
+    "agg10_call_graph_resolucao": _P6
+    + """SELECT CASE WHEN ambiguous THEN 'ambigua' WHEN resolved THEN 'resolvida' ELSE 'externa' END AS categoria, count(*) AS nos, count(*) FILTER (WHERE depth = 2) AS nivel_2, count(*) FILTER (WHERE depth = 3) AS nivel_3,
+        count(*) * 100.0::DOUBLE / (SELECT count(*) FROM full_nodes WHERE depth > 1) AS percentual FROM full_nodes WHERE depth > 1 GROUP BY ALL""",
     "p6_languages": "SELECT seq, (unnest(range(len(languages))))::INTEGER AS position, unnest(languages) AS language FROM candidates",
 }
