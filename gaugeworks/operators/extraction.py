@@ -2,7 +2,8 @@
 
 Files are parsed one by one with the island grammars (a table function per file, so a repository's files never meet in one
 task); everything across files is relational: calls are resolved by ordered candidate joins, graphs are bounded self-joins
-over resolved edges, closures a semi-naive loop whose frontier is checkpointed each round.
+over resolved edges, closures of tools walks over one repository's call names at a time; closures of any graph are a
+semi-naive loop whose frontier is checkpointed each round.
 
 Fidelity: other than with full grammars, calls inside string interpolation are not seen, and complexity counts decision
 keywords outside strings and comments. A file stored twice in a repository counts once (the smallest id). Null bodies and
@@ -11,6 +12,7 @@ unknown languages give nothing.
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -46,15 +48,34 @@ def _complexity(code: str, language: str) -> int:
     return 1 + len(_DECIDE[language].findall(code))
 
 
+# What several extractors need of a file is found once: they run on it one after the other.
+
+
+@lru_cache(maxsize=1)
+def _parsed(text: str, language: str) -> tuple[Source, tuple[tuple, ...]]:
+    """The islands of a file and its functions."""
+    s = Source(text, language)
+    return s, tuple(functions(text, language, s))
+
+
+@lru_cache(maxsize=1)
+def _tools_of(text: str, language: str) -> tuple[tuple, ...]:
+    return tuple(_tools(text, language))
+
+
 def _bodies(text: str, language: str) -> list[tuple[str, str, int, int]]:
     """(qualified name, name, first line, last line) of every function, and of every registering call whose handler stands inside it."""
-    out = [(q, n, a, z) for q, n, a, z, _d, _c in functions(text, language)]
-    inline = {(q, a, z) for _n, _d, _l, _p, q, a, z in _tools(text, language) if q.startswith("<call:")}
+    out = [(q, n, a, z) for q, n, a, z, _d, _c in _parsed(text, language)[1]]
+    inline = {(q, a, z) for _n, _d, _l, _p, q, a, z in _tools_of(text, language) if q.startswith("<call:")}
     return sorted(out + [(q, q, a, z) for q, a, z in inline], key=lambda f: (f[2], -f[3]))
 
 
+def _owner(qualified: str) -> str | None:
+    return qualified.rsplit(".", 1)[0] if "." in qualified and not qualified.startswith("<") else None
+
+
 def _definitions(text: str, language: str) -> Iterator[tuple]:
-    code = Source(text, language).code.split("\n")
+    code = _parsed(text, language)[0].code.split("\n")
     found = _bodies(text, language)
     for i, (qualified, name, a, z) in enumerate(found):
         lines = code[a - 1 : z]
@@ -64,12 +85,11 @@ def _definitions(text: str, language: str) -> Iterator[tuple]:
                 break
             if a < b and y <= z:
                 lines[b - a : y - a + 1] = [""] * (y - b + 1)
-        owner = qualified.rsplit(".", 1)[0] if "." in qualified and not qualified.startswith("<") else None
-        yield qualified, name, owner, a, z, _complexity("\n".join(lines), language)
+        yield qualified, name, _owner(qualified), a, z, _complexity("\n".join(lines), language)
 
 
 def _calls(text: str, language: str) -> Iterator[tuple]:
-    lines = Source(text, language).code.split("\n")
+    lines = _parsed(text, language)[0].code.split("\n")
     for qualified, name, a, z in _bodies(text, language):
         code = "\n".join(lines[a - 1 : z])
         seen: dict[str, tuple] = {}
@@ -87,6 +107,21 @@ def _calls(text: str, language: str) -> Iterator[tuple]:
         yield from seen.values()
 
 
+def _links(text: str, language: str) -> Iterator[tuple]:
+    """(kind, qualified name, name, class, callers): what a closure needs of a file. Of calls: the callee, the class it is sought in (null if called without a receiver) and who calls it."""
+    for qualified, name, _a, _z in _bodies(text, language):
+        yield "definition", qualified, name, None, None
+    callers: dict[tuple, dict] = {}
+    for caller, _line, _ord, receiver, callee, _raw in _calls(text, language):
+        owner = receiver if receiver not in _SELF else caller.split(".", 1)[0] if "." in caller else ""
+        if owner != "":  # a call of its own class outside of one has no target
+            callers.setdefault((owner, callee), {})[caller] = None
+    for (owner, callee), who in callers.items():
+        yield "call", None, callee, owner, list(who)
+    for qualified in dict.fromkeys(f[4] for f in _tools_of(text, language)):
+        yield "tool", qualified, None, None, None
+
+
 def _imports(text: str, language: str) -> Iterator[tuple]:
     kind = "typescript" if language in ("typescript", "javascript") else language
     if kind not in _IMPORTS:
@@ -247,7 +282,7 @@ def _comments_blanked(s: Source) -> str:
     return "".join(out)
 
 
-def _handler(name: str | None, s: Source, found: list[tuple], begin: int, end: int) -> tuple[str, int, int]:
+def _handler(name: str | None, s: Source, found: tuple[tuple, ...], begin: int, end: int) -> tuple[str, int, int]:
     """(qualified name, first and last line) of a tool's handler: the function of that name in the file, else the call that holds it."""
     own = next((f for f in found if name and name in (f[0], f[1])), None)
     return (own[0], own[2], own[3]) if own else (name or f"<call:{s.line(begin)}>", s.line(begin), s.line(end - 1))
@@ -255,9 +290,8 @@ def _handler(name: str | None, s: Source, found: list[tuple], begin: int, end: i
 
 def _tools(text: str, language: str) -> Iterator[tuple]:
     """(name, description, literal, pattern, qualified name, line, end line); a tool whose name is no literal is skipped."""
-    s = Source(text, language)
+    s, found = _parsed(text, language)
     plain = _comments_blanked(s)
-    found = list(functions(text, language))
     bound = _bindings(s, plain, language)
 
     def described(d: re.Match | None) -> tuple[str, bool]:
@@ -351,26 +385,37 @@ def _tools(text: str, language: str) -> Iterator[tuple]:
                 yield _value(n.group(1), language) if n else m.group(1), _value(d.group(1), language) if d else "", True, "ruby.tool_class", call[0], call[2], call[3]
 
 
+def _first_ids(source_files: DataFrame) -> DataFrame:
+    return source_files.groupBy("repo_name", "file_path").agg(F.min("file_id").alias("file_id")).select("file_id")
+
+
 def unique_files(source_files: DataFrame) -> DataFrame:
     """Each path of a repository once: the file with the smallest id."""
-    first = source_files.groupBy("repo_name", "file_path").agg(F.min("file_id").alias("file_id"))
-    return source_files.join(first.select("file_id"), "file_id", "left_semi")
+    return source_files.join(_first_ids(source_files), "file_id", "left_semi")
+
+
+#: Rows that an extractor hands on at once; a file's (a root's) rows stay together. Ids of repeated files that are broadcast at most. Roots of a repository that one task walks from.
+CHUNK, FEW, ROOTS = 20_000, 100_000, 2_000
 
 
 def _per_file(source_files: DataFrame, extract: Callable[[str, str], Iterator[tuple]], columns: list[tuple[str, str]]) -> DataFrame:
     """One row per extracted item: file_id, repo_name, file_path, seq and the item's columns."""
-    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file_id", "repo_name", "file_path", "seq", *(n for n, _ in columns)]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), *(types[t] for _, t in columns)]
         for b in batches:
             rows: list[tuple] = []
+            chunk = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)  # noqa: B023, E731
             for i, repo, path, lang, body in zip(*(b.column(c).to_pylist() for c in ("file_id", "repo_name", "file_path", "file_lang", "body"))):
                 language = language_of(path, lang)
                 if body and language:
                     rows += [(i, repo, path, k, *item) for k, item in enumerate(extract(body, language))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+                if len(rows) >= CHUNK:
+                    yield chunk()
+                    rows = []
+            yield chunk()
 
     schema = "file_id long, repo_name string, file_path string, seq int, " + ", ".join(f"{n} {t}" for n, t in columns)
     return source_files.select("file_id", "repo_name", "file_path", "file_lang", "body").mapInArrow(run, schema)
@@ -556,6 +601,115 @@ def closure(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataF
     raise RuntimeError("closure did not end")
 
 
+def tool_closure(source_files: DataFrame) -> DataFrame:
+    """repo_name, root, name: everything reachable from each tool, over the unambiguous resolved calls of unique files.
+
+    The same as closure() of resolve_calls() and detected_tools() of unique_files(), for tables whose texts are too large
+    to move: a file is read and parsed once, and only the names found leave the task that read it. They stay persisted
+    until the calls are resolved.
+    """
+    ensure_checkpoint_dir(source_files.sparkSession)
+    repeated = source_files.select("file_id").join(_first_ids(source_files), "file_id", "left_anti").checkpoint()
+    if repeated.count() <= FEW:
+        repeated = F.broadcast(repeated)
+    columns = [("kind", "string"), ("qualified_name", "string"), ("bare_name", "string"), ("class_name", "string"), ("callers", "array<string>")]
+    links = _per_file(source_files.where("file_id is not null"), _links, columns).join(repeated, "file_id", "left_anti").persist()
+    kept = [links]
+    try:
+        links.count()  # else each of its readers would parse the files
+        calls = _linked(links, kept).groupBy("repo_name", "source").agg(F.collect_set("target").alias("targets")).checkpoint()
+        return closure_by_repository(calls, links.where("kind = 'tool'").select("repo_name", "qualified_name").distinct().checkpoint())
+    finally:
+        for k in kept:
+            k.unpersist()
+
+
+def closure_by_repository(calls: DataFrame, roots: DataFrame) -> DataFrame:
+    """repo_name, root, name: as of closure(), from calls (repo_name, source, targets) with one row per source.
+
+    Pairs may be many times the edges (all pairs of a repository's functions, where calls go round), so none is shuffled or
+    stored: each task gets the calls of whole repositories, as names only, with at most about ROOTS of their roots, walks
+    from each root and hands the pairs on. A task holds one repository's calls at a time.
+    """
+    parts = roots.groupBy("repo_name").agg(F.ceil(F.count(F.lit(1)) / ROOTS).cast("int").alias("parts"))
+    begin = roots.join(parts, "repo_name", "left").select("repo_name", F.pmod(F.xxhash64("qualified_name"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.col("qualified_name").alias("name"), F.lit(None).cast("array<string>").alias("targets"))
+    edges = calls.join(parts, "repo_name").select("repo_name", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("source").alias("name"), "targets")
+    # The number is given, else few bytes of calls would end in one task, however many their pairs.
+    n = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = edges.unionByName(begin).repartition(n, "repo_name", "part").sortWithinPartitions("repo_name", "part", F.col("targets").isNull())
+    return rows.mapInArrow(_walk, "repo_name string, root string, name string")
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of root and reached name, of rows sorted by repository and part, calls before roots (which have no targets)."""
+    at, ids, after, names, out, n = None, {}, {}, None, [], 0
+
+    def chunk() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([o[k] for o in out]) for k in range(3)], names=["repo_name", "root", "name"])
+
+    for b in batches:
+        for repo, part, name, targets in zip(*(b.column(c).to_pylist() for c in ("repo_name", "part", "name", "targets"))):
+            if at != (repo, part):
+                at, ids, after, names = (repo, part), {}, {}, None
+            if targets is not None:
+                after[ids.setdefault(name, len(ids))] = [ids.setdefault(x, len(ids)) for x in targets]
+                continue
+            if names is None:
+                names = pa.array(list(ids), pa.string())
+            if name in ids:
+                seen = new = {ids[name]}
+                while new:
+                    new = set().union(*(after.get(x, ()) for x in new)) - seen
+                    seen = seen | new
+                reached = names.take(pa.array(list(seen), pa.int64()))
+            else:
+                reached = pa.array([name], pa.string())
+            out.append((pa.repeat(pa.scalar(repo, pa.string()), len(reached)), pa.repeat(pa.scalar(name, pa.string()), len(reached)), reached))
+            n += len(reached)
+            if n >= CHUNK:
+                yield chunk()
+                out, n = [], 0
+    if out:
+        yield chunk()
+
+
+def _linked(links: DataFrame, kept: list[DataFrame]) -> DataFrame:
+    """repo_name, source, target as of edges_of(resolve_calls()). kept: gets what is persisted.
+
+    Calls of a file to one callee go as one row. A call can only be resolved to a definition of its repository with its
+    bare name, so calls without one, and definitions that nobody calls, are dropped first. A member's qualified name is
+    its class and name, a function's its name, so those are looked up as they are; the nearest definition depends on a
+    call's directory only and is sought once per directory and name. Imports tell the step, never the target.
+    """
+    name = ["repo_name", "bare_name"]
+    calls, defs = links.where("kind = 'call'"), links.where("kind = 'definition'")
+    d = defs.repartition(*name).groupBy(*name, "qualified_name").agg(F.max_by("file_path", F.struct("file_id", "seq")).alias("at")).join(calls.select(*name).distinct(), name, "left_semi").persist()
+    kept.append(d)
+    d.count()
+    path = F.col("file_path")
+    place = F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)))  # a path without its last part
+    c = calls.select(*name, "class_name", "file_path", place.alias("place"), "callers").join(d.select(*name).distinct(), name, "left_semi").persist()
+    kept.append(c)
+    c.count()
+    members = c.where("class_name is not null").withColumn("target", F.concat_ws(".", "class_name", "bare_name")).join(d.select("repo_name", F.col("qualified_name").alias("target")), ["repo_name", "target"], "left_semi")
+    free = c.where("class_name is null").join(d.where("qualified_name = bare_name").select(*name, F.col("at").alias("own_file")), name, "left").withColumn("local", F.coalesce(F.col("own_file") == path, F.lit(False)))
+    near = _nearest(free.where("not local").select(*name, "place").distinct(), d)
+    outer = free.where("not local").join(near, [*name, "place"])
+    found = [members.select("repo_name", "callers", "target"), free.where("local").select("repo_name", "callers", F.col("bare_name").alias("target")), outer.select("repo_name", "callers", F.col("near").alias("target"))]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("repo_name", F.explode("callers").alias("source"), "target")
+
+
+def _nearest(sought: DataFrame, d: DataFrame) -> DataFrame:
+    """repo_name, bare_name, place, near: the definition that is nearest by directory, where no other is as near; as in resolve_calls()."""
+    name = ["repo_name", "bare_name"]
+    under = d.select(*name, "qualified_name", _depth(F.col("at")).alias("deep"), F.explode(_directories(F.col("at"))).alias("a")).groupBy(*name, F.col("a.prefix").alias("prefix"), "deep").agg(F.count(F.lit(1)).alias("n"), F.min("qualified_name").alias("near"))
+    under = under.groupBy(*name, "prefix").agg(F.min(F.struct("deep", "n", "near")).alias("b")).select(*name, "prefix", "b.*")
+    met = sought.select(*name, "place", _depth(F.col("place")).alias("own"), F.explode(_directories(F.col("place"))).alias("a")).select(*name, "place", "own", "a.prefix", "a.depth").join(under, [*name, "prefix"])
+    # Of a candidate's ancestors only the deepest common one is at its distance, so those at the least distance are counted once each.
+    by_distance = met.groupBy(*name, "place", (F.col("own") + F.col("deep") - 2 * F.col("depth")).alias("dist")).agg(F.sum("n").alias("n"), F.min("near").alias("near"))
+    return by_distance.groupBy(*name, "place").agg(F.min(F.struct("dist", "n", "near")).alias("b")).where("b.n = 1").select(*name, "place", "b.near")
+
+
 def tool_measures(tools: DataFrame, reach: DataFrame, defs: DataFrame) -> DataFrame:
     """repo_name, qualified_name, loc, complexity: sums over everything a tool reaches."""
     index = definition_index(defs).select("repo_name", F.col("qualified_name").alias("name"), (F.col("end_line") - F.col("start_line") + 1).alias("lines"), "complexity")

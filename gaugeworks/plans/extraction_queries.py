@@ -24,8 +24,7 @@ def _resolved(s, d):
 
 def _reach(s, d):
     f = _files(s, d)
-    defs = x.definitions(f)
-    return x.closure(x.edges_of(_resolved(s, d)), x.detected_tools(f)), defs, f
+    return x.tool_closure(read_table(s, d, "source_files")), x.definitions(f), f
 
 
 QUERIES["ext03_definitions"] = lambda s, d: x.definitions(_files(s, d))

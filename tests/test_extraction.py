@@ -1,5 +1,8 @@
+import hashlib
+
 from gaugeworks.functions.islands import functions
 from gaugeworks.operators import extraction as x
+from gaugeworks.plans.extraction_queries import QUERIES
 
 PY = '''
 from pkg.util import helper as h
@@ -225,3 +228,38 @@ def test_values_across_files(spark):
     assert followed == {"LOCAL": ("here", 1), "TEXT": ("Said elsewhere.", 2), "WIDE": ("w", 1), "ONLY": ("lone", 1), "NONE": (None, 1)}
     tools = x.described_tools(x.detected_tools(f), table, x.imports(f)).collect()
     assert [(t.name, t.description, t.description_is_literal) for t in tools] == [("t", "Said elsewhere.", False)]
+
+
+def _reached(df):
+    return sorted(((r.repo_name, r.root, r.name) for r in df.collect()), key=str)
+
+
+def test_tool_closure_equals_the_general_one(spark, monkeypatch):
+    monkeypatch.setattr(x, "ROOTS", 2)
+    monkeypatch.setattr(x, "CHUNK", 3)
+    server = "@mcp.tool()\ndef {0}(a):\n    return {1}(a) + near(a) + twice(a) + print(a)\n\nclass K:\n    def near(self):\n        return self.other()\n    def other(self):\n        return {0}(1)\n\ndef {1}(b):\n    return K.near(b) + outside(b)\n"
+    rows = [("r", f"a/s{k}.py", server.format(f"t{k}", f"u{k}")) for k in range(5)]
+    rows += [("r", "a/n.py", "def near(z):\n    return t0(z)\n"), ("r", "b/x.py", "def twice(z):\n    return 1\n"), ("r", "c/x.py", "def twice(z):\n    return self.lost(2)\n")]
+    rows += [("r", "a/n.py", "def near(z):\n    return t4(z)\n"), (None, "a.py", server.format("t", "u")), ("q", "a.py", None), ("q", "s.py", server.format("t0", "u0"))]
+    f = files(spark, *rows)
+    u = x.unique_files(f)
+    want = _reached(x.closure(x.edges_of(x.resolve_calls(x.call_sites(u), x.definitions(u), x.imports(u))), x.detected_tools(u)))
+    assert len(want) > 20 and _reached(x.tool_closure(f)) == want
+    monkeypatch.setattr(x, "FEW", -1)
+    assert _reached(x.tool_closure(f)) == want
+
+
+def test_closure_moves_no_texts_and_no_pairs(spark, tmp_path):
+    """A ring of 300 tools (90,000 pairs) in files whose texts do not compress: what is shuffled stays far below both."""
+    dull = lambda k: "".join(hashlib.sha256(f"{k}.{i}".encode()).hexdigest() for i in range(300))
+    text = lambda k: f"# {dull(k)}\n@mcp.tool()\ndef tool_{k}(a):\n    return tool_{(k + 1) % 300}(a)\n"
+    files(spark, *(("r", f"a/f{k}.py", text(k)) for k in range(300))).write.parquet(f"{tmp_path}/source_files.parquet")
+    sc = spark.sparkContext._jsc.sc()
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty(10_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = moved()
+    assert QUERIES["ext07_closure"](spark, str(tmp_path)).count() == 300 * 300
+    assert moved() - before < 1_000_000
